@@ -96,3 +96,28 @@ def build_dims(spark: SparkSession, zones: DataFrame,
                max_zone_rows: int = ZONE_BROADCAST_MAX_ROWS) -> Dims:
     small, unique = check_bound(zones, "LOCATIONID", max_zone_rows)
     return Dims(zones=zones, codes=code_dims(spark), zones_small=small, zones_unique=unique)
+
+
+def code_usage(trips: DataFrame, codes: dict[str, DataFrame]) -> DataFrame:
+    """Each distinct code per code dimension with its trip count, parsed key
+    and description (Q3: text codes such as 'CMT' get no key, no description).
+
+    One scan: the three code columns are unpivoted with ``explode`` and
+    counted in one partial aggregate; the result (a few rows per dimension)
+    is joined to the inline code tables.
+    """
+    from ..functions import code_key
+    pairs = F.explode(F.array(*[
+        F.struct(F.lit(role).alias("dim"), F.col(key).alias("code"))
+        for role, (key, _desc, _rows) in CODE_DIMS.items()]))
+    used = (trips.select(pairs.alias("p")).select("p.dim", "p.code")
+            .groupBy("dim", "code").agg(F.count(F.lit(1)).alias("n"))
+            .withColumn("code_key", code_key(F.col("code"))))
+    long_dims = None
+    for role, (key, desc, _rows) in CODE_DIMS.items():
+        d = codes[role].select(F.lit(role).alias("dim"), F.col(key).alias("code_key"),
+                               F.col(desc).alias("description"))
+        long_dims = d if long_dims is None else long_dims.unionByName(d)
+    return (used.join(F.broadcast(long_dims), ["dim", "code_key"], "left")
+            .select("dim", "code", "code_key", "description", "n")
+            .orderBy("dim", F.col("code").asc_nulls_last()))

@@ -67,11 +67,12 @@ def _as_int(v) -> Column:
 def harmonize(df: DataFrame, service, year, month, mode: str = "first") -> DataFrame:
     """One raw branch -> the 20 canonical columns of the trips table.
 
-    ``service`` is a literal; ``year``/``month`` are literals (from a table or
+    ``service`` is a literal (or a Column for mixed frames); ``year``/``month`` are literals (from a table or
     file name) or Columns (e.g. parsed from ``_metadata.file_path``).
     """
     cols = column_index(df.schema)
-    exprs = [F.lower(F.lit(service)).alias("service_type")]
+    svc = service if isinstance(service, Column) else F.lit(service)
+    exprs = [F.lower(svc).cast("string").alias("service_type")]
     exprs += [pick(cols, cand, kind, alias, mode) for cand, kind, alias in COLUMN_MAP]
     exprs += [_as_int(year).alias("year"), _as_int(month).alias("month")]
     return df.select(*exprs)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .. import session
 from ..operators import dims as dims_mod
 from ..operators import harmonize, marts
-from ..sources import testdata
+from ..sources import files, testdata
 
 
 class Mart:
@@ -59,3 +59,14 @@ class Mart:
 
     def enriched(self, roles=marts.ALL_ROLES) -> DataFrame:
         return marts.enrich(self.strict, self.dims, roles)
+
+    @cached_property
+    def raw_files_root(self) -> str:
+        """The raw services written as monthly files (one folder per month,
+        older yellow months in their older schema) in a fresh scratch folder."""
+        root = session.scratch_dir(self.spark, "raw")
+        for r in self.raw_services:
+            for era in testdata.file_eras(r):
+                files.write_months(era, root, r.service, testdata.FILE_YEAR,
+                                   testdata.FILE_MONTH)
+        return root

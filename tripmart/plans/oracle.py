@@ -267,4 +267,129 @@ SELECT pickup_hour, ROUND(AVG(trip_duration_min), 2) AS avg_duration_min,
        ROUND(AVG(trip_distance), 2) AS avg_distance_mi, ROUND(AVG(tip_pct), 3) AS avg_tip_pct,
        COUNT(*) AS n
 FROM enriched GROUP BY pickup_hour"""
+    q.update(_more())
     return {k: with_views(v) for k, v in q.items()}
+
+
+TABLE_RE = r"(?i)^trips_(yellow|green)_(\d{4})_(\d{2})$"
+
+
+def _table_name(prefix="") -> str:
+    return (f"'TRIPS_' || upper({prefix}service_type) || '_' || CAST({prefix}year AS VARCHAR) "
+            f"|| '_' || lpad(CAST({prefix}month AS VARCHAR), 2, '0')")
+
+
+def _re_int(s: str, g: int) -> str:
+    return f"TRY_CAST(nullif(regexp_extract({s}, '{TABLE_RE}', {g}), '') AS INTEGER)"
+
+
+_LOADED = "SELECT DISTINCT service_type, year, month FROM trips_all"
+
+
+def _expected_full_years(loaded: str) -> str:
+    return f"""
+SELECT s.service_type, CAST(floor(i / 12) AS INTEGER) AS year, CAST(i % 12 + 1 AS INTEGER) AS month
+FROM (SELECT s.service_type, unnest(generate_series(lo, hi)) AS i
+      FROM (SELECT min(year) * 12 AS lo, max(year) * 12 + 11 AS hi FROM ({loaded}) l) span,
+           (VALUES ('yellow'), ('green')) s(service_type)) s"""
+
+
+def _more() -> dict[str, str]:
+    q = {}
+    q["normalize_ts"] = "SELECT * EXCLUDE (FILE_YEAR, FILE_MONTH) FROM green_raw"
+    q["harmonize"] = harmonized("green_raw", "green")
+    q["pick_coalesce"] = "SELECT * FROM trips_all"
+    p, d = "pickup_datetime", "dropoff_datetime"
+    q["scalars_time"] = f"""
+SELECT service_type, {p}, {d},
+  date_diff('minute', {p}, {d}) AS trip_minutes,
+  date_diff('second', {p}, {d}) AS trip_seconds,
+  CAST(trunc((epoch_us({d}) - epoch_us({p})) / 60000000) AS BIGINT) AS elapsed_minutes,
+  CAST(hour({p}) AS INTEGER) AS pickup_hour,
+  strftime({p}, '%a') AS pickup_dow,
+  coalesce(dayofweek({p}) IN (0, 6), false) AS is_weekend,
+  CAST({p} AS DATE) AS pickup_date
+FROM trips_all"""
+    q["scalars_ratio"] = f"""
+SELECT service_type, fare_amount, tip_amount, trip_distance,
+  tip_amount / nullif(fare_amount, 0) AS tip_pct,
+  trip_distance / (CAST(nullif(date_diff('second', {p}, {d}), 0) AS DOUBLE)
+                   / CAST(3600.0 AS DOUBLE)) AS avg_speed_mph,
+  nullif(fare_amount, 0) IS NULL AS fare_is_zero,
+  total_amount - fare_amount - tip_amount AS other_charges
+FROM trips_all"""
+    tname = _table_name()
+    tiny = f"({tname} || '_TINY')"
+    q["scalars_name"] = f"""
+SELECT service_type, year, month,
+  {tname} AS table_name,
+  lower(service_type) || '_tripdata_' || CAST(year AS VARCHAR) || '-'
+    || lpad(CAST(month AS VARCHAR), 2, '0') || '.parquet' AS file_name,
+  {_re_int(tname, 2)} AS re_year,
+  {_re_int(tname, 3)} AS re_month,
+  {_re_int(tiny, 2)} AS tiny_re_year,
+  TRY_CAST(split_part({tiny}, '_', 3) AS INTEGER) AS tiny_split_year,
+  TRY_CAST(split_part({tiny}, '_', 4) AS INTEGER) AS tiny_split_month,
+  lower(trim('  ' || {tname} || ' ')) AS table_lower,
+  lpad(CAST(month AS VARCHAR), 2, '0') AS month2
+FROM ({_LOADED}) m"""
+    q["scalars_cast"] = f"""
+SELECT 'yellow' AS service_type, trip_distance,
+  CAST(round(trip_distance) AS BIGINT) AS distance_number,
+  CAST(round(fare_amount) AS BIGINT) AS fare_number,
+  {float_varchar('payment_type')} AS payment_code,
+  CAST(VendorID AS VARCHAR) AS vendor_code,
+  {code_key('CAST(VendorID AS VARCHAR)')} AS vendor_key,
+  CAST(passenger_count AS DOUBLE) AS passengers_float
+FROM yellow_raw
+UNION ALL
+SELECT 'green', trip_distance,
+  CAST(round(trip_distance) AS BIGINT), CAST(round(fare_amount) AS BIGINT),
+  CAST(payment_type AS VARCHAR), vendor_id, {code_key('vendor_id')},
+  CAST(passenger_count AS DOUBLE)
+FROM green_raw"""
+    q["dim_zones"] = "SELECT * FROM zones"
+    usage = " UNION ALL ".join(
+        f"SELECT '{role}' AS dim, {key} AS code, COUNT(*) AS n FROM trips_all GROUP BY {key}"
+        for role, (key, _d, _r) in CODE_DIMS.items())
+    long_dims = " UNION ALL ".join(
+        f"SELECT '{role}' AS dim, {key} AS code_key, {desc} AS description FROM dim_{role}"
+        for role, (key, desc, _r) in CODE_DIMS.items())
+    q["dim_codes"] = f"""
+SELECT u.dim, u.code, {code_key('u.code')} AS code_key, d.description, u.n
+FROM ({usage}) u
+LEFT JOIN ({long_dims}) d ON d.dim = u.dim AND d.code_key = {code_key('u.code')}"""
+    q["read_query"] = _profile_sql("obt_clean", ["service_type"], False)
+    names = f"""
+SELECT {tname} AS table_name FROM ({_LOADED}) m
+UNION ALL SELECT {tname} || '_TINY' FROM ({_LOADED}) m WHERE service_type = 'green'
+UNION ALL SELECT 'TRIPS_ALL'"""
+    q["inventory_months"] = f"""
+SELECT * FROM (
+  SELECT table_name,
+         lower(nullif(regexp_extract(table_name, '{TABLE_RE}', 1), '')) AS service_type,
+         {_re_int('table_name', 2)} AS yr, {_re_int('table_name', 3)} AS mo
+  FROM ({names}) n) t
+WHERE yr IS NOT NULL AND mo IS NOT NULL"""
+    missing = f"""
+SELECT e.* FROM ({_expected_full_years(_LOADED)}) e
+WHERE NOT EXISTS (SELECT 1 FROM ({_LOADED}) l WHERE l.service_type = e.service_type
+                  AND l.year = e.year AND l.month = e.month)"""
+    q["missing_months"] = f"""
+SELECT service_type, year,
+  string_agg(lpad(CAST(month AS VARCHAR), 2, '0'), ', ' ORDER BY month) AS missing_months,
+  COUNT(*) AS n_missing
+FROM ({missing}) m GROUP BY service_type, year"""
+    q["scan_month"] = """
+SELECT * EXCLUDE (FILE_YEAR, FILE_MONTH) FROM yellow_raw
+WHERE FILE_YEAR = 1998 AND FILE_MONTH = 7"""
+    q["inventory_files"] = f"""
+SELECT service_type, year, month, CAST(1 AS BIGINT) AS n_files FROM ({_LOADED}) m"""
+    q["overwrite_month"] = "SELECT * FROM trips_all"
+    counts = "SELECT service_type, year, month, COUNT(*) AS n FROM trips_all GROUP BY ALL"
+    q["load_manifest"] = f"""
+SELECT e.service_type, e.year, e.month, CAST(coalesce(c.n, 0) AS BIGINT) AS rows_loaded,
+       CASE WHEN c.n IS NULL THEN 'missing' ELSE 'loaded' END AS status
+FROM ({_expected_full_years(_LOADED)}) e
+LEFT JOIN ({counts}) c USING (service_type, year, month)"""
+    return q

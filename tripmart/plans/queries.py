@@ -8,7 +8,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import quality, reports
+from functools import reduce
+
+from pyspark.sql import functions as F
+
+from .. import functions as fn
+from .. import session, sinks
+from ..functions import casts
+from ..operators import coverage, dims, harmonize, ingest, quality, reports
+from ..sources import catalog, files, testdata
+from . import views
 from .mart import Mart
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,7 +104,216 @@ def q_stats_by_hour(spark, sf_dir):
     return reports.stats_by_hour(_m(spark, sf_dir).enriched(()))
 
 
+
+
+# ---- projections and scalar functions -------------------------------------
+
+def q_normalize_ts(spark, sf_dir):
+    """Raw green rows with their zoned pickup/dropoff made plain timestamps."""
+    return harmonize.normalize_timestamps(_m(spark, sf_dir).raw("green").raw())
+
+
+def q_harmonize(spark, sf_dir):
+    """The green branch (alternate names, missing surcharges) harmonised."""
+    return _m(spark, sf_dir).harmonized("green")
+
+
+def q_pick_coalesce(spark, sf_dir):
+    """Both services in one by-name union (alternates side by side), then
+    the COALESCE form of the pick over the candidates that exist."""
+    m = _m(spark, sf_dir)
+    merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True),
+                    [r.df.withColumn("_service", F.lit(r.service)) for r in m.raw_services])
+    return harmonize.harmonize(merged, F.col("_service"), testdata.FILE_YEAR,
+                               testdata.FILE_MONTH, mode="coalesce")
+
+
+def q_scalars_time(spark, sf_dir):
+    """F1-F6 on every trip."""
+    t = _m(spark, sf_dir).trips_all
+    p, d = "pickup_datetime", "dropoff_datetime"
+    return t.select(
+        "service_type", p, d,
+        fn.minutes_between(p, d).alias("trip_minutes"),
+        fn.seconds_between(p, d).alias("trip_seconds"),
+        F.timestamp_diff("MINUTE", F.col(p), F.col(d)).alias("elapsed_minutes"),
+        fn.hour_of(p).alias("pickup_hour"),
+        fn.day_name(p).alias("pickup_dow"),
+        fn.is_weekend(p).alias("is_weekend"),
+        fn.date_of(p).alias("pickup_date"),
+    )
+
+
+def q_scalars_ratio(spark, sf_dir):
+    """F7, F8, F12, F17 on every trip (F13 ROUND is exercised by every report:
+    per-row rounding of arbitrary doubles differs between engines at
+    non-representable halves such as 1.005)."""
+    t = _m(spark, sf_dir).trips_all
+    secs = fn.seconds_between("pickup_datetime", "dropoff_datetime")
+    return t.select(
+        "service_type", "fare_amount", "tip_amount", "trip_distance",
+        fn.tip_pct().alias("tip_pct"),
+        fn.speed_mph("trip_distance", secs).alias("avg_speed_mph"),
+        fn.iff(F.nullifzero("fare_amount").isNull(), F.lit(True), F.lit(False))
+          .alias("fare_is_zero"),
+        (F.col("total_amount") - F.col("fare_amount") - F.col("tip_amount"))
+          .alias("other_charges"),
+    )
+
+
+def q_scalars_name(spark, sf_dir):
+    """Month names built from the data and parsed back.
+
+    The ``_TINY`` sample name shows why parsing is anchored: split positions
+    accept it, the anchored pattern does not."""
+    months = loaded_months(spark, sf_dir)
+    tname = fn.table_name("service_type", "year", "month")
+    tiny = F.concat(tname, F.lit("_TINY"))
+    return months.select(
+        "service_type", "year", "month",
+        tname.alias("table_name"),
+        fn.file_name("service_type", "year", "month").alias("file_name"),
+        fn.extract_int(tname, fn.TABLE_PATTERN, 2).alias("re_year"),
+        fn.extract_int(tname, fn.TABLE_PATTERN, 3).alias("re_month"),
+        fn.extract_int(tiny, fn.TABLE_PATTERN, 2).alias("tiny_re_year"),
+        fn.split_part_int(tiny, "_", 3).alias("tiny_split_year"),
+        fn.split_part_int(tiny, "_", 4).alias("tiny_split_month"),
+        F.lower(F.trim(F.concat(F.lit("  "), tname, F.lit(" ")))).alias("table_lower"),
+        fn.month2("month").alias("month2"),
+    )
+
+
+def q_scalars_cast(spark, sf_dir):
+    """warehouse casts on raw values of both services."""
+    m = _m(spark, sf_dir)
+    y = m.raw("yellow").raw()
+    g = m.raw("green").raw()
+    ys, gs = y.schema, g.schema
+
+    def sel(df, s, service, vendor_cols):
+        vend = [casts.to_varchar(F.col(c), s[c].dataType) for c in vendor_cols]
+        vendor = F.coalesce(*vend) if len(vend) > 1 else vend[0]
+        return df.select(
+            F.lit(service).alias("service_type"),
+            F.col("trip_distance"),
+            casts.to_number(F.col("trip_distance"), s["trip_distance"].dataType)
+                 .alias("distance_number"),
+            casts.to_number(F.col("fare_amount"), s["fare_amount"].dataType)
+                 .alias("fare_number"),
+            casts.to_varchar(F.col("payment_type"), s["payment_type"].dataType)
+                 .alias("payment_code"),
+            vendor.alias("vendor_code"),
+            fn.code_key(vendor).alias("vendor_key"),
+            casts.to_float(F.col("passenger_count"), s["passenger_count"].dataType)
+                 .alias("passengers_float"),
+        )
+    return sel(y, ys, "yellow", ["VendorID"]).unionByName(sel(g, gs, "green", ["vendor_id"]))
+
+
+# ---- dimensions ------------------------------------------------------------
+
+def q_dim_zones(spark, sf_dir):
+    """S2 + P6 + K2: zone lookup written as a CSV with padded cells, read back
+    with a header and no inference, cleaned, and stored as a table."""
+    m = _m(spark, sf_dir)
+    csv_dir = session.scratch_dir(spark, "zones-csv")
+    (testdata.zone_lookup(spark, sf_dir, pad=True).coalesce(1).write
+     .option("header", True).option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).mode("overwrite").csv(csv_dir))
+    table_dir = session.scratch_dir(spark, "taxi-zones")
+    sinks.write_table(dims.read_zones_csv(spark, csv_dir), table_dir)
+    del m
+    return sinks.read_table(spark, table_dir)
+
+
+def q_dim_codes(spark, sf_dir):
+    """S4/T6 + Q3: each code seen in the trips, its integer key and the
+    description from the code tables (NULL when no row matches)."""
+    m = _m(spark, sf_dir)
+    return dims.code_usage(m.trips_all, m.dims.codes)
+
+
+# ---- SQL over views ---------------------------------------------------------
+
+def q_read_query(spark, sf_dir):
+    """The view chain registered by SQL and a report in SQL text
+    (ordinal GROUP BY / ORDER BY), as the source sends it to its warehouse."""
+    m = _m(spark, sf_dir)
+    views.register_views(spark, m.trips_all)
+    return views.read_query(spark, """
+        SELECT service_type,
+               ROUND(AVG(trip_minutes), 1) AS avg_min,
+               ROUND(AVG(trip_distance), 2) AS avg_dist,
+               ROUND(AVG(tip_pct), 3) AS avg_tip,
+               COUNT(*) AS n
+        FROM obt_trips_clean_v
+        GROUP BY 1
+        ORDER BY 1""")
+
+
+# ---- inventories, coverage, load -------------------------------------------
+
+def loaded_months(spark, sf_dir):
+    return coverage.loaded_months(_m(spark, sf_dir).trips_all)
+
+
+def q_inventory_months(spark, sf_dir):
+    """Raw table names (one per loaded month, plus a ``_TINY`` sample per
+    green month and the unified ``TRIPS_ALL``) parsed into (service, year,
+    month); names that do not parse are dropped."""
+    months = loaded_months(spark, sf_dir)
+    names = months.select(fn.table_name("service_type", "year", "month").alias("table_name"))
+    tiny = (months.where(F.col("service_type") == "green")
+            .select(F.concat(fn.table_name("service_type", "year", "month"), F.lit("_TINY"))
+                    .alias("table_name")))
+    unified = months.agg(F.lit("TRIPS_ALL").alias("table_name"))
+    return catalog.parse_table_names(names.unionByName(tiny).unionByName(unified))
+
+
+def q_missing_months(spark, sf_dir):
+    """Months missing per service and year over the whole
+    calendar years the data spans."""
+    loaded = loaded_months(spark, sf_dir)
+    expected = coverage.expected_full_years(loaded)
+    return coverage.missing_by_year(coverage.missing_months(expected, loaded))
+
+
+def q_scan_month(spark, sf_dir):
+    """One month read back from the monthly files (yellow 1998-07)."""
+    m = _m(spark, sf_dir)
+    return files.load_month(spark, m.raw_files_root, "yellow", 1998, "07")
+
+
+def q_inventory_files(spark, sf_dir):
+    """Month files per service, year and month, from a recursive listing."""
+    m = _m(spark, sf_dir)
+    return files.inventory_files(files.list_units(spark, m.raw_files_root))
+
+
+def q_overwrite_month(spark, sf_dir):
+    """K1: write the trips table, re-load one month into it (dynamic partition
+    overwrite), read the whole table back: every row once."""
+    m = _m(spark, sf_dir)
+    target = session.scratch_dir(spark, "trips")
+    sinks.write_trips(m.trips_all, target)
+    month = ((F.col("service_type") == "yellow") & (F.col("year") == 1998)
+             & (F.col("month") == 7))
+    sinks.overwrite_month(m.trips_all.where(month), target)
+    return sinks.read_trips(spark, target)
+
+
+def q_load_manifest(spark, sf_dir):
+    """L1/L2: plan = every month of the calendar years the source files span;
+    load the months found (schema drift harmonised per file signature) and
+    report rows and status per planned month."""
+    m = _m(spark, sf_dir)
+    units = files.list_units(spark, m.raw_files_root).where(F.col("unit").isNotNull())
+    plan = coverage.expected_full_years(units.select("service_type", "year", "month"))
+    target = session.scratch_dir(spark, "trips-load")
+    return ingest.run(spark, plan, m.raw_files_root, target).drop("error")
+
+
 QUERIES: dict[str, Query] = {
-    name[2:]: fn for name, fn in sorted(globals().items())
-    if name.startswith("q_") and callable(fn)
+    name[2:]: fn_ for name, fn_ in sorted(globals().items())
+    if name.startswith("q_") and callable(fn_)
 }

@@ -91,8 +91,10 @@ def green(spark: SparkSession, sf_dir: str) -> RawMonths:
     df = ev.select(
         F.when(et == "error", F.lit("CMT"))
          .otherwise((F.col("user_id") % 3).cast("string")).alias("vendor_id"),
-        F.col("ts").alias("lpep_pickup_datetime"),
-        _secs_after(F.col("ts"), F.floor(v * 12) - 30).alias("lpep_dropoff_datetime"),
+        # green files store zoned timestamps; ingest normalises them
+        F.col("ts").cast("timestamp").alias("lpep_pickup_datetime"),
+        _secs_after(F.col("ts"), F.floor(v * 12) - 30).cast("timestamp")
+         .alias("lpep_dropoff_datetime"),
         F.lit("N").alias("store_and_fwd_flag"),
         (F.col("event_id") % 7 + 1).alias("rate_code_id"),
         (F.col("user_id") % 26).alias("PU_Location_ID"),
@@ -115,6 +117,21 @@ def green(spark: SparkSession, sf_dir: str) -> RawMonths:
     return RawMonths("green", df)
 
 
+def file_eras(raw: RawMonths) -> list[DataFrame]:
+    """The raw rows split into schema eras, as the monthly files hold them.
+
+    Yellow months before 1998 lack ``congestion_surcharge`` and store
+    ``passenger_count`` as a double; later yellow months and green keep the
+    adapter's schema.  Each frame keeps FILE_YEAR/FILE_MONTH.
+    """
+    if raw.service != "yellow":
+        return [raw.df]
+    old = F.col(FILE_YEAR) < int(YELLOW_ERA2_START[:4])
+    era1 = (raw.df.where(old).drop("congestion_surcharge")
+            .withColumn("passenger_count", F.col("passenger_count").cast("double")))
+    return [era1, raw.df.where(~old)]
+
+
 def services(spark: SparkSession, sf_dir: str) -> list[RawMonths]:
     return [yellow(spark, sf_dir), green(spark, sf_dir)]
 
