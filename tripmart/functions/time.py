@@ -12,27 +12,30 @@ from pyspark.sql import functions as F
 
 from ._util import col_of
 
-_EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
-_US_PER = {"second": 1_000_000, "minute": 60_000_000, "hour": 3_600_000_000}
+_UNIT_SECONDS = {"second": 1, "minute": 60, "hour": 3600}
 
 
-def epoch_micros(ts) -> Column:
-    """Microseconds since 1970-01-01 of a zone-less timestamp."""
-    return F.timestamp_diff("MICROSECOND", F.expr(_EPOCH),
-                            col_of(ts).cast("timestamp_ntz"))
+def _clock(ts: Column, unit: str) -> Column:
+    """Whole units elapsed since midnight (wall clock, no zone involved)."""
+    secs = {"hour": F.hour(ts) * 3600,
+            "minute": F.hour(ts) * 3600 + F.minute(ts) * 60,
+            "second": F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)}[unit]
+    return secs / F.lit(_UNIT_SECONDS[unit])
 
 
 def boundary_diff(unit: str, start, end) -> Column:
     """``DATEDIFF(unit, start, end)`` as a count of unit boundaries crossed.
 
     00:00:59 -> 00:01:01 is 1 minute, where elapsed-time functions give 0.
-    Both ends are floored to the unit (exact integer arithmetic, also before
-    1970) and the floored difference is divided by the unit.
+    Built from calendar fields only (day difference plus the clock reading
+    truncated to the unit), so it is exact and never depends on the session
+    time zone, which elapsed-time functions on zone-less values do.
     """
-    n = F.lit(_US_PER[unit.lower()])
-    a, b = epoch_micros(start), epoch_micros(end)
-    floored = (b - F.pmod(b, n)) - (a - F.pmod(a, n))
-    return (floored / n).cast("long")
+    unit = unit.lower()
+    a, b = col_of(start), col_of(end)
+    per_day = 86400 // _UNIT_SECONDS[unit]
+    days = F.datediff(F.to_date(b), F.to_date(a)).cast("long")
+    return (days * per_day + (_clock(b, unit) - _clock(a, unit)).cast("long")).cast("long")
 
 
 def minutes_between(start, end) -> Column:
