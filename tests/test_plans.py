@@ -27,4 +27,7 @@ def test_scan_reads_only_needed_columns(spark):
 
 def test_full_enrichment_has_five_broadcast_joins(spark):
     p = _plan(QUERIES["obt_enriched"](spark, SF_SMALL))
-    assert p.count("BroadcastHashJoin") == 5 and "SortMergeJoin" not in p
+    joins = [ln for ln in p.splitlines() if "BroadcastHashJoin" in ln and "LeftOuter" in ln]
+    assert len(joins) == 5 and "SortMergeJoin" not in p
+    # the dropoff role reuses the pickup role's zone broadcast
+    assert "ReusedExchange" in p
