@@ -7,16 +7,32 @@ per report: nothing is materialised unless a caller writes it.
 
 from __future__ import annotations
 
+import threading
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .. import session
+from .. import session, sinks
 from ..operators import dims as dims_mod
 from ..operators import harmonize, marts
 from ..sources import files, testdata
 
 
+# Canonical trips tables already written in this application, by source.
+_TABLES: dict[tuple, str] = {}
+_LOCK = threading.Lock()
+
+
+def _source_stamp(spark: SparkSession, sf_dir: str) -> tuple:
+    """Identity of the source tables: path, size and modification time."""
+    out = []
+    for name in ("lineitem", "events"):
+        p, fs = files._fs_path(spark, f"{sf_dir}/{name}.parquet")
+        st = fs.getFileStatus(p)
+        out.append((name, int(st.getLen()), int(st.getModificationTime())))
+    return tuple(out)
+
+
 class Mart:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = session.configure(spark)
@@ -34,9 +50,38 @@ class Mart:
         return harmonize.harmonize(r.df, r.service, testdata.FILE_YEAR, testdata.FILE_MONTH)
 
     @cached_property
-    def trips_all(self) -> DataFrame:
+    def trips_union(self) -> DataFrame:
+        """T1 as a lazy plan: the harmonised branches, unioned."""
         return harmonize.union_all([self.harmonized(r.service) for r in self.raw_services])
 
+    def _built_once(self, kind: str, build) -> str:
+        """Path of a table derived from this source, written once per
+        application under the shared scratch folder and reused."""
+        key = (kind, self.spark.sparkContext.applicationId, self.sf_dir,
+               _source_stamp(self.spark, self.sf_dir))
+        with _LOCK:
+            path = _TABLES.get(key)
+            # an entry is recorded only after its write job committed
+            if path is None or not files.exists(self.spark, path):
+                path = session.scratch_dir(self.spark, kind)
+                build(path)
+                _TABLES[key] = path
+        return path
+
+    @cached_property
+    def trips_path(self) -> str:
+        """The canonical trips table, partitioned by service/year/month (the
+        Spark counterpart of the warehouse's loaded raw tables)."""
+        return self._built_once(
+            "trips-all", lambda p: sinks.write_trips(self.trips_union, p, rebalance=True))
+
+    @cached_property
+    def trips_all(self) -> DataFrame:
+        """The unified trips as every report reads them: a scan of the
+        canonical table (column pruning, Parquet filter pushdown and
+        partition pruning on service/year/month)."""
+        return sinks.read_trips(self.spark, self.trips_path)
+
     @cached_property
     def obt(self) -> DataFrame:
         return marts.obt(self.trips_all)
@@ -63,10 +108,10 @@ class Mart:
     @cached_property
     def raw_files_root(self) -> str:
         """The raw services written as monthly files (one folder per month,
-        older yellow months in their older schema) in a fresh scratch folder."""
-        root = session.scratch_dir(self.spark, "raw")
-        for r in self.raw_services:
-            for era in testdata.file_eras(r):
-                files.write_months(era, root, r.service, testdata.FILE_YEAR,
-                                   testdata.FILE_MONTH)
-        return root
+        older yellow months in their older schema); read-only for callers."""
+        def build(root):
+            for r in self.raw_services:
+                for era in testdata.file_eras(r):
+                    files.write_months(era, root, r.service, testdata.FILE_YEAR,
+                                       testdata.FILE_MONTH)
+        return self._built_once("raw-months", build)

@@ -19,10 +19,20 @@ from ..schema import PARTITION_COLUMNS, TRIPS_ALL_COLUMNS, TRIPS_ALL_SCHEMA
 MAX_RECORDS_PER_FILE = 5_000_000
 
 
-def write_trips(df: DataFrame, target: str, mode: str = "overwrite") -> None:
+def write_trips(df: DataFrame, target: str, mode: str = "overwrite",
+                rebalance: bool = False) -> None:
     """Write canonical trips; with ``overwrite`` only the months present in
-    ``df`` are replaced (dynamic partition overwrite)."""
-    (df.select(*TRIPS_ALL_COLUMNS).write
+    ``df`` are replaced (dynamic partition overwrite).
+
+    ``rebalance`` is for input that is not already one month per task: rows
+    are shuffled by month (the ``rebalance`` hint), so each month lands in a
+    few files, while AQE splits a month that holds a large share of all rows
+    over several tasks instead of giving it to one.
+    """
+    out = df.select(*TRIPS_ALL_COLUMNS)
+    if rebalance:
+        out = out.hint("rebalance", *PARTITION_COLUMNS)
+    (out.write
        .mode(mode)
        .option("partitionOverwriteMode", "dynamic")
        .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
