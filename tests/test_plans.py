@@ -18,11 +18,39 @@ def test_enriched_reports_broadcast_small_dims(spark):
     assert p.count("BroadcastHashJoin") == 1
 
 
-def test_scan_reads_only_needed_columns(spark):
-    df = QUERIES["trips_by_service_year"](spark, SF_SMALL)
-    p = df._jdf.queryExecution().executedPlan().toString()
-    assert "ReadSchema: struct<l_shipdate:timestamp_ntz>" in p
-    assert "ReadSchema: struct<ts:timestamp_ntz>" in p
+def _physical(df):
+    """``explain("formatted")`` as text (untruncated filter lists)."""
+    return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+
+
+def test_count_by_partition_columns_reads_no_data_columns(spark):
+    p = _physical(QUERIES["trips_by_service_year"](spark, SF_SMALL))
+    assert "ReadSchema: struct<>" in p
+
+
+def test_strict_rule_reaches_the_parquet_scan(spark):
+    from tripmart.plans.mart import Mart
+    from tripmart.operators import marts
+    p = _physical(marts.strict(Mart(spark, SF_SMALL).trips_all))
+    pushed = p[p.index("PushedFilters"):]
+    for f in ("GreaterThan(fare_amount,0.0)", "GreaterThanOrEqual(trip_distance,0.1)",
+              "LessThanOrEqual(trip_distance,100.0)"):
+        assert f in pushed
+
+
+def test_partition_filter_on_month(spark):
+    from pyspark.sql import functions as F
+    from tripmart.plans.mart import Mart
+    p = _physical(Mart(spark, SF_SMALL).trips_all.where((F.col("year") == 1998) & (F.col("month") == 7)))
+    assert "PartitionFilters: [isnotnull(year" in p and "(month" in p
+
+
+def test_raw_union_prunes_columns(spark):
+    from tripmart.plans.mart import Mart
+    p = _physical(Mart(spark, SF_SMALL).trips_union.select("service_type", "trip_distance"))
+    assert "ReadSchema: struct<l_partkey:bigint,l_quantity:double>" in p
+    assert "ReadSchema: struct<value:double>" in p
+    assert "Exchange" not in p          # a union of scans, no shuffle
 
 
 def test_full_enrichment_has_five_broadcast_joins(spark):

@@ -1,7 +1,5 @@
 """Reports: ranking ties, NULL groups, coverage and code usage."""
 
-import datetime as dt
-
 from pyspark.sql import functions as F
 
 from tripmart.operators import coverage, reports
@@ -68,4 +66,3 @@ def test_stats_by_service_shape(spark):
     r = reports.stats_by_service(marts.clean(marts.obt(t))).collect()
     assert r[0].asDict() == {"service_type": "yellow", "avg_min": 5.0, "avg_dist": 2.0,
                              "avg_tip": 0.1, "n": 1}
-    del dt

@@ -17,10 +17,10 @@ _UNIT_SECONDS = {"second": 1, "minute": 60, "hour": 3600}
 
 def _clock(ts: Column, unit: str) -> Column:
     """Whole units elapsed since midnight (wall clock, no zone involved)."""
-    secs = {"hour": F.hour(ts) * 3600,
-            "minute": F.hour(ts) * 3600 + F.minute(ts) * 60,
-            "second": F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)}[unit]
-    return secs / F.lit(_UNIT_SECONDS[unit])
+    if unit == "hour":
+        return F.hour(ts)
+    minutes = F.hour(ts) * 60 + F.minute(ts)
+    return minutes if unit == "minute" else minutes * 60 + F.second(ts)
 
 
 def boundary_diff(unit: str, start, end) -> Column:
@@ -35,7 +35,7 @@ def boundary_diff(unit: str, start, end) -> Column:
     a, b = col_of(start), col_of(end)
     per_day = 86400 // _UNIT_SECONDS[unit]
     days = F.datediff(F.to_date(b), F.to_date(a)).cast("long")
-    return (days * per_day + (_clock(b, unit) - _clock(a, unit)).cast("long")).cast("long")
+    return days * per_day + (_clock(b, unit) - _clock(a, unit)).cast("long")
 
 
 def minutes_between(start, end) -> Column:
