@@ -1 +1,6 @@
+"""Streaming: intentionally empty.
 
+The source pipeline has no streams, watermarks, windows over event time or
+state.  Its incremental behaviour ("load only the months still missing") is a
+batch plan: ``operators.coverage.load_plan`` feeding ``operators.ingest.run``.
+"""
