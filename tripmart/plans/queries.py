@@ -5,11 +5,9 @@ adapter and returns a lazy DataFrame."""
 from __future__ import annotations
 
 from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
 from functools import reduce
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import functions as fn
@@ -218,14 +216,13 @@ def q_scalars_cast(spark, sf_dir):
 def q_dim_zones(spark, sf_dir):
     """S2 + P6 + K2: zone lookup written as a CSV with padded cells, read back
     with a header and no inference, cleaned, and stored as a table."""
-    m = _m(spark, sf_dir)
+    session.configure(spark)
     csv_dir = session.scratch_dir(spark, "zones-csv")
     (testdata.zone_lookup(spark, sf_dir, pad=True).coalesce(1).write
      .option("header", True).option("ignoreLeadingWhiteSpace", False)
      .option("ignoreTrailingWhiteSpace", False).mode("overwrite").csv(csv_dir))
     table_dir = session.scratch_dir(spark, "taxi-zones")
     sinks.write_table(dims.read_zones_csv(spark, csv_dir), table_dir)
-    del m
     return sinks.read_table(spark, table_dir)
 
 

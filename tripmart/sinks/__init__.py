@@ -32,12 +32,21 @@ def write_trips(df: DataFrame, target: str, mode: str = "overwrite",
     out = df.select(*TRIPS_ALL_COLUMNS)
     if rebalance:
         out = out.hint("rebalance", *PARTITION_COLUMNS)
-    (out.write
-       .mode(mode)
-       .option("partitionOverwriteMode", "dynamic")
-       .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
-       .partitionBy(*PARTITION_COLUMNS)
-       .parquet(target))
+    w = out.write.option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
+    if mode == "overwrite" and _exists(df.sparkSession, target):
+        # replace only the months present in df (staged, then swapped in)
+        w = w.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    elif mode == "overwrite":
+        w = w.mode("errorifexists")      # a new table: plain write, no staging
+    else:
+        w = w.mode(mode)
+    w.partitionBy(*PARTITION_COLUMNS).parquet(target)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
 
 
 def overwrite_month(df: DataFrame, target: str) -> None:
