@@ -262,12 +262,12 @@ def q_inventory_months(spark, sf_dir):
     green month and the unified ``TRIPS_ALL``) parsed into (service, year,
     month); names that do not parse are dropped."""
     months = loaded_months(spark, sf_dir)
-    names = months.select(fn.table_name("service_type", "year", "month").alias("table_name"))
-    tiny = (months.where(F.col("service_type") == "green")
-            .select(F.concat(fn.table_name("service_type", "year", "month"), F.lit("_TINY"))
-                    .alias("table_name")))
+    tname = fn.table_name("service_type", "year", "month")
+    tiny = F.when(F.col("service_type") == "green", F.concat(tname, F.lit("_TINY")))
+    names = (months.select(F.explode(F.array(tname, tiny)).alias("table_name"))
+             .where(F.col("table_name").isNotNull()))
     unified = months.agg(F.lit("TRIPS_ALL").alias("table_name"))
-    return catalog.parse_table_names(names.unionByName(tiny).unionByName(unified))
+    return catalog.parse_table_names(names.unionByName(unified))
 
 
 def q_missing_months(spark, sf_dir):
