@@ -26,6 +26,24 @@ DEFAULT_CONF = {
 }
 
 
+# Settings for a large cluster (100 TB of trips, ~1000 executors), passed as
+# ``build_session(extra=CLUSTER_CONF)`` or in spark-defaults:
+# * scans: 256 MB splits; trip rows are narrow, so bigger splits mean fewer
+#   tasks and fewer Parquet footers per task;
+# * shuffles: reports shuffle only partial aggregates, so a generous initial
+#   partition count costs nothing once AQE coalesces it; the one large shuffle
+#   (a rebalanced write of input that is not month-aligned) targets 256 MB
+#   files, and AQE splits a month that holds a large share of rows;
+# * coalescing honours the advisory size instead of maximising parallelism.
+CLUSTER_CONF = {
+    "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
+    "spark.sql.shuffle.partitions": "4000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+}
+
+
 def build_session(master: str | None = None, app_name: str = "tripmart",
                   shuffle_partitions: int | None = None,
                   extra: dict[str, str] | None = None) -> SparkSession:
