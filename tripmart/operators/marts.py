@@ -36,20 +36,30 @@ def obt(trips: DataFrame, duration: str = "trip_minutes") -> DataFrame:
     )
 
 
-# Named rule sets (W1, W2).  Both bounds are inclusive (BETWEEN); a NULL in a
+# Bounds of the two cleaning rule sets, as the source defines them.
+# clean:  minutes 1..240, distance above 0 and at most 100, tip share 0..1
+# strict: fare above 0, distance 0.1..100, minutes 1..240
+CLEAN_MINUTES = (1, 240)
+CLEAN_MAX_DISTANCE = 100
+CLEAN_TIP_SHARE = (0, 1)
+STRICT_DISTANCE = (0.1, 100)
+STRICT_MINUTES = (1, 240)
+
+
+# Named rule sets (W1, W2).  Bounds are inclusive (BETWEEN); a NULL in a
 # tested column drops the row.
 def clean_rule(duration: str = "trip_minutes") -> Column:
     """1..240 min, 0 < distance <= 100, tip share in 0..1."""
-    return (F.col(duration).between(1, 240)
-            & (F.col("trip_distance") > 0) & (F.col("trip_distance") <= 100)
-            & F.col("tip_pct").between(0, 1))
+    return (F.col(duration).between(*CLEAN_MINUTES)
+            & (F.col("trip_distance") > 0) & (F.col("trip_distance") <= CLEAN_MAX_DISTANCE)
+            & F.col("tip_pct").between(*CLEAN_TIP_SHARE))
 
 
 def strict_rule(duration: str = "trip_duration_min") -> Column:
     """Fare > 0, 0.1 <= distance <= 100, 1..240 min."""
     return ((F.col("fare_amount") > 0)
-            & F.col("trip_distance").between(0.1, 100)
-            & F.col(duration).between(1, 240))
+            & F.col("trip_distance").between(*STRICT_DISTANCE)
+            & F.col(duration).between(*STRICT_MINUTES))
 
 
 RULES = {"clean": clean_rule, "strict": strict_rule}

@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 
 from .marts import clean_rule
 
+# Fixed value: a tip share above this counts as "above 500 %" (R2).
+TIP_SHARE_ALERT = 5
+
 
 def quality_counts(obt_df: DataFrame) -> DataFrame:
     """R2: negative durations, negative tip shares, tip share above 500 %."""
     return obt_df.agg(
         F.count_if(F.col("trip_minutes") < 0).alias("trips_negativos"),
         F.count_if(F.col("tip_pct") < 0).alias("tips_negativos"),
-        F.count_if(F.col("tip_pct") > 5).alias("tips_mayor_500pct"),
+        F.count_if(F.col("tip_pct") > TIP_SHARE_ALERT).alias("tips_mayor_500pct"),
     )
 
 

@@ -12,6 +12,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# The report contract of the source.
+# Output column names, per report:
+#   R1  service_type, year, total_viajes
+#   R2  trips_negativos, tips_negativos, tips_mayor_500pct
+#   R3  total_clean, pct_sobre_total
+#   R4  service_type, avg_min, avg_dist, avg_tip, n
+#   R5  pickup_hour, service_type, n, avg_min, avg_dist, avg_tip
+#   R6  pickup_dow, is_weekend, service_type, n, avg_min, avg_dist, avg_tip
+#   R7  year, month, pu_borough, pu_zone, trips
+#   R8  year, month, do_borough, do_zone, trips
+#   R9  year, month, pu_borough, total_amount_sum, tip_pct_avg, n
+#   R10 pu_borough, avg_speed, min_speed, max_speed
+#   R11 payment_type_desc, avg_tip_pct, n
+#   R12 pu_borough, pu_zone, do_borough, do_zone, avg_tip_pct, n
+#   R13 pickup_hour, avg_duration_min, avg_distance_mi, avg_tip_pct, n
+# Rounding: minutes 1 decimal (R4-R6), distances, money and speeds 2, tip shares 3
+# (R13 rounds minutes to 2).  Top zones per month: 10.  Corridors: more than
+# 500 trips, top 10.  Tip share above 5 counts as "above 500 %".
+TOP_ZONES = 10
+CORRIDOR_MIN_TRIPS = 500
+CORRIDOR_TOP = 10
+
 
 def _asc(*cols):
     return [F.col(c).asc_nulls_last() for c in cols]
@@ -48,7 +70,7 @@ def stats_by_dow(clean_df: DataFrame) -> DataFrame:
     return _profile(clean_df, ["pickup_dow", "is_weekend", "service_type"], first_n=True)
 
 
-def top_zones(enriched: DataFrame, side: str = "pu", k: int = 10) -> DataFrame:
+def top_zones(enriched: DataFrame, side: str = "pu", k: int = TOP_ZONES) -> DataFrame:
     """The k zones with most trips per month (pickup or dropoff side).
 
     Aggregate first (partial + final), then rank within (year, month): after
@@ -101,11 +123,8 @@ def tip_by_payment(enriched: DataFrame) -> DataFrame:
             .orderBy(F.col("avg_tip_pct").desc_nulls_first(), *_asc("payment_type_desc")))
 
 
-CORRIDOR_MIN_TRIPS = 500
-
-
 def top_corridors_tip(enriched: DataFrame, min_trips: int = CORRIDOR_MIN_TRIPS,
-                      k: int = 10) -> DataFrame:
+                      k: int = CORRIDOR_TOP) -> DataFrame:
     """The k pickup->dropoff zone pairs with the highest average tip share
     among pairs with more than ``min_trips`` trips (HAVING), ties by keys."""
     keys = ["pu_borough", "pu_zone", "do_borough", "do_zone"]

@@ -218,7 +218,7 @@ def q_dim_zones(spark, sf_dir):
     with a header and no inference, cleaned, and stored as a table."""
     session.configure(spark)
     csv_dir = session.scratch_dir(spark, "zones-csv")
-    (testdata.zone_lookup(spark, sf_dir, pad=True).coalesce(1).write
+    (testdata.zone_lookup(spark, sf_dir, pad=True).write
      .option("header", True).option("ignoreLeadingWhiteSpace", False)
      .option("ignoreTrailingWhiteSpace", False).mode("overwrite").csv(csv_dir))
     table_dir = session.scratch_dir(spark, "taxi-zones")
