@@ -113,3 +113,19 @@ def test_missing_only_plan_drives_the_next_load(spark):
     counts = {r["month"]: r["count"] for r in
               sinks.read_trips(spark, target).groupBy("month").count().collect()}
     assert counts == {1: 3, 2: 2, 3: 4}
+
+
+def test_load_missing_end_to_end(spark):
+    """Empty target: everything expected is planned; second call: nothing left."""
+    root = session.scratch_dir(spark, "t-raw4")
+    target = session.scratch_dir(spark, "t-trips4")
+    _write_raw(spark, root, {("green", 2021, 5): _green_month(spark, 2),
+                             ("green", 2021, 6): _green_month(spark, 3)})
+    first = ingest.load_missing(spark, root, target, (2021, 5), (2021, 6), services=("green",))
+    assert [(r["month"], r["rows_loaded"], r["status"]) for r in first.collect()] == \
+        [(5, 2, "loaded"), (6, 3, "loaded")]
+    again = ingest.load_missing(spark, root, target, (2021, 5), (2021, 6), services=("green",))
+    assert again.count() == 0
+    from tripmart.plans.mart import Mart
+    m = Mart(spark, "/root/testdata/sf0.001", trips_table=target)
+    assert m.trips_all.count() == 5 and m.obt.count() == 5

@@ -74,3 +74,19 @@ def run(spark: SparkSession, plan: DataFrame, source_root: str, target: str) ->
     return (m.select(*KEYS, F.coalesce("rows_loaded", F.lit(0)).cast("long").alias("rows_loaded"),
                      status.alias("status"), "error")
             .orderBy(*KEYS))
+
+
+def load_missing(spark: SparkSession, source_root: str, target: str,
+                 start: tuple[int, int], end: tuple[int, int],
+                 services=("yellow", "green")) -> DataFrame:
+    """L3 end to end: expected months minus the months already in ``target``
+    form the plan, and only those are loaded.  Returns the manifest of this
+    run (empty when nothing is missing)."""
+    from . import coverage
+    expected = coverage.expected_months(spark, start, end, services)
+    if files.exists(spark, target):
+        loaded = coverage.loaded_months(sinks.read_trips(spark, target))
+        plan = coverage.load_plan(expected, loaded)
+    else:
+        plan = expected
+    return run(spark, plan, source_root, target)

@@ -34,9 +34,16 @@ def _source_stamp(spark: SparkSession, sf_dir: str) -> tuple:
 
 
 class Mart:
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    """The view stack over the driver's tables in ``sf_dir``.
+
+    ``trips_table`` names an existing canonical trips table (as written by
+    ``ingest.run``); without it, one is materialised from the source once.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str, trips_table: str | None = None):
         self.spark = session.configure(spark)
         self.sf_dir = sf_dir.rstrip("/")
+        self.trips_table = trips_table
 
     @cached_property
     def raw_services(self) -> list[testdata.RawMonths]:
@@ -72,6 +79,8 @@ class Mart:
     def trips_path(self) -> str:
         """The canonical trips table, partitioned by service/year/month (the
         Spark counterpart of the warehouse's loaded raw tables)."""
+        if self.trips_table:
+            return self.trips_table
         return self._built_once(
             "trips-all", lambda p: sinks.write_trips(self.trips_union, p, rebalance=True))
 
