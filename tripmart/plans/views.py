@@ -1,8 +1,12 @@
-"""The warehouse view chain as session views (K3).
+"""The warehouse view chain as session views.
 
-``trips_all`` and ``obt_trips_v`` are registered from DataFrames; the clean
-view is created from SQL text, so reports written as SQL strings run against
-the same plans as the DataFrame reports.
+Registers every relation the source's SQL reads, under its table name:
+``trips_all``, ``obt_trips_v``, ``obt_trips_clean_v`` (created from SQL
+text), ``obt_trips``, ``taxi_zones``, ``payment_type_dim``,
+``rate_code_dim``, ``vendor_dim`` and ``obt_trips_enriched``.  Reports
+written as SQL strings then run against the same plans as the DataFrame
+reports.  Spark SQL has no QUALIFY: filter a ROW_NUMBER column in a
+subquery instead.
 """
 
 from __future__ import annotations
@@ -10,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import marts
+from ..operators.dims import Dims
 from ..sources.catalog import read_query  # noqa: F401  (re-exported)
 
 CLEAN_VIEW_SQL = """
@@ -21,9 +26,17 @@ WHERE trip_minutes BETWEEN 1 AND 240
   AND tip_pct BETWEEN 0 AND 1
 """
 
+CODE_VIEWS = {"payment": "payment_type_dim", "rate": "rate_code_dim", "vendor": "vendor_dim"}
 
-def register_views(spark: SparkSession, trips_all: DataFrame) -> None:
+
+def register_views(spark: SparkSession, trips_all: DataFrame, dims: Dims | None = None) -> None:
     trips_all.createOrReplaceTempView("trips_all")
     marts.obt(trips_all).createOrReplaceTempView("obt_trips_v")
     spark.sql(CLEAN_VIEW_SQL)
-    marts.strict(trips_all).createOrReplaceTempView("obt_trips")
+    strict = marts.strict(trips_all)
+    strict.createOrReplaceTempView("obt_trips")
+    if dims is not None:
+        dims.zones.createOrReplaceTempView("taxi_zones")
+        for role, name in CODE_VIEWS.items():
+            dims.codes[role].createOrReplaceTempView(name)
+        marts.enrich(strict, dims).createOrReplaceTempView("obt_trips_enriched")
