@@ -109,11 +109,14 @@ def read_units(spark: SparkSession, units: list[tuple[str, str]],
     return union_all(branches)
 
 
-def write_months(df: DataFrame, root: str, service: str, year_col: str, month_col: str) -> None:
+def write_months(df: DataFrame, root: str, service: str, year_col: str, month_col: str,
+                 rebalance: bool = True) -> None:
     """Write rows as month units ``<service>_tripdata_<YYYY>-<MM>.parquet/``.
 
-    One job: rows are written by the task that holds them (no shuffle), into
-    a folder per month, which is then given the unit name.
+    One job writes a folder per month, which is then given the unit name.
+    Rows are rebalanced by month first (few files per month; AQE splits a
+    month holding a large share of rows); ``rebalance=False`` writes rows
+    from the tasks that hold them, for input already one month per task.
     """
     spark = df.sparkSession
     unit = F.concat(F.lit(f"{service.lower()}_tripdata_"), F.col(year_col).cast("string"),
@@ -121,8 +124,10 @@ def write_months(df: DataFrame, root: str, service: str, year_col: str, month_co
                     F.lit(".parquet"))
     root = root.rstrip("/")
     staging = f"{root}.staging-{service.lower()}"
-    (df.withColumn("_unit", unit).drop(year_col, month_col)
-       .write.mode("overwrite").partitionBy("_unit").parquet(staging))
+    out = df.withColumn("_unit", unit).drop(year_col, month_col)
+    if rebalance:
+        out = out.hint("rebalance", "_unit")
+    out.write.mode("overwrite").partitionBy("_unit").parquet(staging)
     jvm = spark.sparkContext._jvm
     rp, fs = _fs_path(spark, root)
     fs.mkdirs(rp)
