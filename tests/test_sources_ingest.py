@@ -129,3 +129,13 @@ def test_load_missing_end_to_end(spark):
     from tripmart.plans.mart import Mart
     m = Mart(spark, "/root/testdata/sf0.001", trips_table=target)
     assert m.trips_all.count() == 5 and m.obt.count() == 5
+
+
+def test_landing_a_month_twice_replaces_it(spark):
+    root = session.scratch_dir(spark, "t-land")
+    df = _green_month(spark, 4).select("*", F.lit(2019).alias("y"), F.lit(1).alias("m"))
+    files.write_months(df, root, "green", "y", "m")
+    files.write_months(df, root, "green", "y", "m")
+    assert files.load_month(spark, root, "green", 2019, 1).count() == 4
+    inv = files.inventory_files(files.list_units(spark, root)).collect()
+    assert [(r["month"], r["n_files"]) for r in inv] == [(1, 1)]

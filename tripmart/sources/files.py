@@ -113,7 +113,9 @@ def write_months(df: DataFrame, root: str, service: str, year_col: str, month_co
                  rebalance: bool = True) -> None:
     """Write rows as month units ``<service>_tripdata_<YYYY>-<MM>.parquet/``.
 
-    One job writes a folder per month, which is then given the unit name.
+    One job writes a folder per month, which is then given the unit name;
+    a month already present under ``root`` is replaced, so landing a month
+    twice leaves it once.
     Rows are rebalanced by month first (few files per month; AQE splits a
     month holding a large share of rows); ``rebalance=False`` writes rows
     from the tasks that hold them, for input already one month per task.
@@ -135,4 +137,7 @@ def write_months(df: DataFrame, root: str, service: str, year_col: str, month_co
     for st in fs.listStatus(sp):
         name = st.getPath().getName()
         if st.isDirectory() and name.startswith("_unit="):
-            fs.rename(st.getPath(), jvm.org.apache.hadoop.fs.Path(rp, name[len("_unit="):]))
+            dst = jvm.org.apache.hadoop.fs.Path(rp, name[len("_unit="):])
+            if fs.exists(dst):          # re-landing a month replaces it (overwrite)
+                fs.delete(dst, True)
+            fs.rename(st.getPath(), dst)
