@@ -37,9 +37,10 @@ ZONE_CSV_SCHEMA = T.StructType([
     T.StructField("service_zone", T.StringType()),
 ])
 
-# A zone lookup has a few hundred rows; anything beyond this is not
-# broadcast.
+# A zone lookup has a few hundred rows and a code table a handful; anything
+# beyond these bounds is not broadcast.
 ZONE_BROADCAST_MAX_ROWS = 100_000
+CODE_BROADCAST_MAX_ROWS = 10_000
 
 
 def _sql_str(s: str) -> str:
@@ -118,6 +119,24 @@ def code_usage(trips: DataFrame, codes: dict[str, DataFrame]) -> DataFrame:
         d = codes[role].select(F.lit(role).alias("dim"), F.col(key).alias("code_key"),
                                F.col(desc).alias("description"))
         long_dims = d if long_dims is None else long_dims.unionByName(d)
-    return (used.join(F.broadcast(long_dims), ["dim", "code_key"], "left")
+    small, _unique = check_bound(long_dims, "code_key", CODE_BROADCAST_MAX_ROWS)
+    return (used.join(F.broadcast(long_dims) if small else long_dims, ["dim", "code_key"], "left")
             .select("dim", "code", "code_key", "description", "n")
             .orderBy("dim", F.col("code").asc_nulls_last()))
+
+
+def write_code_tables(spark: SparkSession, root: str, fmt: str = "parquet") -> dict[str, str]:
+    """K4: each code dimension stored as its own table (replaced if present);
+    returns {role: path}."""
+    from .. import sinks
+    paths = {}
+    for role, df in code_dims(spark).items():
+        paths[role] = f"{root.rstrip('/')}/{role}_dim"
+        sinks.write_table(df, paths[role], fmt)
+    return paths
+
+
+def read_code_tables(spark: SparkSession, paths: dict[str, str],
+                     fmt: str = "parquet") -> dict[str, DataFrame]:
+    from .. import sinks
+    return {role: sinks.read_table(spark, p, fmt) for role, p in paths.items()}
