@@ -110,3 +110,15 @@ def test_zone_bound_disables_broadcast(spark):
     z = [(i, "B", f"Z{i}", "S") for i in range(20)]
     d = dims.build_dims(spark, zones(spark, z), max_zone_rows=10)
     assert not d.zones_small and not d.zones_unique
+
+
+def test_stored_code_tables_are_checked(spark):
+    from tripmart import session
+    paths = dims.write_code_tables(spark, session.scratch_dir(spark, "t-codes"))
+    codes = dims.read_code_tables(spark, paths)
+    d = dims.build_dims(spark, zones(spark, [(1, "B", "Z", "S")]), codes=codes)
+    assert d.codes_small and d.codes_unique
+    t = trips(spark, [dict(pickup_datetime=ts("2020-01-05 10:00:00"),
+                           dropoff_datetime=ts("2020-01-05 10:30:00"), payment_type="2")])
+    r = marts.enrich(marts.obt(t, "trip_duration_min"), d, roles=("payment",)).first()
+    assert r["payment_type_desc"] == "Cash"

@@ -82,6 +82,8 @@ class Dims:
     codes: dict[str, DataFrame]
     zones_small: bool
     zones_unique: bool
+    codes_small: bool = True        # inline VALUES: bounded and unique by construction
+    codes_unique: bool = True
 
 
 def check_bound(df: DataFrame, key: str, max_rows: int) -> tuple[bool, bool]:
@@ -94,9 +96,20 @@ def check_bound(df: DataFrame, key: str, max_rows: int) -> tuple[bool, bool]:
 
 
 def build_dims(spark: SparkSession, zones: DataFrame,
-               max_zone_rows: int = ZONE_BROADCAST_MAX_ROWS) -> Dims:
+               max_zone_rows: int = ZONE_BROADCAST_MAX_ROWS,
+               codes: dict[str, DataFrame] | None = None) -> Dims:
+    """Zones plus code tables, with their size bounds and key uniqueness.
+
+    Without ``codes`` the inline code tables are used (no check needed);
+    stored code tables (e.g. from ``read_code_tables``) are checked like zones.
+    """
     small, unique = check_bound(zones, "LOCATIONID", max_zone_rows)
-    return Dims(zones=zones, codes=code_dims(spark), zones_small=small, zones_unique=unique)
+    if codes is None:
+        return Dims(zones=zones, codes=code_dims(spark), zones_small=small, zones_unique=unique)
+    checks = [check_bound(codes[role], key, CODE_BROADCAST_MAX_ROWS)
+              for role, (key, _d, _r) in CODE_DIMS.items()]
+    return Dims(zones=zones, codes=codes, zones_small=small, zones_unique=unique,
+                codes_small=all(c[0] for c in checks), codes_unique=all(c[1] for c in checks))
 
 
 def code_usage(trips: DataFrame, codes: dict[str, DataFrame]) -> DataFrame:

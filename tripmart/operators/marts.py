@@ -93,14 +93,17 @@ def enrich(strict_df: DataFrame, dims: Dims, roles=ALL_ROLES) -> DataFrame:
     """P8/T7 + J1-J3: five LEFT joins and the derived calendar/speed columns.
 
     ``roles`` limits the joins to the dimensions a caller reads.  A skipped
-    join must not change row counts, so a zone role is only skipped when the
-    zone key is unique (checked in ``build_dims``); the code tables are
-    unique by construction.  The output columns are always all present; a
+    join must not change row counts, so a role is only skipped when its key
+    is unique (checked in ``build_dims``; the inline code tables are unique
+    by construction).  Dimensions are broadcast only when their checked
+    size bound holds.  The output columns are always all present; a
     skipped role's columns are typed NULLs.
     """
     roles = set(roles)
     if not dims.zones_unique:
         roles |= {"pu", "do"}
+    if not dims.codes_unique:
+        roles |= set(CODE_DIMS)
     t = strict_df
     for side in ("pu", "do"):
         if side in roles:
@@ -115,7 +118,8 @@ def enrich(strict_df: DataFrame, dims: Dims, roles=ALL_ROLES) -> DataFrame:
     for role, (key, desc, _rows) in CODE_DIMS.items():
         if role in roles:
             d = dims.codes[role].select(F.col(key).alias(f"_{role}_key"), desc)
-            t = t.join(F.broadcast(d), code_key(F.col(key)) == F.col(f"_{role}_key"), "left")
+            t = t.join(_hint(d, dims.codes_small),
+                       code_key(F.col(key)) == F.col(f"_{role}_key"), "left")
         else:
             t = t.withColumn(desc, F.lit(None).cast("string"))
     return t.select(
