@@ -20,14 +20,15 @@ from ..sources import files, testdata
 
 # Canonical trips tables already written in this application, by source.
 _TABLES: dict[tuple, str] = {}
+_DIMS: dict[tuple, "dims_mod.Dims"] = {}
 _LOCK = threading.Lock()
 
 
 def _source_stamp(spark: SparkSession, sf_dir: str) -> tuple:
     """Identity of the source tables: path, size and modification time."""
     out = []
-    for name in ("lineitem", "events"):
-        p, fs = files._fs_path(spark, f"{sf_dir}/{name}.parquet")
+    for name in ("lineitem", "events", "nation", "region"):
+        p, fs = files.fs_path(spark, f"{sf_dir}/{name}.parquet")
         st = fs.getFileStatus(p)
         out.append((name, int(st.getLen()), int(st.getModificationTime())))
     return tuple(out)
@@ -109,7 +110,15 @@ class Mart:
 
     @cached_property
     def dims(self) -> dims_mod.Dims:
-        return dims_mod.build_dims(self.spark, self.zones)
+        """Zone and code dimensions; the zone bound/uniqueness check runs once
+        per source and application."""
+        key = ("zone-check", self.spark.sparkContext.applicationId, self.sf_dir,
+               _source_stamp(self.spark, self.sf_dir))
+        with _LOCK:
+            d = _DIMS.get(key)
+            if d is None:
+                d = _DIMS[key] = dims_mod.build_dims(self.spark, self.zones)
+        return d
 
     def enriched(self, roles=marts.ALL_ROLES) -> DataFrame:
         return marts.enrich(self.strict, self.dims, roles)

@@ -19,14 +19,15 @@ from ..functions.names import FILE_PATTERN, FILE_UNIT_PATTERN, extract_int, extr
 from ..operators.harmonize import harmonize, normalize_timestamps, schema_signature, union_all
 
 
-def _fs_path(spark: SparkSession, path: str):
+def fs_path(spark: SparkSession, path: str):
+    """(Hadoop Path, FileSystem) for a path on any file system Spark can use."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    p, fs = _fs_path(spark, path)
+    p, fs = fs_path(spark, path)
     return bool(fs.exists(p))
 
 
@@ -131,9 +132,9 @@ def write_months(df: DataFrame, root: str, service: str, year_col: str, month_co
         out = out.hint("rebalance", "_unit")
     out.write.mode("overwrite").partitionBy("_unit").parquet(staging)
     jvm = spark.sparkContext._jvm
-    rp, fs = _fs_path(spark, root)
+    rp, fs = fs_path(spark, root)
     fs.mkdirs(rp)
-    sp, _ = _fs_path(spark, staging)
+    sp, _ = fs_path(spark, staging)
     for st in fs.listStatus(sp):
         name = st.getPath().getName()
         if st.isDirectory() and name.startswith("_unit="):
