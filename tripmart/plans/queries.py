@@ -31,30 +31,37 @@ def q_trips_all(spark, sf_dir):
 
 
 def q_obt(spark, sf_dir):
+    """The One-Big-Table over every trip (24 columns)."""
     return _m(spark, sf_dir).obt
 
 
 def q_obt_clean(spark, sf_dir):
+    """The OBT filtered by the clean rule set."""
     return _m(spark, sf_dir).clean
 
 
 def q_obt_strict(spark, sf_dir):
+    """The OBT with trip_duration_min, filtered by the strict rule set."""
     return _m(spark, sf_dir).strict
 
 
 def q_obt_enriched(spark, sf_dir):
+    """Strict trips with zones (two roles) and code descriptions."""
     return _m(spark, sf_dir).enriched()
 
 
 def q_trips_by_service_year(spark, sf_dir):
+    """Trips per service and year."""
     return reports.trips_by_service_year(_m(spark, sf_dir).trips_all)
 
 
 def q_quality_counts(spark, sf_dir):
+    """R2/A2: negative durations, negative and above-500 % tip shares."""
     return quality.quality_counts(_m(spark, sf_dir).obt)
 
 
 def q_clean_pct(spark, sf_dir):
+    """Rows kept by the clean rule and their share of all rows."""
     return quality.clean_pct(_m(spark, sf_dir).obt)
 
 
@@ -66,42 +73,52 @@ def q_row_counts(spark, sf_dir):
 
 
 def q_stats_by_service(spark, sf_dir):
+    """Clean-trip profile per service."""
     return reports.stats_by_service(_m(spark, sf_dir).clean)
 
 
 def q_stats_by_hour_service(spark, sf_dir):
+    """Clean-trip profile per pickup hour and service."""
     return reports.stats_by_hour_service(_m(spark, sf_dir).clean)
 
 
 def q_stats_by_dow(spark, sf_dir):
+    """Clean-trip profile per weekday, weekend flag and service."""
     return reports.stats_by_dow(_m(spark, sf_dir).clean)
 
 
 def q_top_pickup_zones(spark, sf_dir):
+    """Ten pickup zones with most trips per month."""
     return reports.top_zones(_m(spark, sf_dir).enriched(("pu",)), "pu")
 
 
 def q_top_dropoff_zones(spark, sf_dir):
+    """Ten dropoff zones with most trips per month."""
     return reports.top_zones(_m(spark, sf_dir).enriched(("do",)), "do")
 
 
 def q_revenue_by_borough_month(spark, sf_dir):
+    """Revenue, tip share and trips per month and pickup borough."""
     return reports.revenue_by_borough_month(_m(spark, sf_dir).enriched(("pu",)))
 
 
 def q_speed_by_borough(spark, sf_dir):
+    """Average, min and max speed per pickup borough."""
     return reports.speed_by_borough(_m(spark, sf_dir).enriched(("pu",)))
 
 
 def q_tip_by_payment(spark, sf_dir):
+    """Average tip share per payment description."""
     return reports.tip_by_payment(_m(spark, sf_dir).enriched(("payment",)))
 
 
 def q_top_corridors_tip(spark, sf_dir):
+    """Ten zone pairs with the highest tip share (more than 500 trips)."""
     return reports.top_corridors_tip(_m(spark, sf_dir).enriched(("pu", "do")))
 
 
 def q_stats_by_hour(spark, sf_dir):
+    """Strict-trip profile per pickup hour."""
     return reports.stats_by_hour(_m(spark, sf_dir).enriched(()))
 
 
