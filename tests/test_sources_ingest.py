@@ -139,3 +139,15 @@ def test_landing_a_month_twice_replaces_it(spark):
     assert files.load_month(spark, root, "green", 2019, 1).count() == 4
     inv = files.inventory_files(files.list_units(spark, root)).collect()
     assert [(r["month"], r["n_files"]) for r in inv] == [(1, 1)]
+
+
+def test_manifest_count_is_partition_pruned(spark):
+    from tripmart.operators.ingest import month_filter
+    target = session.scratch_dir(spark, "t-prune")
+    t = _green_month(spark, 3)
+    h = harmonize.harmonize(t, "green", 2019, 1).unionByName(harmonize.harmonize(t, "green", 2019, 2))
+    sinks.write_trips(h, target)
+    df = sinks.read_trips(spark, target).where(month_filter([("green", 2019, 2)]))
+    plan = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    assert "PartitionFilters: [" in plan and "month" in plan.split("PartitionFilters: [")[1][:300]
+    assert df.count() == 3
