@@ -151,3 +151,15 @@ def test_manifest_count_is_partition_pruned(spark):
     plan = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
     assert "PartitionFilters: [" in plan and "month" in plan.split("PartitionFilters: [")[1][:300]
     assert df.count() == 3
+
+
+def test_table_months_from_folder_names(spark):
+    target = session.scratch_dir(spark, "t-months")
+    t = _green_month(spark, 2)
+    h = (harmonize.harmonize(t, "green", 2019, 1)
+         .unionByName(harmonize.harmonize(t, "green", 2019, 11))
+         .unionByName(harmonize.harmonize(t, "yellow", 2020, 3)))
+    sinks.write_trips(h, target)
+    got = sorted(tuple(r) for r in sinks.table_months(spark, target).collect())
+    want = sorted(tuple(r) for r in coverage.loaded_months(sinks.read_trips(spark, target)).collect())
+    assert got == want == [("green", 2019, 1), ("green", 2019, 11), ("yellow", 2020, 3)]

@@ -101,8 +101,7 @@ def load_missing(spark: SparkSession, source_root: str, target: str,
     from . import coverage
     expected = coverage.expected_months(spark, start, end, services)
     if files.exists(spark, target):
-        loaded = coverage.loaded_months(sinks.read_trips(spark, target))
-        plan = coverage.load_plan(expected, loaded)
+        plan = coverage.load_plan(expected, sinks.table_months(spark, target))
     else:
         plan = expected
     return run(spark, plan, source_root, target)

@@ -12,6 +12,7 @@ spread over as many tasks as it has input splits.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..schema import PARTITION_COLUMNS, TRIPS_ALL_COLUMNS, TRIPS_ALL_SCHEMA
 
@@ -61,6 +62,22 @@ def read_trips(spark: SparkSession, target: str) -> DataFrame:
             .select(*TRIPS_ALL_COLUMNS))
 
 
+def table_months(spark: SparkSession, target: str) -> DataFrame:
+    """(service_type, year, month) present in a trips table, from the names of
+    its partition folders: a distributed listing, no file is opened."""
+    from pyspark.sql import functions as F
+    pat = r"/service_type=([^/]+)/year=(\d+)/month=(\d+)/[^/]+$"
+    files = (spark.read.format("binaryFile")
+             .option("recursiveFileLookup", "true")
+             .option("pathGlobFilter", "*.parquet")
+             .load(target).select("path"))
+    return (files.select(F.regexp_extract("path", pat, 1).alias("service_type"),
+                         F.regexp_extract("path", pat, 2).cast("int").alias("year"),
+                         F.regexp_extract("path", pat, 3).cast("int").alias("month"))
+            .where(F.col("service_type") != "")
+            .distinct())
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", **options) -> None:
     """K2/K4: replace a whole table; the format is an argument so another
     connector can be named."""
