@@ -44,9 +44,15 @@ def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     scratch = tempfile.mkdtemp(prefix="tripmart-bench-")
+    extra = {"spark.driver.memory": "16g"}
+    if os.environ.get("BENCH_EVENT_LOG") == "1":
+        # stage/task times for later reading, in this run's own scratch folder
+        os.makedirs(f"{scratch}/events")
+        extra.update({"spark.eventLog.enabled": "true",
+                      "spark.eventLog.dir": f"file://{scratch}/events"})
+        print(f"event log: {scratch}/events", file=sys.stderr)
     spark = build_session(f"local[{cpus}]", app_name="tripmart-bench",
-                          shuffle_partitions=max(8, 2 * cpus),
-                          extra={"spark.driver.memory": "16g"})
+                          shuffle_partitions=max(8, 2 * cpus), extra=extra)
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(scratch)
     # JVM warm-up (class loading, JIT) on a raw scan, not timed
