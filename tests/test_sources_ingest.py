@@ -163,3 +163,14 @@ def test_table_months_from_folder_names(spark):
     got = sorted(tuple(r) for r in sinks.table_months(spark, target).collect())
     want = sorted(tuple(r) for r in coverage.loaded_months(sinks.read_trips(spark, target)).collect())
     assert got == want == [("green", 2019, 1), ("green", 2019, 11), ("yellow", 2020, 3)]
+
+
+def test_month_published_twice_is_loaded_once(spark):
+    root = session.scratch_dir(spark, "t-dup")
+    _write_raw(spark, root, {("green", 2018, 6): _green_month(spark, 4)})
+    _green_month(spark, 4).write.parquet(f"{root}/old/green_tripdata_2018-06.parquet")
+    inv = files.inventory_files(files.list_units(spark, root)).first()
+    assert inv["n_files"] == 2
+    plan = coverage.expected_months(spark, (2018, 6), (2018, 6), services=("green",))
+    man = ingest.run(spark, plan, root, session.scratch_dir(spark, "t-dup-trips")).first()
+    assert (man["rows_loaded"], man["status"]) == (4, "loaded")

@@ -34,6 +34,19 @@ def month_filter(months) -> "F.Column":
     return cond
 
 
+def _one_unit_per_month(rows) -> list:
+    """A month published more than once (e.g. an old copy in a sub-folder) is
+    loaded once: from the unit nearest the root, then the first path by name.
+    ``files.inventory_files`` still reports the copies."""
+    best = {}
+    for r in rows:
+        k = (r["service_type"], r["year"], r["month"])
+        rank = (r["unit"].rstrip("/").count("/"), r["unit"])
+        if k not in best or rank < best[k][0]:
+            best[k] = (rank, r)
+    return [v[1] for _, v in sorted(best.items())]
+
+
 def _write_batch(spark, pairs, schemas, target) -> list[tuple]:
     """Write the units; returns [(service, year, month, error)] for failures."""
     errors = []
@@ -64,8 +77,9 @@ def run(spark: SparkSession, plan: DataFrame, source_root: str, target: str) ->
     units = files.list_units(spark, source_root).where(F.col("unit").isNotNull())
     # The planned units are metadata (one row per month file), bounded by the
     # plan, so they are brought to the driver to plan the scans.
-    todo = (units.join(plan, KEYS, "left_semi")
-            .select("unit", "service_type", "year", "month").distinct().collect())
+    todo = _one_unit_per_month(units.join(plan, KEYS, "left_semi")
+                               .select("unit", "service_type", "year", "month")
+                               .distinct().collect())
     schemas = files.unit_schemas(spark, [r["unit"] for r in todo])
     bad = [(r["service_type"], r["year"], r["month"], f"{type(schemas[r['unit']]).__name__}: "
             f"{str(schemas[r['unit']])[:200]}")
