@@ -1,8 +1,11 @@
-"""The view stack over one data directory, built lazily.
+"""The view stack over one data directory.
 
 ``Mart`` wires sources -> harmonised trips -> OBT -> clean / strict ->
-enriched, exactly like the chain of warehouse views, but as one Catalyst plan
-per report: nothing is materialised unless a caller writes it.
+enriched, like the chain of warehouse views.  One step is materialised: the
+harmonised trips are written once per source as the canonical table
+partitioned by service/year/month (the counterpart of the warehouse's loaded
+tables), in the shared scratch folder.  Everything above it stays lazy, so
+each report is one Catalyst plan from that table to its result.
 """
 
 from __future__ import annotations
