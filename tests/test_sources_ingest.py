@@ -174,3 +174,12 @@ def test_month_published_twice_is_loaded_once(spark):
     plan = coverage.expected_months(spark, (2018, 6), (2018, 6), services=("green",))
     man = ingest.run(spark, plan, root, session.scratch_dir(spark, "t-dup-trips")).first()
     assert (man["rows_loaded"], man["status"]) == (4, "loaded")
+
+
+def test_sample_zero_means_no_rows(spark):
+    """Q11: ``sample`` is honoured literally (None = whole month, 0 = no rows)."""
+    root = session.scratch_dir(spark, "t-sample")
+    _write_raw(spark, root, {("green", 2017, 4): _green_month(spark, 5)})
+    assert files.load_month(spark, root, "green", 2017, 4, sample=0).count() == 0
+    assert files.load_month(spark, root, "green", 2017, 4, sample=3).count() == 3
+    assert files.load_month(spark, root, "green", 2017, 4).count() == 5
