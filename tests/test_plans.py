@@ -59,3 +59,13 @@ def test_full_enrichment_has_five_broadcast_joins(spark):
     assert len(joins) == 5 and "SortMergeJoin" not in p
     # the dropoff role reuses the pickup role's zone broadcast
     assert "ReusedExchange" in p
+
+
+import pytest  # noqa: E402
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_no_sort_merge_or_cross_join_in_any_query(spark, name):
+    from tools.plan_report import final_plan, summarise
+    s = summarise(final_plan(QUERIES[name](spark, SF_SMALL)))
+    assert s["cross"] == 0 and s["smj"] == 0
