@@ -32,3 +32,20 @@ def test_cli_load_coverage_report(spark):
     main(["report", "stats_by_service", "--table", table, "--out", out], spark)
     r = spark.read.parquet(out).first()
     assert (r["service_type"], r["n"]) == ("green", 5)
+
+
+def test_cli_enriched_report_with_zone_csv(spark):
+    from pyspark.sql import functions as F
+    from tests.conftest import SF_SMALL
+    from tripmart.sources import testdata
+    raw = session.scratch_dir(spark, "t-cli-raw2")
+    table = session.scratch_dir(spark, "t-cli-trips2")
+    _raw_month(spark, raw, 2023, 7, 6)
+    main(["load", "--raw", raw, "--table", table, "--start", "2023-07", "--end", "2023-07",
+          "--services", "green"], spark)
+    zones = session.scratch_dir(spark, "t-cli-zones")
+    testdata.zone_lookup(spark, SF_SMALL).write.option("header", True).csv(zones)
+    out = main(["report", "top_pickup_zones", "--table", table, "--zones", zones], spark)
+    rows = out.collect()
+    assert sum(r["trips"] for r in rows) == 6 and len(rows) <= 10
+    assert out.agg(F.max("month")).first()[0] == 7
