@@ -5,9 +5,10 @@ import pytest
 import __spark_entry__ as entry
 from tests.conftest import SF_SMALL
 from tools.oracle_check import compare, duck
+from tripmart.plans import oracle, queries
 
-QUERIES = entry.queries()
-ORACLES = entry.oracle_sql()
+QUERIES = queries.QUERIES
+ORACLES = oracle.statements()
 
 
 @pytest.fixture(scope="module")
@@ -17,6 +18,7 @@ def con():
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

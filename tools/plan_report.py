@@ -67,13 +67,13 @@ def summarise(txt: str) -> dict:
 
 
 def main():
-    import __spark_entry__ as entry
+    from tripmart.plans.queries import QUERIES
     from tripmart.session import build_session
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     out = sys.argv[2] if len(sys.argv) > 2 else "PLANS.md"
     spark = build_session("local[8]", shuffle_partitions=8)
     rows = []
-    for name, q in sorted(entry.queries().items()):
+    for name, q in sorted(QUERIES.items()):
         s = summarise(final_plan(q(spark, sf_dir)))
         scans = "; ".join(
             f"{sc['source']}: {sc['ncols']} cols"
