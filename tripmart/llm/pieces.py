@@ -35,13 +35,30 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 SEPARATOR = 0x110000
-SUB_CHARS, INDEX_CHARS = 1 << 22, 1 << 20
-#: Slots of the memo of pairs; units whose ids a worker remembers between batches.
-PAIR_SLOTS, MEMO_UNITS = 1 << 22, 1 << 18
+#: Characters worked on, and indexed, at one time.
+CHUNK_CHARS, INDEX_CHARS = 1 << 20, 1 << 18
+#: Bits of the slots of the memo of pairs; units whose ids a worker remembers between batches.
+PAIR_BITS, MEMO_UNITS = 21, 1 << 20
 #: ASCII other than letters: a model's pieces seldom join these with letters.
 SIGNS = r"\x00-@\[-`{-\x7f"
 LETTER = r"[^\W\d_²³¹]"
 MIXED = re.compile(f"[{SIGNS}]{LETTER}|{LETTER}[{SIGNS}]")
+IS_MARK, IS_LINE, IS_SIGN, IS_LETTER, IS_OTHER = range(5)
+_BASES = np.random.default_rng(5).integers(1, 1 << 63, 2, np.uint64) | np.uint64(1)
+
+
+@functools.cache
+def _classes() -> np.ndarray:
+    """The class of every code point."""
+    out = np.full(0x110000, IS_OTHER, np.uint8)
+    whole = "".join(map(chr, range(0xD800))) + "".join(map(chr, range(0xE000, 0x110000)))
+    for m in re.finditer(f"{LETTER}+", whole):
+        lo, hi = ord(m[0][0]), ord(m[0][-1])
+        out[lo:hi + 1] = IS_LETTER
+    for m in re.finditer(f"[{SIGNS}]", whole[:128]):
+        out[ord(m[0])] = IS_SIGN
+    out[ord(MARK)], out[10] = IS_MARK, IS_LINE
+    return out
 
 
 class Vocabulary:
@@ -77,19 +94,31 @@ class Vocabulary:
         return {p: i for i, p in enumerate(self.pieces) if i not in self.skipped and i not in fallback}
 
     @functools.cached_property
-    def unit(self) -> re.Pattern:
-        """Units.  The finest form cuts between signs and letters, too.  It needs that in all
-        pieces marks stand first, line ends alone, and letters never beside signs; coarser
-        forms serve other models."""
+    def cuts(self) -> int:
+        """How finely units may be cut so that no piece crosses: 2 between letters and signs and
+        around line ends, too; 1 before marks; 0 not at all."""
         bare = [p.lstrip(MARK) for p in self.id_of]
         if any(MARK in p for p in bare):
-            return re.compile(r"(?s).+")
+            return 0
         if any("\n" in p and p != "\n" for p in self.id_of) or any(MIXED.search(p) for p in bare):
-            return re.compile(f"(?s){MARK}+[^{MARK}]*|[^{MARK}]+")
-        signs = SIGNS.replace(r"\x00-@", r"\x00-\x09\x0b-@")
-        run, sign_run = f"[^{SIGNS}{MARK}]+", f"[{signs}]+"
-        return re.compile(f"{MARK}*(?:{run}|{sign_run})(?:(?<=[{signs}])(?!{LETTER}){run}|(?<!{LETTER}){sign_run})*"
-                          f"|{MARK}+|\n")
+            return 1
+        return 2
+
+    def unit_starts(self, code: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Where units begin in concatenated texts that begin at ``first``."""
+        kind = _classes()[code]
+        new = np.zeros(len(code), bool)
+        new[first] = True
+        if self.cuts:
+            mark = kind == IS_MARK
+            new[1:] |= mark[1:] & ~mark[:-1]
+        if self.cuts > 1:
+            line = kind == IS_LINE
+            new |= line
+            new[1:] |= line[:-1]
+            sign, letter = kind == IS_SIGN, kind == IS_LETTER
+            new[1:] |= (sign[:-1] & letter[1:]) | (letter[:-1] & sign[1:])
+        return np.flatnonzero(new)
 
     @functools.cached_property
     def matrix(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -133,11 +162,12 @@ class Vocabulary:
 
     def _apart_all(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """``apart`` for arrays of tokens, each pair decided once per worker."""
-        slots, answers = self.__dict__.setdefault(
-            "_memo", (np.full(PAIR_SLOTS, -1, np.int64), np.zeros(PAIR_SLOTS, bool)))
+        if not hasattr(self, "_memo"):
+            self._memo = np.full(1 << PAIR_BITS, -1, np.int64), np.zeros(1 << PAIR_BITS, bool)
+        slots, answers = self._memo
         width = len(self.pieces) + SEPARATOR
         pair = left.astype(np.int64) * width + right
-        slot = ((pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)).astype(np.int64)
+        slot = ((pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
         ok = answers[slot]
         new = np.flatnonzero(slots[slot] != pair)
         if len(new):
@@ -149,55 +179,20 @@ class Vocabulary:
             answers[slot[new][kept]] = ok[new][kept]      # ... with its own answer
         return ok
 
-    def encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(flat ids, offsets) of distinct units."""
-        flat, counts, lo = [], [], 0
-        while lo < len(units):
-            hi, chars = lo, 0
-            while hi < len(units) and (hi == lo or chars + len(units[hi]) < INDEX_CHARS):
-                chars += len(units[hi]) + 1
-                hi += 1
-            ids, n = self._encode_indexed(units[lo:hi])
-            flat.append(ids)
-            counts.append(n)
-            lo = hi
-        counts = np.concatenate(counts) if counts else np.empty(0, np.int64)
-        return (np.concatenate(flat) if flat else np.empty(0, np.int32)), np.concatenate([[0], np.cumsum(counts)])
-
-    def _known_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(flat ids, offset, count) of each unit.  Units that came early in a worker's life
-        are remembered, so its later batches index only what is new."""
-        place, flat, offset, count = self.__dict__.setdefault(
-            "_units", ({}, np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)))
-        at = np.array([place.get(u, -1) for u in units], np.int64)
-        new = np.flatnonzero(at < 0)
-        ids, starts = self.encode_units([units[i] for i in new])
-        at[new] = len(offset) + np.arange(len(new))
-        all_flat = np.concatenate([flat, ids])
-        all_offset = np.concatenate([offset, starts[:-1] + len(flat)])
-        all_count = np.concatenate([count, np.diff(starts)])
-        room = min(len(new), MEMO_UNITS - len(place))
-        if room > 0:
-            for i in range(room):
-                place[units[new[i]]] = len(offset) + i
-            end = len(flat) + int(starts[room])
-            self._units = (place, all_flat[:end].copy(), all_offset[:len(offset) + room].copy(),
-                           all_count[:len(offset) + room].copy())
-        return all_flat, all_offset[at], all_count[at]
-
-    def _encode_indexed(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        size = np.array([len(u) for u in units])
+    def _encode_indexed(self, code: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(flat ids, number of ids of each) of the units code[begin:begin + size]."""
         start = np.concatenate([[0], np.cumsum(size + 1)])[:-1]
-        joined = np.frombuffer("\0".join([*units, ""]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         stop = start + size
-        joined[stop] = SEPARATOR
+        joined = np.full(int(stop[-1]) + 1, SEPARATOR, np.int64)
+        offset = np.arange(len(joined)) - np.repeat(start, size + 1)
+        inside = np.ones(len(joined), bool)
+        inside[stop] = False
+        joined[inside] = code[np.repeat(begin, size) + offset[inside]]
         pos, token, length = self._edges(joined)
 
         # relax: the last piece of the one path that ends at each position
         last = np.full(len(joined) + 1, -1, np.int64)
         back = np.full(len(joined) + 1, -1, np.int64)
-        unit_start = np.repeat(start, size + 1)
-        offset = np.arange(len(joined)) - unit_start
         at = offset[pos]
         if size.max() < 1 << 16:
             at = at.astype(np.uint16)               # sorted by radix
@@ -217,7 +212,7 @@ class Vocabulary:
             last[p + n] = t
             back[p + n] = p
         # back from the end of every unit at once
-        at, owner = stop.copy(), np.arange(len(units))
+        at, owner = stop.copy(), np.arange(len(size))
         got_token, got_pos, got_owner = [], [], []
         while len(at):
             got_token.append(last[at])
@@ -226,13 +221,12 @@ class Vocabulary:
             at = back[at]
             more = at > start[owner]
             at, owner = at[more], owner[more]
-        tokens, owners = np.concatenate(got_token), np.concatenate(got_owner)
-        tokens = tokens[np.argsort(np.concatenate(got_pos), kind="stable")]
-        owners = np.sort(owners, kind="stable")
+        tokens = np.concatenate(got_token)[np.argsort(np.concatenate(got_pos), kind="stable")]
+        owners = np.sort(np.concatenate(got_owner), kind="stable")
         n_pieces = len(self.pieces)
         plain = tokens < n_pieces
         if plain.all():
-            return tokens.astype(np.int32), np.bincount(owners, minlength=len(units))
+            return tokens.astype(np.int32), np.bincount(owners, minlength=len(size))
         # characters without a piece become their bytes
         width = np.ones(len(tokens), np.int64)
         bare, at = np.unique(tokens[~plain], return_inverse=True)
@@ -242,7 +236,73 @@ class Vocabulary:
         flat = np.repeat(tokens, width).astype(np.int32)
         for place, i in zip(first[~plain].tolist(), at.tolist(), strict=True):
             flat[place:place + len(spelled[i])] = spelled[i]
-        return flat, np.bincount(owners, weights=width, minlength=len(units)).astype(np.int64)
+        return flat, np.bincount(owners, weights=width, minlength=len(size)).astype(np.int64)
+
+    def _encode_new(self, code, begin, size) -> tuple[np.ndarray, np.ndarray]:
+        """The same for any number of units, an index for every INDEX_CHARS characters."""
+        if not len(size):
+            return np.empty(0, np.int32), np.empty(0, np.int64)
+        block = (np.cumsum(size + 1) - size - 1) // INDEX_CHARS
+        cut = np.flatnonzero(np.diff(block)) + 1
+        got = [self._encode_indexed(code, b, n) for b, n in zip(
+            np.split(begin, cut), np.split(size, cut), strict=True)]
+        return np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
+
+    def _encode_chunk(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts whose blanks are marks."""
+        code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        length = np.array([len(t) for t in texts])
+        text_at = np.concatenate([[0], np.cumsum(length)[:-1]])
+        begin = self.unit_starts(code, text_at)
+        size = np.diff(np.concatenate([begin, [len(code)]]))
+        # two hashes name a unit: together 96 bits
+        place = np.arange(len(code)) - np.repeat(begin, size)
+        power = np.ones((2, int(size.max())), np.uint64)
+        power[:, 1:] = _BASES[:, None]
+        np.cumprod(power, axis=1, out=power)
+        wide = code.astype(np.uint64) + np.uint64(1)
+        key, check = (np.add.reduceat(wide * p[place], begin) for p in power)
+        key = key.view(np.int64)
+        check = (check >> np.uint64(32)).astype(np.uint32)
+        unit, keys = pd.factorize(key)
+        first = np.empty(len(keys), np.int64)
+        first[unit[::-1]] = np.arange(len(unit) - 1, -1, -1)
+        if (check[first][unit] != check).any():         # two units with one 64-bit hash
+            unit, first = np.unique(np.stack([key, check.astype(np.int64)]), axis=1, return_index=True,
+                                    return_inverse=True)[2:0:-1]
+            unit, keys = unit.ravel(), key[first]
+        flat, offset, count = self._known(keys, check[first], code, begin[first], size[first])
+        n = count[unit]
+        ends = np.cumsum(n)
+        ids = flat[np.repeat(offset[unit] - (ends - n), n) + np.arange(int(ends[-1]))]
+        last_unit = np.searchsorted(begin, text_at + length) - 1
+        return np.split(ids, ends[last_unit][:-1])
+
+    def _known(self, keys, checks, code, begin, size) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(flat ids, offset, count) of each distinct unit.  Units that came early in a worker's
+        life are remembered, so its later chunks index only what is new."""
+        memo = self.__dict__.setdefault("_units", tuple(np.empty(0, t) for t in (
+            np.int64, np.uint32, np.int64, np.int32, np.int32)))
+        known, known_check, known_offset, known_count, known_flat = memo
+        at = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
+        hit = (known[at] == keys) & (known_check[at] == checks) if len(known) else np.zeros(len(keys), bool)
+        new = np.flatnonzero(~hit)
+        ids, counts = self._encode_new(code, begin[new], size[new])
+        starts = np.concatenate([[0], np.cumsum(counts)[:-1]]) + len(known_flat) if len(new) else counts
+        offset, count = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)
+        offset[hit], count[hit] = known_offset[at[hit]], known_count[at[hit]]
+        offset[new], count[new] = starts, counts
+        flat = np.concatenate([known_flat, ids])
+        room = min(len(new), MEMO_UNITS - len(known))
+        if room > 0:
+            put = new[:room]
+            where = np.searchsorted(known, np.sort(keys[put]))
+            order = np.argsort(keys[put], kind="stable")
+            self._units = (np.insert(known, where, keys[put][order]), np.insert(known_check, where, checks[put][order]),
+                           np.insert(known_offset, where, starts[:room][order]),
+                           np.insert(known_count, where, counts[:room][order].astype(np.int32)),
+                           flat[:len(known_flat) + int(counts[:room].sum())].copy())
+        return flat, offset, count
 
     def _edges(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(position, token, length) of every occurrence of every piece, and of every
@@ -250,9 +310,13 @@ class Vocabulary:
         names, lengths, ids = self.matrix
         longest = names.shape[1]
         n = len(text)
+        # pieces whose first two characters never follow each other have empty ranges
+        seen = np.unique(text[:-1] * (SEPARATOR + 1) + text[1:]) if n > 1 else np.empty(0, np.int64)
+        there = np.isin(text_pairs(names), seen) | (lengths == 1)
+        names, lengths, ids = names[there], lengths[there], ids[there]
         chars, code = np.unique(text, return_inverse=True)
         bits = int(len(chars) + 1).bit_length()
-        h = min(longest, 63 // bits)            # as many characters as one integer holds
+        packed = h = min(longest, 63 // bits)   # as many characters as one integer holds
         code = np.concatenate([code + 1, np.zeros(h, np.int64)])
         key = np.zeros(n, np.int64)
         for i in range(h):
@@ -264,26 +328,41 @@ class Vocabulary:
             rank = np.unique(rank * (n + 2) + later, return_inverse=True)[1].astype(np.int64)
             h *= 2
         order = np.argsort(rank, kind="stable")
+
+        # binary search by the characters that one integer holds, of all pieces at once
+        at = np.searchsorted(chars, names)
+        digit = np.where(names >= 0, at + 1, 0).astype(np.int64)
+        there = ((chars[np.minimum(at, len(chars) - 1)] == names) | (names < 0)).all(1)
+        names, lengths, ids, digit = names[there], lengths[there], ids[there], digit[there]
+        low = np.zeros(len(names), np.int64)
+        high = np.zeros(len(names), np.int64)
+        for i in range(packed):
+            low = (low << bits) | digit[:, i]
+            high = (high << bits) | np.where(lengths > i, digit[:, i], (1 << bits) - 1)
+        sorted_key = key[order]
+        lo, hi = np.searchsorted(sorted_key, low, "left"), np.searchsorted(sorted_key, high, "right")
+        # then, for longer pieces, inside their ranges
         padded = np.concatenate([text, np.full(longest, -1, np.int64)]).astype(np.int32)
+        long_ = np.flatnonzero((lengths > packed) & (lo < hi))
+        tail = names[long_, packed:]
+        used = tail >= 0
 
         def search(right: bool) -> np.ndarray:
-            """First place of the suffix array at or after (after all) each piece's range."""
-            lo, hi = np.zeros(len(names), np.int64), np.full(len(names), n, np.int64)
-            while (open_ := lo < hi).any():
-                mid = (lo + hi) // 2
-                here = padded[order[np.minimum(mid, n - 1)][:, None] + np.arange(longest)]
-                inside = names >= 0
-                less = (here < names) & inside
-                more = (here > names) & inside
-                diff = less | more
-                first = diff.argmax(1)
-                row = np.arange(len(names))
-                differs = diff[row, first]
+            """First place of the range at or after (after all of) each long piece."""
+            a, b = lo[long_].copy(), hi[long_].copy()
+            row = np.arange(len(long_))
+            while (open_ := a < b).any():
+                mid = (a + b) // 2
+                here = padded[order[np.minimum(mid, n - 1)][:, None] + np.arange(packed, longest)]
+                less, more = (here < tail) & used, (here > tail) & used
+                first = (less | more).argmax(1)
+                differs = less[row, first] | more[row, first]
                 before = np.where(differs, less[row, first], right)
-                lo, hi = np.where(open_ & before, mid + 1, lo), np.where(open_ & ~before, mid, hi)
-            return lo
+                a, b = np.where(open_ & before, mid + 1, a), np.where(open_ & ~before, mid, b)
+            return a
 
-        lo, hi = search(False), search(True)
+        if len(long_):
+            lo[long_], hi[long_] = search(False), search(True)
         found = hi - lo
         total = int(found.sum())
         into = np.repeat(lo - np.concatenate([[0], np.cumsum(found)[:-1]]), found) + np.arange(total)
@@ -298,40 +377,28 @@ class Vocabulary:
 
     def encode(self, texts) -> list[np.ndarray | None]:
         """Ids of every text."""
-        known: dict[str, int] = {}
-        coded: list[tuple[list[int], np.ndarray]] = []      # (texts, their units)
-        held, sizes, who, chars = [], [], [], 0
+        out: list[np.ndarray | None] = [None] * len(texts)
+        held, who, chars = [], [], 0
 
         def flush():
-            nonlocal held, sizes, who, chars
-            codes, names = pd.factorize(np.array(held, dtype=object))
-            numbers = np.fromiter((known.setdefault(u, len(known)) for u in names), np.int64, len(names))
-            all_ = numbers[codes].astype(np.int32)
-            for i, part in zip(who, np.split(all_, np.cumsum(sizes)[:-1]), strict=True):
-                coded.append((i, part))
-            held, sizes, who, chars = [], [], [], 0
+            for i, ids in zip(who, self._encode_chunk(held), strict=True):
+                out[i] = ids if out[i] is None else np.concatenate([out[i], ids])
 
-        out: list[np.ndarray | None] = [None] * len(texts)
         for i, text in enumerate(texts):
             if not isinstance(text, str):
                 continue
             if not text:
                 out[i] = np.empty(0, np.int32)
                 continue
-            got = self.unit.findall(MARK + text.replace(" ", MARK))
-            held += got
-            sizes.append(len(got))
-            who.append(i)
-            chars += len(text)
-            if chars > SUB_CHARS:
-                flush()
+            for part in _parts(MARK + text.replace(" ", MARK)) if self.cuts else (MARK + text.replace(" ", MARK),):
+                held.append(part)
+                who.append(i)
+                chars += len(part)
+                if chars >= CHUNK_CHARS:
+                    flush()
+                    held, who, chars = [], [], 0
         if held:
             flush()
-        flat, offsets, count = self._known_units(list(known))
-        for i, units in coded:
-            n = count[units]
-            shift = offsets[units] - np.concatenate([[0], np.cumsum(n)[:-1]])
-            out[i] = flat[np.repeat(shift, n) + np.arange(int(n.sum()))]
         return out
 
     # ---- decoding
@@ -356,6 +423,25 @@ class Vocabulary:
         return text[1:] if text.startswith(" ") else text
 
 
+def text_pairs(names: np.ndarray) -> np.ndarray:
+    """The first two characters of every piece, as one number."""
+    return names[:, 0].astype(np.int64) * (SEPARATOR + 1) + names[:, min(1, names.shape[1] - 1)]
+
+
+def _parts(text: str):
+    """A very long text in parts that begin with a mark after another character."""
+    at = 0
+    while len(text) - at > 4 * CHUNK_CHARS:
+        end = text.find(MARK, at + CHUNK_CHARS)
+        while end >= 0 and text[end - 1] == MARK:
+            end = text.find(MARK, end + 1)
+        if end < 0:
+            break
+        yield text[at:end]
+        at = end
+    yield text[at:] if at else text
+
+
 def encoder(vocabulary: Vocabulary):
     """A column function: text -> array<int> of ids."""
     @F.pandas_udf("array<int>")
