@@ -54,8 +54,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     vocabulary = pieces.Vocabulary.load(MODEL)
-    return (docs.select("doc_id", "lang", "source", pieces.encoder(vocabulary)("text").alias("ids"))
-            .withColumn("n_ids", F.size("ids")))
+    return (docs.select("doc_id", "lang", "source", pieces.encoder(vocabulary)("text").alias("p"))
+            .select("doc_id", "lang", "source", "p.ids", F.size("p.ids").alias("n_ids")))
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("pii", personal_data),

@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import functools
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,8 +36,9 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 SEPARATOR = 0x110000
-#: Characters worked on, and indexed, at one time.
-CHUNK_CHARS, INDEX_CHARS = 1 << 20, 1 << 18
+#: Characters worked on, and indexed, at one time; texts whose ids leave a task at one time.
+CHUNK_CHARS, INDEX_CHARS = 1 << 19, 1 << 18
+OUT_TEXTS = 2000
 #: Bits of the slots of the memo of pairs; units whose ids a worker remembers between batches.
 PAIR_BITS, MEMO_UNITS = 21, 1 << 20
 #: ASCII other than letters: a model's pieces seldom join these with letters.
@@ -443,10 +445,16 @@ def _parts(text: str):
 
 
 def encoder(vocabulary: Vocabulary):
-    """A column function: text -> array<int> of ids."""
-    @F.pandas_udf("array<int>")
-    def column(text: pd.Series) -> pd.Series:
-        return pd.Series(vocabulary.encode(text.tolist()), dtype=object)
+    """A column function: text -> struct(ids array<int>, exact boolean); ``exact`` tells
+    whether the ids decode to the text (null for null)."""
+    @F.pandas_udf("ids array<int>, exact boolean")
+    def column(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for lo in range(0, len(batch), OUT_TEXTS):
+                texts = batch.iloc[lo:lo + OUT_TEXTS].tolist()
+                ids = vocabulary.encode(texts)
+                exact = [None if t is None else vocabulary.decode(i) == t for t, i in zip(texts, ids, strict=True)]
+                yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "exact": pd.Series(exact, dtype=object)})
     return column
 
 

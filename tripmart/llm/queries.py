@@ -52,9 +52,8 @@ def op5_pstable_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The piece ids of every document, and whether they decode to its text."""
     vocabulary = pieces.Vocabulary.load(MODEL)
-    coded = table(spark, sf_dir, "documents").select("doc_id", "text", pieces.encoder(vocabulary)("text").alias("ids"))
-    return coded.select("doc_id", "ids", F.size("ids").alias("n_ids"),
-                        F.col("text").eqNullSafe(pieces.decoder(vocabulary)("ids")).alias("exact"))
+    return (table(spark, sf_dir, "documents").select("doc_id", pieces.encoder(vocabulary)("text").alias("p"))
+            .select("doc_id", "p.ids", F.size("p.ids").alias("n_ids"), F.coalesce("p.exact", F.lit(True)).alias("exact")))
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
