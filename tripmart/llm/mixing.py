@@ -18,7 +18,7 @@ Only (id, source, size, probability) is shuffled, never a text.
 
 Defined results: null text has size 0; a null source is a source of its own;
 documents of size 0 take 0; a source of size 0 has target 0.  Repeated rows are
-documents of their own.  Null ids sort first.
+documents of their own.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from tripmart.llm.common import drop_stash, stash
 
 WORDS = r"[^\x20\x09-\x0D]+"
 BLOCK = 1 << 15
-LAND = 8
+LAND = 10
 WEIGHTS = (3.0, 1.0, 2.0)
 
 
@@ -115,16 +115,17 @@ def land(p: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 def _block(seed: int, level: int, last: bool):
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["order", "doc_id", "size"], kind="stable", na_position="first")
+        pdf = pdf.sort_values(["order", "no_id", "doc_id", "size"], kind="stable")
         name = pdf["source"].iloc[0]
         tag = f"{seed}|{level}|{pdf['block'].iloc[0]}|{'' if name is None else 's' + name}"
         rng = np.random.default_rng(xxhash.xxh3_64_intdigest(tag.encode("utf-8", "surrogatepass")))
         p, x = pdf["p"].to_numpy(float), pdf["size"].to_numpy(float)
         if last:
             open_ = np.flatnonzero((p > 0) & (p < 1))
-            # the largest documents are decided first: the smallest land most finely
-            order = open_[np.argsort(-x[open_], kind="stable")]
-            head = order[:max(0, len(order) - LAND + 2)]
+            # a document of about each power of two words is left for the landing
+            order = open_[np.argsort(x[open_], kind="stable")]
+            at = np.searchsorted(x[order], 2.0 ** np.arange(LAND - 2))
+            head = np.delete(order, np.unique(at[at < len(order)]))
             q = p.copy()
             if len(head):
                 q[head] = flight(p[head], x[head], rng)
@@ -132,7 +133,7 @@ def _block(seed: int, level: int, last: bool):
             p = land(q, x) if len(left) <= LAND else land(flight(q, x, rng), x)
         else:
             p = flight(p, x, rng)
-        return pdf.assign(p=p)[["doc_id", "source", "size", "order", "p"]]
+        return pdf.assign(p=p)[["doc_id", "no_id", "source", "size", "order", "p"]]
     return work
 
 
@@ -150,9 +151,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
              .withColumn("base", F.floor(F.col("copies") + 1e-12).cast("int"))
              .withColumn("p", F.greatest(F.col("copies") - F.col("base"), F.lit(0.0))))
     # documents without words change no total: they are left out of the draw
-    draw = named.where("size > 0 AND p > 0").select(
-        "doc_id", "source", "size", F.xxhash64(F.lit(seed), "doc_id").alias("order"), "p")
-    schema = "doc_id long, source string, size long, order long, p double"
+    draw = named.where("size > 0 AND p > 0").select(      # no nulls among the ids: pandas would make them inexact
+        F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), "source", "size", F.xxhash64(F.lit(seed), "doc_id").alias("order"), "p")
+    schema = "doc_id long, no_id boolean, source string, size long, order long, p double"
     done, level, open_, scratch = [], 0, draw, None
     while True:
         most = (open_.groupBy("source").count().agg(F.max("count")).first()[0]) or 0
@@ -180,7 +181,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
                  .where("source_size > 0").withColumnRenamed("source", "s"))
         out = rest.unionByName(
             drawn.join(bases, F.col("source").eqNullSafe(F.col("s")))
-            .select("doc_id", "source", "size", "source_size", "target", "base", F.col("p").alias("extra")))
+            .select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "source", "size", "source_size",
+                    "target", "base", F.col("p").alias("extra")))
     return (out.withColumn("copies", (F.col("base") + F.col("extra")).cast("int"))
             .select("doc_id", "source", "size", "source_size", "target", "copies",
                     (F.col("copies") * F.col("size")).cast("long").alias("taken")))

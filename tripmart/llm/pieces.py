@@ -326,7 +326,7 @@ class Vocabulary:
         rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
         while h < longest:                      # ranks by the first h characters
             later = np.zeros(n, np.int64)
-            later[:n - h] = rank[h:] + 1
+            later[:max(0, n - h)] = rank[h:] + 1
             rank = np.unique(rank * (n + 2) + later, return_inverse=True)[1].astype(np.int64)
             h *= 2
         order = np.argsort(rank, kind="stable")

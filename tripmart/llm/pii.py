@@ -126,7 +126,7 @@ def _scan(batches):
         base = [base_spans(t if isinstance(t, str) else "") for t in pdf["text"]]
         found = [candidates(t, b) if isinstance(t, str) else [] for t, b in zip(pdf["text"], base, strict=True)]
         yield pd.DataFrame({
-            "row": pdf["row"], "doc_id": pdf["doc_id"].astype("Int64"), "text_key": pdf["text_key"], "token": None,
+            "row": pdf["row"], "doc_id": pdf["doc_id"], "text_key": pdf["text_key"], "token": None,
             "n": None,
             fields[0]: [[{"start": s, "kind": k, "end": e} for s, k, e in b] for b in base],
             fields[1]: [[{"start": s, "end": e, "context": c, "instance": x, "known": y} for s, e, c, x, y in f]
@@ -147,13 +147,16 @@ def _scan(batches):
                     chars, held = 0, []
         flush(counts, held)
         names = [x.replace("\t", " ") for x in counts if len(x) <= CONTEXT_CHARS]
-        none = pd.Series([None] * len(names), dtype="Int64")
+        none = pd.Series([None] * len(names), dtype=object)
+        if not names:
+            continue
         yield pd.DataFrame({"row": none, "doc_id": none, "text_key": none, "token": names,
                             "n": [n for x, n in counts.items() if len(x) <= CONTEXT_CHARS],
                             fields[0]: None, fields[1]: None})
 
 
-SCAN = ("row long, doc_id long, text_key long, token string, n long, base array<struct<start:int,kind:int,end:int>>, "
+# ids pass as text: pandas would make numbers with nulls inexact
+SCAN = ("row long, doc_id string, text_key long, token string, n long, base array<struct<start:int,kind:int,end:int>>, "
         "found array<struct<start:int,end:int,context:string,instance:string,known:boolean>>")
 
 
@@ -186,7 +189,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_co
          min_support: int = 3, rounds: int = 4) -> DataFrame:
     """One row per document: ``row`` (a number of this scan's own), ``doc_id``, ``text_key`` (a
     hash of the text), ``base`` and ``spans``, each an array of struct(start, kind, end) by start, kind and end; kinds are numbers in KINDS."""
-    scan = stash(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"),
+    scan = stash(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("string").alias("doc_id"),
                              F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text")).mapInPandas(_scan, SCAN), "pii-scan")
     rows = scan.where("row IS NOT NULL")
     found = rows.select("row", F.explode("found").alias("f")).select("row", "f.*")
@@ -196,7 +199,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_co
     extra = (found.where("NOT known").join(patterns, "context", "left_semi").groupBy("row")
              .agg(F.collect_list(F.struct("start", F.lit(KINDS.index("id")).alias("kind"), "end")).alias("extra")))
     return (rows.select("row", "doc_id", "text_key", "base").join(extra, "row", "left")
-            .select("row", "doc_id", "text_key", "base", F.array_sort(F.concat(
+            .select("row", F.col("doc_id").cast("long").alias("doc_id"), "text_key", "base", F.array_sort(F.concat(
                 "base", F.coalesce("extra", F.expr("array()").cast("array<struct<start:int,kind:int,end:int>>"))))
                 .alias("spans")))
 
