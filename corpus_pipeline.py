@@ -17,6 +17,7 @@ has an equivalent in plain SQL as a whole; tests hold them against brute force.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tripmart.llm import langid, mixing, ngram_jaccard, pieces, pii
@@ -35,13 +36,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = ngram_jaccard.join(docs)
-    classes = stash(found.select("doc_id", "kept"), "pipeline-classes")
-    rest = docs.join(classes.where("NOT kept").select("doc_id").distinct(), "doc_id", "left_anti")
-    # rows that share an id are one document
-    repeated = classes.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    once = rest.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return rest.join(repeated, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+    kept = (ngram_jaccard.join(docs).where("doc_id IS NOT NULL")
+            .groupBy(F.col("doc_id").alias("_dup_id")).agg(F.max("kept").alias("_dup_kept")))
+    # one shuffle of the texts: rows that share an id are numbered where the join left them
+    first = F.row_number().over(W.partitionBy("doc_id").orderBy("doc_id")) == 1
+    return (docs.join(kept, docs["doc_id"] == F.col("_dup_id"), "left").withColumn("_dup_first", first)
+            .where("doc_id IS NULL OR (_dup_kept AND _dup_first)").select(*docs.columns))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
