@@ -1,5 +1,7 @@
 """The shared scratch folder comes from the session; one is made only if unset."""
 
+import pytest
+
 from tripmart import session
 
 
@@ -12,8 +14,8 @@ class _Conf:
 
 
 class _SC:
-    def __init__(self, d=None):
-        self.d, self.set_calls = d, []
+    def __init__(self, d=None, master="local[4]"):
+        self.d, self.set_calls, self.master = d, [], master
 
     def getCheckpointDir(self):
         return self.d
@@ -24,8 +26,8 @@ class _SC:
 
 
 class _Spark:
-    def __init__(self, conf_dir=None, ctx_dir=None):
-        self.conf, self.sparkContext = _Conf(conf_dir), _SC(ctx_dir)
+    def __init__(self, conf_dir=None, ctx_dir=None, master="local[4]"):
+        self.conf, self.sparkContext = _Conf(conf_dir), _SC(ctx_dir, master)
 
 
 def test_cluster_setting_wins_and_is_not_overridden():
@@ -46,3 +48,11 @@ def test_a_folder_is_made_only_when_nothing_is_set():
     root = session.scratch_root(s)
     assert s.sparkContext.set_calls == [root]
     assert session.scratch_dir(s, "a") != session.scratch_dir(s, "a")   # fresh each time
+
+
+@pytest.mark.parametrize("master", ["yarn", "spark://host:7077", "local-cluster[2,1,1024]"])
+def test_a_cluster_must_name_the_folder(master):
+    s = _Spark(master=master)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.scratch_root(s)
+    assert s.sparkContext.set_calls == []

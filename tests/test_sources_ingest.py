@@ -165,15 +165,45 @@ def test_table_months_from_folder_names(spark):
     assert got == want == [("green", 2019, 1), ("green", 2019, 11), ("yellow", 2020, 3)]
 
 
-def test_month_published_twice_is_loaded_once(spark):
+def test_month_published_twice_is_an_error_naming_both(spark):
+    """Choosing one of two differing units would lose the rows of the other."""
     root = session.scratch_dir(spark, "t-dup")
     _write_raw(spark, root, {("green", 2018, 6): _green_month(spark, 4)})
-    _green_month(spark, 4).write.parquet(f"{root}/old/green_tripdata_2018-06.parquet")
+    _green_month(spark, 7).write.parquet(f"{root}/old/green_tripdata_2018-06.parquet")
     inv = files.inventory_files(files.list_units(spark, root)).first()
     assert inv["n_files"] == 2
     plan = coverage.expected_months(spark, (2018, 6), (2018, 6), services=("green",))
     man = ingest.run(spark, plan, root, session.scratch_dir(spark, "t-dup-trips")).first()
-    assert (man["rows_loaded"], man["status"]) == (4, "loaded")
+    assert (man["rows_loaded"], man["status"]) == (0, "error")
+    assert man["error"].startswith("duplicate: ") and man["error"].count("green_tripdata_2018-06") == 2
+
+
+def test_emptied_month_loses_its_old_rows(spark):
+    root, target = session.scratch_dir(spark, "t-empty"), session.scratch_dir(spark, "t-empty-trips")
+    _write_raw(spark, root, {("green", 2018, 6): _green_month(spark, 5), ("green", 2018, 7): _green_month(spark, 2)})
+    plan = coverage.expected_months(spark, (2018, 6), (2018, 7), services=("green",))
+    assert [r["rows_loaded"] for r in ingest.run(spark, plan, root, target).collect()] == [5, 2]
+    emptied = session.scratch_dir(spark, "t-emptied")
+    _write_raw(spark, emptied, {("green", 2018, 6): _green_month(spark, 5).limit(0)})
+    # the plan comes from the table that the load rewrites
+    plan = sinks.table_months(spark, target).where("month = 6")
+    man = ingest.run(spark, plan, emptied, target).first()
+    assert (man["rows_loaded"], man["status"]) == (0, "loaded")
+    assert sinks.read_trips(spark, target).groupBy("month").count().collect() == [(7, 2)]
+
+
+def test_zoned_times_load_as_utc_under_any_session_zone(spark):
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+
+    from tripmart.functions import casts
+    df = spark.range(1).select(F.timestamp_micros(F.lit(1541309400_000001)).alias("t"))     # 05:30 UTC, a repeated hour
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        got = df.select(casts.to_timestamp_ntz(F.col("t"), T.TimestampType()).cast("string")).first()[0]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == "2018-11-04 05:30:00.000001"
 
 
 def test_sample_zero_means_no_rows(spark):

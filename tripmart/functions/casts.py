@@ -57,6 +57,9 @@ def to_timestamp_ntz(c, dtype: T.DataType) -> Column:
         return c
     if isinstance(dtype, T.StringType):
         return c.try_cast("timestamp_ntz")
+    if isinstance(dtype, T.TimestampType):
+        # the UTC clock reading, whatever the session's zone
+        return F.timestamp_add("MICROSECOND", F.unix_micros(c), F.lit("1970-01-01").cast("timestamp_ntz"))
     return c.cast("timestamp_ntz")
 
 

@@ -34,17 +34,16 @@ def month_filter(months) -> "F.Column":
     return cond
 
 
-def _one_unit_per_month(rows) -> list:
-    """A month published more than once (e.g. an old copy in a sub-folder) is
-    loaded once: from the unit nearest the root, then the first path by name.
-    ``files.inventory_files`` still reports the copies."""
-    best = {}
+def _split_repeated(rows) -> tuple[list, list]:
+    """(units to load, errors).  A month that several units carry is an error that names
+    them all: loading one would lose the rows of the others, loading all would repeat copies."""
+    by_month: dict[tuple, list] = {}
     for r in rows:
-        k = (r["service_type"], r["year"], r["month"])
-        rank = (r["unit"].rstrip("/").count("/"), r["unit"])
-        if k not in best or rank < best[k][0]:
-            best[k] = (rank, r)
-    return [v[1] for _, v in sorted(best.items())]
+        by_month.setdefault((r["service_type"], r["year"], r["month"]), []).append(r)
+    single = [rs[0] for _, rs in sorted(by_month.items()) if len(rs) == 1]
+    errors = [(*k, "duplicate: " + ", ".join(sorted(r["unit"] for r in rs)))
+              for k, rs in sorted(by_month.items()) if len(rs) > 1]
+    return single, errors
 
 
 def _write_batch(spark, pairs, schemas, target) -> list[tuple]:
@@ -53,40 +52,53 @@ def _write_batch(spark, pairs, schemas, target) -> list[tuple]:
     if not pairs:
         return errors
     try:
-        sinks.write_trips(files.read_units(spark, [(u, s) for u, s, _, _ in pairs], schemas),
-                          target)
+        _write_units(spark, pairs, schemas, target)
         return errors
     except Exception:  # noqa: BLE001 - fall back to one month at a time
-        if len(pairs) == 1:
-            raise
+        pass
     for p in pairs:
         try:
-            sinks.write_trips(files.read_units(spark, [(p[0], p[1])], schemas), target)
+            _write_units(spark, [p], schemas, target)
         except Exception as e:  # noqa: BLE001
-            errors.append((p[1], p[2], p[3], f"{type(e).__name__}: {str(e)[:200]}"))
+            errors.append((p[1], p[2], p[3], f"{type(e).__name__}: {e}"))
     return errors
 
 
+def _write_units(spark, pairs, schemas, target) -> None:
+    """Replace the months of the units; a month whose unit has no rows is emptied."""
+    trips = files.read_units(spark, [(u, s) for u, s, _, _ in pairs], schemas)
+    sinks.write_trips(trips, target)
+    # dynamic overwrite leaves months alone that the data lacks; keys are bounded by the plan
+    full = {tuple(r) for r in trips.select(*KEYS).distinct().collect()}
+    for _, service, year, month in pairs:
+        if (service, year, month) not in full:
+            sinks.drop_month(spark, target, service, year, month)
+
+
 def run(spark: SparkSession, plan: DataFrame, source_root: str, target: str) -> DataFrame:
     """Load the planned months and return the manifest.
 
     Manifest columns: service_type, year, month, rows_loaded, status
-    ('loaded' | 'missing' | 'error'), error.
+    ('loaded' | 'missing' | 'error'), error.  A failed month counts 0 rows, whatever older
+    copy the target keeps; an empty one is loaded with 0.
     """
-    plan = plan.select(*KEYS).distinct()
+    # The plan's keys are bounded (services x months) and are read before the target
+    # changes: the plan may have been made from it.
+    plan = spark.createDataFrame(plan.select(*KEYS).distinct().collect(),
+                                 "service_type string, year int, month int")
     units = files.list_units(spark, source_root).where(F.col("unit").isNotNull())
     # The planned units are metadata (one row per month file), bounded by the
     # plan, so they are brought to the driver to plan the scans.
-    todo = _one_unit_per_month(units.join(plan, KEYS, "left_semi")
-                               .select("unit", "service_type", "year", "month")
-                               .distinct().collect())
+    todo, repeated = _split_repeated(units.join(plan, KEYS, "left_semi")
+                                     .select("unit", "service_type", "year", "month")
+                                     .distinct().collect())
     schemas = files.unit_schemas(spark, [r["unit"] for r in todo])
     bad = [(r["service_type"], r["year"], r["month"], f"{type(schemas[r['unit']]).__name__}: "
-            f"{str(schemas[r['unit']])[:200]}")
+            f"{schemas[r['unit']]}")
            for r in todo if isinstance(schemas[r["unit"]], Exception)]
     good = [(r["unit"], r["service_type"], r["year"], r["month"])
             for r in todo if not isinstance(schemas[r["unit"]], Exception)]
-    bad += _write_batch(spark, good, schemas, target)
+    bad += repeated + _write_batch(spark, good, schemas, target)
 
     if good and files.exists(spark, target):
         # counted on the months of this plan only (partition-pruned scan)
@@ -97,11 +109,14 @@ def run(spark: SparkSession, plan: DataFrame, source_root: str, target: str) ->
         written = spark.createDataFrame([], "service_type string, year int, month int, "
                                             "rows_loaded long")
     errs = spark.createDataFrame(bad, "service_type string, year int, month int, error string")
-    m = plan.join(written, KEYS, "left").join(errs, KEYS, "left")
+    found = spark.createDataFrame([(g[1], g[2], g[3], True) for g in good],
+                                  "service_type string, year int, month int, found boolean")
+    m = plan.join(written, KEYS, "left").join(errs, KEYS, "left").join(found, KEYS, "left")
     status = (F.when(F.col("error").isNotNull(), F.lit("error"))
-              .when(F.col("rows_loaded").isNotNull(), F.lit("loaded"))
+              .when(F.col("found"), F.lit("loaded"))
               .otherwise(F.lit("missing")))
-    return (m.select(*KEYS, F.coalesce("rows_loaded", F.lit(0)).cast("long").alias("rows_loaded"),
+    return (m.select(*KEYS, F.when(F.col("error").isNull(), F.coalesce("rows_loaded", F.lit(0)))
+                     .otherwise(F.lit(0)).cast("long").alias("rows_loaded"),
                      status.alias("status"), "error")
             .orderBy(*KEYS))
 

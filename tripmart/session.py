@@ -9,6 +9,7 @@ unset, so a cluster's own settings always win.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -75,12 +76,14 @@ def scratch_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
     Uses the cluster's ``spark.checkpoint.dir`` (or the context's checkpoint
-    dir) when set.  Only where nothing is set, as in local tests, a folder is
-    made and registered as the checkpoint dir.
+    dir) when set.  Only where nothing is set and the master is local, as in tests,
+    a folder is made and registered as the checkpoint dir; a cluster must name one.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
+    if not root and not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not root:
         root = tempfile.mkdtemp(prefix="tripmart-ckpt-")
         spark.sparkContext.setCheckpointDir(root)

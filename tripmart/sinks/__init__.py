@@ -50,6 +50,15 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
 
 
+def drop_month(spark: SparkSession, target: str, service: str, year: int, month: int) -> None:
+    """Remove one month of the trips table, if it is there."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(
+        f"{target}/service_type={service}/year={year}/month={month}")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(path) and not fs.delete(path, True):
+        raise OSError(f"cannot remove {path}")
+
+
 def overwrite_month(df: DataFrame, target: str) -> None:
     """K1: (re)load months into the table; running it twice changes nothing."""
     write_trips(df, target, mode="overwrite")
