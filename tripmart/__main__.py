@@ -93,7 +93,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> Da
         if a.out:
             out.write.mode("overwrite").parquet(a.out)
             return out
-    out.show(1000, truncate=False)
+    # every row, streamed: one partition at a time on the driver
+    print(*out.columns, sep="\t")
+    for row in out.toLocalIterator():
+        print(*row, sep="\t")
     return out
 
 
