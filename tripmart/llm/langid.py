@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 from tripmart.llm.common import _pieces
 
 DIM = 1024
-CHUNK_CHARS, CHUNK_TEXTS, VOCAB = 1 << 20, 512, 8192
+CHUNK_CHARS, CHUNK_TEXTS, VOCAB = 1 << 19, 512, 2048
+#: Texts whose vectors a task holds at one time.
+SLICE_TEXTS = 1024
 BLANK = 32
 _letters: dict[int, np.ndarray] = {}
 
@@ -137,17 +139,21 @@ def predict(model: dict[str, np.ndarray], seed: int = 3):
     names = sorted(model)
     prototypes = np.stack([model[n] for n in names], 1) if names else np.zeros((DIM, 0))
 
-    @F.pandas_udf("lang_pred string, score double")
-    def column(text: pd.Series) -> pd.DataFrame:
-        vectors, letters = text_vectors(text.tolist(), seed)
-        if not names:
-            return pd.DataFrame({"lang_pred": ["und"] * len(text), "score": 0.0})
+    def name_slice(texts: list[str | None]) -> pd.DataFrame:
+        vectors, letters = text_vectors(texts, seed)
         length = np.sqrt((vectors * vectors).sum(1))
         cosine = (vectors @ prototypes) / np.maximum(length, 1e-300)[:, None]
         best = cosine.argmax(1)
         return pd.DataFrame({
             "lang_pred": np.where(letters, np.array(names, object)[best], "und"),
             "score": np.where(letters, np.clip(cosine[np.arange(len(best)), best], 0, 1), 0.0)})
+
+    @F.pandas_udf("lang_pred string, score double")
+    def column(text: pd.Series) -> pd.DataFrame:
+        if not names or not len(text):
+            return pd.DataFrame({"lang_pred": ["und"] * len(text), "score": 0.0})
+        return pd.concat([name_slice(text.iloc[lo:lo + SLICE_TEXTS].tolist())
+                          for lo in range(0, len(text), SLICE_TEXTS)], ignore_index=True)
     return column
 
 

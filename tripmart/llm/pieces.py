@@ -37,10 +37,10 @@ from pyspark.sql import functions as F
 MARK = "▁"
 SEPARATOR = 0x110000
 #: Characters worked on, and indexed, at one time; texts whose ids leave a task at one time.
-CHUNK_CHARS, INDEX_CHARS = 1 << 19, 1 << 18
-OUT_TEXTS = 2000
+CHUNK_CHARS, INDEX_CHARS = 1 << 18, 1 << 17
+OUT_TEXTS = 1000
 #: Bits of the slots of the memo of pairs; units whose ids a worker remembers between batches.
-PAIR_BITS, MEMO_UNITS = 21, 1 << 20
+PAIR_BITS, MEMO_UNITS = 20, 1 << 19
 #: ASCII other than letters: a model's pieces seldom join these with letters.
 SIGNS = r"\x00-@\[-`{-\x7f"
 LETTER = r"[^\W\d_²³¹]"
