@@ -42,6 +42,9 @@ INSTANCE = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9](?:[A-Za-z0-9._@+/-]*[A-Za-z0
 # a context token: up to an inner '=' or ':', or a word with a free '=' or ':' after it
 TOKEN = re.compile(r"\S*[=:](?=\S)|\S+(?:[ \t]+[=:](?=\s))?")
 CONTEXT_CHARS = 80
+#: Texts whose spans leave a task at one time; characters whose tokens are held as
+#: strings; tokens counted before their counts leave.
+OUT_TEXTS, TOKEN_CHARS, TOKENS = 1000, 1 << 19, 1 << 18
 
 
 def _emails(text: str):
@@ -119,40 +122,51 @@ def candidates(text: str, base: list[tuple[int, int, int]]):
     return [c for c in out if c[2]]
 
 
+def _token_counts(texts):
+    """Counts of the texts' tokens, in dictionaries of about TOKENS at most; a token may be in several."""
+    counts, chars, held = {}, 0, []
+
+    def flush():
+        codes, names = pd.factorize(np.array(held, dtype=object))
+        for name, n in zip(names, np.bincount(codes, minlength=len(names)).tolist(), strict=True):
+            if len(name) <= CONTEXT_CHARS:
+                name = name.replace("\t", " ")
+                counts[name] = counts.get(name, 0) + n
+
+    for text in texts:
+        for piece in _pieces(text) if isinstance(text, str) else ():
+            held += TOKEN.findall(piece.lower())
+            chars += len(piece)
+            if chars > TOKEN_CHARS:
+                flush()
+                chars, held = 0, []
+                if len(counts) >= TOKENS:
+                    yield counts
+                    counts = {}
+    flush()
+    if counts:
+        yield counts
+
+
 def _scan(batches):
     """One row for each text, and one for each batch's count of each token."""
     fields = ["base", "found"]
     for pdf in batches:
-        base = [base_spans(t if isinstance(t, str) else "") for t in pdf["text"]]
-        found = [candidates(t, b) if isinstance(t, str) else [] for t, b in zip(pdf["text"], base, strict=True)]
-        yield pd.DataFrame({
-            "row": pdf["row"], "doc_id": pdf["doc_id"], "text_key": pdf["text_key"], "token": None,
-            "n": None,
-            fields[0]: [[{"start": s, "kind": k, "end": e} for s, k, e in b] for b in base],
-            fields[1]: [[{"start": s, "end": e, "context": c, "instance": x, "known": y} for s, e, c, x, y in f]
-                        for f in found]})
-        counts, chars, held = {}, 0, []
-
-        def flush(counts, held):
-            codes, names = pd.factorize(np.array(held, dtype=object))
-            for name, n in zip(names, np.bincount(codes, minlength=len(names)).tolist(), strict=True):
-                counts[name] = counts.get(name, 0) + n
-
-        for text in pdf["text"]:
-            for piece in _pieces(text) if isinstance(text, str) else ():
-                held += TOKEN.findall(piece.lower())
-                chars += len(piece)
-                if chars > 1 << 21:
-                    flush(counts, held)
-                    chars, held = 0, []
-        flush(counts, held)
-        names = [x.replace("\t", " ") for x in counts if len(x) <= CONTEXT_CHARS]
-        none = pd.Series([None] * len(names), dtype=object)
-        if not names:
-            continue
-        yield pd.DataFrame({"row": none, "doc_id": none, "text_key": none, "token": names,
-                            "n": [n for x, n in counts.items() if len(x) <= CONTEXT_CHARS],
-                            fields[0]: None, fields[1]: None})
+        for lo in range(0, len(pdf), OUT_TEXTS):
+            part = pdf.iloc[lo:lo + OUT_TEXTS]
+            base = [base_spans(t if isinstance(t, str) else "") for t in part["text"]]
+            found = [candidates(t, b) if isinstance(t, str) else []
+                     for t, b in zip(part["text"], base, strict=True)]
+            yield pd.DataFrame({
+                "row": part["row"], "doc_id": part["doc_id"], "text_key": part["text_key"], "token": None,
+                "n": None,
+                fields[0]: [[{"start": s, "kind": k, "end": e} for s, k, e in b] for b in base],
+                fields[1]: [[{"start": s, "end": e, "context": c, "instance": x, "known": y}
+                             for s, e, c, x, y in f] for f in found]})
+        for counts in _token_counts(pdf["text"]):
+            none = pd.Series([None] * len(counts), dtype=object)
+            yield pd.DataFrame({"row": none, "doc_id": none, "text_key": none, "token": list(counts),
+                                "n": list(counts.values()), fields[0]: None, fields[1]: None})
 
 
 # ids pass as text: pandas would make numbers with nulls inexact
@@ -163,8 +177,9 @@ SCAN = ("row long, doc_id string, text_key long, token string, n long, base arra
 def accepted_patterns(uses: DataFrame, tokens: DataFrame, min_conf: float, min_support: int, rounds: int) -> DataFrame:
     """``uses``: (context, instance, n, seed), one row per pair; ``tokens``: (token, n).
     Returns (context, conf) of the accepted patterns."""
-    totals = tokens.join(uses.select(F.col("context").alias("token")).distinct(), "token", "left_semi") \
-        .groupBy("token").agg(F.sum("n").alias("total"))
+    # summed first: the corpus has a token once in every batch, a context once
+    totals = (tokens.groupBy("token").agg(F.sum("n").alias("total"))
+              .join(uses.select(F.col("context").alias("token")).distinct(), "token", "left_semi"))
     uses = stash(uses.join(totals.withColumnRenamed("token", "context"), "context"), "pii-uses")
     known = uses.where("seed").select("instance").distinct()
     accepted, count, held = None, -1, None
