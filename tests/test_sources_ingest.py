@@ -213,3 +213,27 @@ def test_sample_zero_means_no_rows(spark):
     assert files.load_month(spark, root, "green", 2017, 4, sample=0).count() == 0
     assert files.load_month(spark, root, "green", 2017, 4, sample=3).count() == 3
     assert files.load_month(spark, root, "green", 2017, 4).count() == 5
+
+
+def test_a_month_of_drifting_parts_keeps_every_value(spark, tmp_path):
+    root = tmp_path / "raw"
+    unit = f"{root}/green/2019/green_tripdata_2019-01.parquet"
+    for order in (False, True):
+        _green_month(spark, 4, with_congestion=order).coalesce(1).write.mode("append").parquet(unit)
+    plan = spark.createDataFrame([("green", 2019, 1)], "service_type string, year int, month int")
+    target = str(tmp_path / "trips")
+    row = ingest.run(spark, plan, str(root), target).first()
+    assert (row["rows_loaded"], row["status"]) == (8, "loaded")
+    got = [r["congestion_surcharge"] for r in sinks.read_trips(spark, target).collect()]
+    assert got.count(2.75) == 4 and got.count(None) == 4
+
+
+def test_a_month_whose_parts_dont_merge_is_an_error(spark, tmp_path):
+    root = tmp_path / "raw"
+    unit = f"{root}/green/2019/green_tripdata_2019-01.parquet"
+    month = _green_month(spark, 4)
+    month.write.mode("append").parquet(unit)
+    month.withColumn("fare_amount", F.lit("free")).write.mode("append").parquet(unit)
+    plan = spark.createDataFrame([("green", 2019, 1)], "service_type string, year int, month int")
+    row = ingest.run(spark, plan, str(root), str(tmp_path / "trips")).first()
+    assert (row["rows_loaded"], row["status"]) == (0, "error") and "fare_amount" in row["error"]

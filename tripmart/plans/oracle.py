@@ -296,8 +296,11 @@ FROM (SELECT s.service_type, unnest(generate_series(lo, hi)) AS i
 
 def _more() -> dict[str, str]:
     q = {}
-    q["normalize_ts"] = "SELECT * EXCLUDE (FILE_YEAR, FILE_MONTH) FROM green_raw"
-    q["harmonize"] = harmonized("green_raw", "green")
+    q["normalize_ts"] = """
+SELECT * EXCLUDE (FILE_YEAR, FILE_MONTH) FROM yellow_raw
+UNION ALL BY NAME SELECT * EXCLUDE (FILE_YEAR, FILE_MONTH) FROM green_raw"""
+    q["harmonize"] = (harmonized("yellow_raw", "yellow") + "\nUNION ALL\n"
+                      + harmonized("green_raw", "green"))
     q["pick_coalesce"] = "SELECT * FROM trips_all"
     p, d = "pickup_datetime", "dropoff_datetime"
     q["scalars_time"] = f"""
@@ -392,4 +395,12 @@ SELECT e.service_type, e.year, e.month, CAST(coalesce(c.n, 0) AS BIGINT) AS rows
        CASE WHEN c.n IS NULL THEN 'missing' ELSE 'loaded' END AS status
 FROM ({_expected_full_years(_LOADED)}) e
 LEFT JOIN ({counts}) c USING (service_type, year, month)"""
+    q["load_trips"] = "SELECT * FROM trips_all"
+    q["load_missing"] = f"""
+SELECT e.service_type, e.year, e.month, CAST(coalesce(c.n, 0) AS BIGINT) AS rows_loaded,
+       CASE WHEN c.n IS NULL THEN 'missing' ELSE 'loaded' END AS status
+FROM ({_expected_full_years(_LOADED)}) e
+LEFT JOIN ({counts}) c USING (service_type, year, month)
+WHERE (e.year < (SELECT max(year) FROM trips_all) OR e.month <= 8)
+  AND NOT (e.service_type = 'yellow' AND c.n IS NOT NULL)"""
     return q

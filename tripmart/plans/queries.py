@@ -19,6 +19,8 @@ from . import views
 from .mart import Mart
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: The load plan of ``load_missing`` ends with this month of the last year.
+LAST_MONTH = 8
 
 
 def _m(spark, sf_dir) -> Mart:
@@ -127,13 +129,15 @@ def q_stats_by_hour(spark, sf_dir):
 # ---- projections and scalar functions -------------------------------------
 
 def q_normalize_ts(spark, sf_dir):
-    """Raw green rows with their zoned pickup/dropoff made plain timestamps."""
-    return harmonize.normalize_timestamps(_m(spark, sf_dir).raw("green").raw())
+    """The raw rows of both services, pickup/dropoff made plain timestamps."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True),
+                  [harmonize.normalize_timestamps(r.raw()) for r in _m(spark, sf_dir).raw_services])
 
 
 def q_harmonize(spark, sf_dir):
-    """The green branch (alternate names, missing surcharges) harmonised."""
-    return _m(spark, sf_dir).harmonized("green")
+    """Both branches (alternate names, missing surcharges) harmonised."""
+    m = _m(spark, sf_dir)
+    return m.harmonized("yellow").unionByName(m.harmonized("green"))
 
 
 def q_pick_coalesce(spark, sf_dir):
@@ -321,6 +325,11 @@ def q_overwrite_month(spark, sf_dir):
     return sinks.read_trips(spark, target)
 
 
+def _file_months(m: Mart) -> DataFrame:
+    return (files.list_units(m.spark, m.raw_files_root).where("unit IS NOT NULL")
+            .select("service_type", "year", "month"))
+
+
 def q_load_manifest(spark, sf_dir):
     """L1/L2: plan = every month of the calendar years the source files span;
     load the months found (schema drift harmonised per file signature) and
@@ -332,6 +341,26 @@ def q_load_manifest(spark, sf_dir):
     return ingest.run(spark, plan, m.raw_files_root, target).drop("error")
 
 
+def q_load_trips(spark, sf_dir):
+    """L1: the trips table after a load of every month file, all columns and rows."""
+    m = _m(spark, sf_dir)
+    target = session.scratch_dir(spark, "trips-loaded")
+    ingest.run(spark, _file_months(m), m.raw_files_root, target)
+    return sinks.read_trips(spark, target)
+
+
+def q_load_missing(spark, sf_dir):
+    """L2/L3: one service is in the table; the months that both services lack up to
+    August of the last year are planned and only those are loaded (their manifest)."""
+    m = _m(spark, sf_dir)
+    months = _file_months(m)
+    target = session.scratch_dir(spark, "trips-missing")
+    ingest.run(spark, months.where("service_type = 'yellow'"), m.raw_files_root, target)
+    span = months.agg(F.min("year").alias("lo"), F.max("year").alias("hi")).first()
+    return ingest.load_missing(spark, m.raw_files_root, target,
+                               (span["lo"], 1), (span["hi"], LAST_MONTH)).drop("error")
+
+
 QUERIES: dict[str, Query] = {
     name[2:]: fn_ for name, fn_ in sorted(globals().items())
     if name.startswith("q_") and callable(fn_)

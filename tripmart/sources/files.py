@@ -73,20 +73,21 @@ def load_month(spark: SparkSession, root: str, service: str, year: int, month,
     path = month_path(root, service, year, month)
     if not exists(spark, path):
         return None
-    df = spark.read.parquet(path)
+    df = spark.read.option("mergeSchema", "true").parquet(path)
     if sample is not None:
         df = df.limit(sample)
     return normalize_timestamps(df)
 
 
 def unit_schemas(spark: SparkSession, units: list[str], threads: int = 16) -> dict:
-    """Footer schema of each unit (metadata only), read concurrently.
+    """Merged schema of all footers of each unit (metadata only), read concurrently.
 
-    Returns {unit: StructType | Exception}; a bad unit does not stop the rest.
+    Returns {unit: StructType | Exception}; a bad unit, or one whose files give a column
+    types that don't merge, does not stop the rest.
     """
     def one(u):
         try:
-            return u, spark.read.parquet(u).schema
+            return u, spark.read.option("mergeSchema", "true").parquet(u).schema
         except Exception as e:  # noqa: BLE001 - reported per month
             return u, e
     with ThreadPoolExecutor(max_workers=max(1, min(threads, len(units)))) as ex:
@@ -103,7 +104,8 @@ def read_units(spark: SparkSession, units: list[tuple[str, str]],
         groups[(service, schema_signature(sch))].append(unit)
     branches = []
     for (service, _sig), paths in sorted(groups.items()):
-        df = spark.read.parquet(*paths)
+        # the units' merged schema: a column that the first file lacks is read all the same
+        df = spark.read.schema(schemas[paths[0]]).parquet(*paths)
         fp = F.col("_metadata.file_path")
         branches.append(harmonize(df, service, extract_int(fp, FILE_PATTERN, 2),
                                   extract_int(fp, FILE_PATTERN, 3)))
