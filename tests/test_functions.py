@@ -109,3 +109,10 @@ def test_month2_and_names(spark):
     df = spark.createDataFrame([("green", 2019, 1)], "s string, y int, m int")
     r = df.select(fn.table_name("s", "y", "m"), fn.file_name("s", "y", "m"), fn.month2("m")).first()
     assert tuple(r) == ("TRIPS_GREEN_2019_01", "green_tripdata_2019-01.parquet", "01")
+
+
+def test_text_numbers_round_once(spark):
+    from tripmart.functions import casts
+    df = spark.createDataFrame([("1.4999999",), ("2.5",), ("9300000000000000000",), ("CMT",), (None,)], "x string")
+    out = [r[0] for r in df.select(casts.to_number("x", df.schema["x"].dataType)).collect()]
+    assert out == [1, 3, None, None, None]

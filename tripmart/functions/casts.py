@@ -27,7 +27,7 @@ def to_number(c, dtype: T.DataType) -> Column:
         return F.round(c).try_cast("long")
     if isinstance(dtype, T.BooleanType):
         return c.cast("int").cast("long")
-    return F.round(c.try_cast("decimal(38,6)")).try_cast("long")
+    return F.round(c.try_cast("decimal(38,18)")).try_cast("long")
 
 
 def to_float(c, dtype: T.DataType) -> Column:

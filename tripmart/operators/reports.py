@@ -90,8 +90,8 @@ def top_zones(enriched: DataFrame, side: str = "pu", k: int = TOP_ZONES) -> Data
 
 # Money is summed as an exact decimal: a double sum depends on the order in
 # which tasks add their partials, so a total on a .xx5 edge could round
-# either way from run to run.
-MONEY = "decimal(38,6)"
+# either way from run to run.  Each amount is rounded to six digits first.
+MONEY = "decimal(18,6)"
 
 
 def revenue_by_borough_month(enriched: DataFrame) -> DataFrame:

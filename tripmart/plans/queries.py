@@ -314,14 +314,15 @@ def q_inventory_files(spark, sf_dir):
 
 
 def q_overwrite_month(spark, sf_dir):
-    """K1: write the trips table, re-load one month into it (dynamic partition
-    overwrite), read the whole table back: every row once."""
+    """K1: write the trips table, re-load one month with changed fares and one that has
+    become empty, read the whole table back."""
     m = _m(spark, sf_dir)
     target = session.scratch_dir(spark, "trips")
     sinks.write_trips(m.trips_all, target)
     month = ((F.col("service_type") == "yellow") & (F.col("year") == 1998)
              & (F.col("month") == 7))
-    sinks.overwrite_month(m.trips_all.where(month), target)
+    sinks.overwrite_month(m.trips_all.where(month).withColumn("fare_amount", F.col("fare_amount") + 1), target)
+    sinks.drop_month(spark, target, "yellow", 1998, 6)
     return sinks.read_trips(spark, target)
 
 
