@@ -34,11 +34,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from tripmart.llm.common import release_memory
+
 MARK = "▁"
 SEPARATOR = 0x110000
 #: Characters worked on, and indexed, at one time; texts whose ids leave a task at one time.
 CHUNK_CHARS, INDEX_CHARS = 1 << 18, 1 << 17
-OUT_TEXTS = 1000
+OUT_TEXTS, OUT_CHARS = 1000, 1 << 21
+#: Ids decoded at one time.
+DECODE_IDS = 1 << 16
 #: Bits of the slots of the memo of pairs; units whose ids a worker remembers between batches.
 PAIR_BITS, MEMO_UNITS = 20, 1 << 19
 #: ASCII other than letters: a model's pieces seldom join these with letters.
@@ -419,9 +423,13 @@ class Vocabulary:
         ids = np.asarray(ids, np.int64)
         if len(ids) and (ids.min() < 0 or ids.max() >= len(self.pieces)):
             raise ValueError("an id outside the vocabulary")
-        n = offsets[ids + 1] - offsets[ids]
-        shift = offsets[ids] - np.concatenate([[0], np.cumsum(n)[:-1]]) if len(ids) else n
-        text = flat[np.repeat(shift, n) + np.arange(int(n.sum()))].tobytes().decode("utf-8", "replace")
+        spelled = []
+        for lo in range(0, len(ids), DECODE_IDS):
+            part = ids[lo:lo + DECODE_IDS]
+            n = offsets[part + 1] - offsets[part]
+            shift = offsets[part] - np.concatenate([[0], np.cumsum(n)[:-1]])
+            spelled.append(flat[np.repeat(shift, n) + np.arange(int(n.sum()))].tobytes())
+        text = b"".join(spelled).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -450,11 +458,17 @@ def encoder(vocabulary: Vocabulary):
     @F.pandas_udf("ids array<int>, exact boolean")
     def column(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for lo in range(0, len(batch), OUT_TEXTS):
-                texts = batch.iloc[lo:lo + OUT_TEXTS].tolist()
+            # a slice ends with the text that brings it to OUT_CHARS
+            length = batch.str.len().fillna(0).to_numpy(np.int64)
+            block = (np.cumsum(length) - length) // OUT_CHARS
+            cuts = np.flatnonzero(np.diff(block)) + 1
+            ends = sorted({*range(0, len(batch), OUT_TEXTS), *cuts.tolist(), len(batch)})
+            for lo, hi in zip(ends, ends[1:], strict=False):
+                texts = batch.iloc[lo:hi].tolist()
                 ids = vocabulary.encode(texts)
                 exact = [None if t is None else vocabulary.decode(i) == t for t, i in zip(texts, ids, strict=True)]
                 yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "exact": pd.Series(exact, dtype=object)})
+                release_memory()
     return column
 
 
