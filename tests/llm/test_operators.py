@@ -380,6 +380,16 @@ def test_pagerank_against_dense_iteration(spark):
         assert all(abs(got.get((kind, x), 0) - r[i]) < 1e-9 for i, x in enumerate(names))
 
 
+def test_distrust_reaches_the_end_of_a_chain_of_hosts(spark):
+    links = [(f"h{i}", f"h{i - 1}", 1) for i in range(1, 7)]
+    df = spark.createDataFrame(links, "src string, dst string, n long")
+    seeds = spark.createDataFrame([("distrust", "h0", 10), ("distrust", "elsewhere", 999_990)], "kind string, host string, n long")
+    got = {r["host"]: r["rank"] for r in url_filter.propagate(df, seeds).collect()}
+    assert set(got) == {"elsewhere", *(f"h{i}" for i in range(7))} and min(got.values()) > 0
+    with pytest.raises(RuntimeError):
+        url_filter.propagate(df, seeds, steps=4)
+
+
 # ---- op9
 
 def test_langid(spark, edge_docs):

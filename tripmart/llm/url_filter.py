@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from tripmart.llm.common import drop_stash, stash
 
 CUT = 4
+MARGIN, EVEN = 4, 1e-12
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
          ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -53,12 +54,34 @@ def host_links(pages: DataFrame) -> DataFrame:
             .groupBy("src", "dst").agg(F.count("*").alias("n")))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, steps: int = 40, damping: float = 0.85,
-              tolerance: float = 1e-4) -> DataFrame:
+def moved_since(rank: DataFrame, before: DataFrame, ratio: float):
+    """One row: ``new`` (kind, host) pairs, ``worst`` relative change of a rank, and the number
+    of hosts with both ranks whose verdict is still ``open``."""
+    zero = F.lit(0.0)
+    both = (rank.where("rank > 0").join(before, ["kind", "host"], "left")
+            .select("kind", "host", "rank", "before", F.abs(F.col("rank") - F.coalesce("before", zero)).alias("change")))
+    sums = [F.sum(F.when(F.col("kind") == k, F.col(c)).otherwise(zero)).alias(f"{k}_{c}")
+            for k in ("trust", "distrust") for c in ("rank", "change")]
+    hosts = both.groupBy("host").agg(F.sum(F.when(F.col("before").isNull(), 1).otherwise(0)).alias("new"),
+                                     F.max(F.col("change") / F.col("rank")).alias("worst"), *sums)
+    gap = F.abs(F.col("distrust_rank") - ratio * F.col("trust_rank"))
+    near = ((F.col("trust_rank") > 0) & (F.col("distrust_rank") > 0)
+            & (gap <= MARGIN * (F.col("distrust_change") + ratio * F.col("trust_change"))) & (F.col("worst") > 0))
+    return hosts.agg(F.coalesce(F.sum("new"), F.lit(0)).alias("new"), F.coalesce(F.max("worst"), zero).alias("worst"),
+                     F.coalesce(F.sum(near.cast("int")), F.lit(0)).alias("open")).first()
+
+
+def propagate(links: DataFrame, seeds: DataFrame, steps: int = 1000, damping: float = 0.85,
+              tolerance: float = 1e-4, ratio: float = 1.0) -> DataFrame:
     """Personalised PageRank of both kinds: ``seeds`` has (kind, host, n) with kind
     ``trust`` or ``distrust``; returns (kind, host, rank).  Trust follows the links,
-    distrust runs against them.  Mass on hosts without a way on returns to the seeds.  Stops
-    when CUT steps change the ranks by less than ``tolerance`` in all, or after ``steps``."""
+    distrust runs against them.  Mass on hosts without a way on returns to the seeds.
+
+    Stops when CUT steps reached no new (kind, host), changed every rank by at most
+    ``tolerance`` of itself, and left every host reached by both kinds so far from
+    distrust = ratio * trust that MARGIN times its change doesn't cross it (or changed every
+    rank by at most EVEN of itself: such a host is even).  Fails if ``steps`` don't get
+    there; with ``tolerance`` 0, walks ``steps`` steps."""
     both = (links.select(F.lit("trust").alias("kind"), "src", "dst", "n")
             .union(links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"),
                                 F.col("src").alias("dst"), "n")))
@@ -80,19 +103,21 @@ def propagate(links: DataFrame, seeds: DataFrame, steps: int = 40, damping: floa
         if step % CUT == 0 or step == steps:
             rank, old = stash(rank, "pagerank"), held
             before = (start if old is None else old).withColumnRenamed("rank", "before")
-            zero = F.lit(0.0)
-            change = rank.join(before, ["kind", "host"], "full").agg(
-                F.sum(F.abs(F.coalesce("rank", zero) - F.coalesce("before", zero)))).first()[0]
+            now = moved_since(rank, before, ratio)
             held = rank
             if old is not None:
                 drop_stash(old)
-            if (change or 0.0) < tolerance:
+            if tolerance > 0 and not now["new"] and (
+                    now["worst"] <= min(tolerance, EVEN) or now["worst"] <= tolerance and not now["open"]):
                 break
+    else:
+        if tolerance > 0:
+            raise RuntimeError(f"ranks did not settle in {steps} steps")
     return rank
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-          rules=RULES, steps: int = 40, damping: float = 0.85, ratio: float = 1.0) -> DataFrame:
+          rules=RULES, steps: int = 1000, damping: float = 0.85, ratio: float = 1.0) -> DataFrame:
     """One row per page: ``page_id``, ``host``, ``path``, ``rule``, ``verdict``, ``trust``, ``distrust``."""
     url = F.col(url_col)
     base = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"),
@@ -101,7 +126,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     seeds = (ruled.where("r IS NOT NULL").groupBy(
         F.when(F.col("r.verdict") == "allow", "trust").otherwise("distrust").alias("kind"), "host")
         .agg(F.count("*").alias("n")))
-    ranks = propagate(stash(host_links(base), "host-links"), stash(seeds, "host-seeds"), steps, damping)
+    ranks = propagate(stash(host_links(base), "host-links"), stash(seeds, "host-seeds"), steps, damping, ratio=ratio)
     of = {k: F.sum(F.when(F.col("kind") == k, F.col("rank")).otherwise(0.0)).alias(k) for k in ("trust", "distrust")}
     hosts = ranks.groupBy("host").agg(*of.values())
     zero = F.lit(0.0)
