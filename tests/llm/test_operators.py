@@ -342,6 +342,18 @@ def test_bootstrapped_patterns(spark, edge_docs):
     assert out.columns == edge_docs.columns and out.count() == len(EDGES)
 
 
+def test_bootstrapping_goes_on_until_no_pattern_is_new(spark):
+    uses = [("k1", f"seed{j}", 1, True) for j in range(3)]
+    for i in range(1, 8):
+        uses += [(k, f"x{i}-{j}", 1, False) for j in range(3) for k in (f"k{i}", f"k{i + 1}")]
+    df = spark.createDataFrame(uses, "context string, instance string, n long, seed boolean")
+    tokens = spark.createDataFrame([(f"k{i}", 6) for i in range(1, 9)], "token string, n long")
+    got = pii.accepted_patterns(df, tokens, 0.5, 3, 1000)
+    assert {r.context for r in got.collect()} == {f"k{i}" for i in range(1, 9)}
+    with pytest.raises(RuntimeError):
+        pii.accepted_patterns(df, tokens, 0.5, 3, 4)
+
+
 # ---- op8
 
 def test_url_filter(spark):

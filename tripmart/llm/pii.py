@@ -10,7 +10,8 @@ it, such as ``passport:`` or ``key=``.  In each round
   number of different known instances; at ``min_conf`` and ``min_support`` it is accepted;
 * an instance is known if it is a seed or an accepted pattern precedes it somewhere.
 
-Known instances of one round give other patterns support in the next.  At the end
+Known instances of one round give other patterns support in the next, until a round
+accepts no new pattern.  At the end
 whatever identifier follows an accepted pattern is a span of kind ``id``, unless a
 fixed pattern already covers part of it.
 
@@ -176,7 +177,8 @@ SCAN = ("row long, doc_id string, text_key long, token string, n long, base arra
 
 def accepted_patterns(uses: DataFrame, tokens: DataFrame, min_conf: float, min_support: int, rounds: int) -> DataFrame:
     """``uses``: (context, instance, n, seed), one row per pair; ``tokens``: (token, n).
-    Returns (context, conf) of the accepted patterns."""
+    Returns (context, conf) of the accepted patterns.  Accepted patterns and known instances
+    only grow, so a round that adds no pattern is the last; fails if ``rounds`` don't reach it."""
     # summed first: the corpus has a token once in every batch, a context once
     totals = (tokens.groupBy("token").agg(F.sum("n").alias("total"))
               .join(uses.select(F.col("context").alias("token")).distinct(), "token", "left_semi"))
@@ -197,11 +199,13 @@ def accepted_patterns(uses: DataFrame, tokens: DataFrame, min_conf: float, min_s
         count = now
         known = (uses.where("seed").select("instance")
                  .union(uses.join(accepted.select("context"), "context", "left_semi").select("instance")).distinct())
+    else:
+        raise RuntimeError(f"patterns did not settle in {rounds} rounds")
     return accepted
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_conf: float = 0.5,
-         min_support: int = 3, rounds: int = 4) -> DataFrame:
+         min_support: int = 3, rounds: int = 1000) -> DataFrame:
     """One row per document: ``row`` (a number of this scan's own), ``doc_id``, ``text_key`` (a
     hash of the text), ``base`` and ``spans``, each an array of struct(start, kind, end) by start, kind and end; kinds are numbers in KINDS."""
     scan = stash(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("string").alias("doc_id"),
