@@ -251,6 +251,16 @@ def test_substring(spark, edge_docs):
     assert passage.upper() not in cut[22] and cut[20] == texts[0][1] and len(re.findall(r"\w+", cut[22])) == 80
 
 
+def test_windows_of_a_signature_meet_the_firsts_of_their_sides_at_any_size(spark):
+    r = random.Random(12)
+    # one signature; the sides of all windows differ but for two that share their left one
+    rows = [(7, i, 0, 0, 100, 200, r.randrange(1 << 30), i) for i in range(30_000)]
+    rows[9_000] = (7, 9_000, 0, 0, 100, 200, 1, -5)
+    rows[21_000] = (7, 21_000, 0, 0, 100, 200, (1 << 30) + 1, -5)
+    got = substring._window_pairs(spark.createDataFrame(rows, substring.WINDOW), 46)
+    assert got.where("a = 21000 AND b = 9000").count() == 1
+
+
 def test_compact_windows_cover_every_subsequence_once():
     g = np.random.default_rng(2)
     for n, t in ((40, 5), (17, 1), (12, 12), (4, 5)):
