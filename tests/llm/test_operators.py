@@ -261,6 +261,36 @@ def test_windows_of_a_signature_meet_the_firsts_of_their_sides_at_any_size(spark
     assert got.where("a = 21000 AND b = 9000").count() == 1
 
 
+def brute_stretches(a, b, shortest, threshold):
+    """Spans of ``a`` of the longest stretches: all pairs of subsequences that begin and end alike."""
+    ends = [(i, j) for i in range(len(a)) for j in range(len(b)) if a[i] == b[j]]
+    spans = set()
+    for (i, k), (j, m) in itertools.product(ends, ends):
+        if j - i + 1 >= shortest and m >= k:
+            x, y = set(a[i:j + 1]), set(b[k:m + 1])
+            if len(x & y) / len(x | y) >= threshold:
+                spans.add((i, j))
+    return {s for s in spans if not any(t != s and t[0] <= s[0] and s[1] <= t[1] for t in spans)}
+
+
+def test_stretches_hold_edits_of_any_length():
+    words = [f"w{i}" for i in range(100)]
+    for n, changed in ((100, range(46, 52)), (95, range(46, 52)), (100, range(10, 14)), (100, range(40, 60))):
+        one = words[:n]
+        two = [f"x{i}" if i in changed else w for i, w in enumerate(one)]
+        a, b = (substring.shingle_hashes(w, 5) for w in substring.word_hashes([" ".join(one), " ".join(two)]))
+        got = {(s, e) for s, e, *_ in substring.passages(a, b, np.array([0]), 50, 0.8)}
+        assert got == brute_stretches(a.tolist(), b.tolist(), 46, 0.8)
+    two = words[:50] + [f"new{i}" for i in range(12)] + words[50:]
+    a, b = (substring.shingle_hashes(w, 5) for w in substring.word_hashes([" ".join(words), " ".join(two)]))
+    got = {(s, e) for s, e, *_ in substring.passages(a, b, np.array([-12, 0]), 50, 0.8)}
+    assert got == brute_stretches(a.tolist(), b.tolist(), 46, 0.8) == {(0, 95)}
+    two = words[:30] + words[:10] + words[30:70] + ["y"] * 9 + words[70:]                # shingles that repeat
+    a, b = (substring.shingle_hashes(w, 5) for w in substring.word_hashes([" ".join(words), " ".join(two)]))
+    got = {(s, e) for s, e, *_ in substring.passages(a, b, np.array([-19, -10, 0]), 50, 0.8)}
+    assert got == brute_stretches(a.tolist(), b.tolist(), 46, 0.8)
+
+
 def test_compact_windows_cover_every_subsequence_once():
     g = np.random.default_rng(2)
     for n, t in ((40, 5), (17, 1), (12, 12), (4, 5)):
