@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripmart.llm import (
+    decontaminate,
+    divergence,
     embed_dedup,
     langid,
+    merkle,
     mixing,
     ngram_jaccard,
     pieces,
@@ -77,6 +80,22 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof of every document, checked against a table with changed texts."""
+    return merkle.dataset(table(spark, sf_dir, "documents"), **merkle.lowered_third())
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergences of the sources of a language, and the terms that set them apart."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside windows of the benchmark, and the items they come from."""
+    found = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", *decontaminate.digest())
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline, all its stages."""
     import corpus_pipeline
@@ -85,7 +104,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard, op2_mix_sources, op3_exact_topk, op4_compact_windows, op5_pstable_dedup,
-    op6_sentencepiece, op7_pii, op8_url_filter, op9_langid, op10_warc, pipeline)}
+    op6_sentencepiece, op7_pii, op8_url_filter, op9_langid, op10_warc, op11_merkle_manifest, op12_source_divergence, op13_decontaminate, pipeline)}
 
 # Brute force: all shingles, every pair that shares one.
 _OP1 = r"""
@@ -143,4 +162,103 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 1000 AND page_id < top THEN top END AS refers_to FROM t
 """
 
-ORACLE_SQL = {"op1_ngram_jaccard": _OP1, "op3_exact_topk": _OP3, "op5_pstable_dedup": _OP5, "op10_warc": _OP10}
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _op11(levels: int = 10, top_levels: int = 4) -> str:
+    """Trees of up to 8^levels rows and 8^top_levels languages, level by level."""
+    def field(c):
+        return f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || {c}, '-')"
+
+    def leaf(text):
+        return "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    def tree(name, depth):
+        """Levels name0, name1, ... of (g, pos, n, digest), and what is beside each node."""
+        out = []
+        for k in range(depth):
+            out.append(f"""{name}{k + 1} AS (SELECT g, pos // 8 AS pos, (n + 7) // 8 AS n, CASE WHEN n > 1
+  THEN sha256(string_agg(digest, '' ORDER BY pos)) ELSE min(digest) END AS digest FROM {name}{k} GROUP BY g, pos // 8, n)""")
+            out.append(f"""{name}b{k} AS (SELECT a.g, a.pos, a.n,
+  coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l,
+  coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+  FROM {name}{k} a JOIN {name}{k} b ON a.g = b.g AND a.pos // 8 = b.pos // 8 GROUP BY a.g, a.pos, a.n)""")
+        return out
+
+    def climb(path, name, depth):
+        return [f"""{path}{k + 1} AS (SELECT p.* REPLACE (p.pos // 8 AS pos, p.sibs || b.l || b.r AS sibs,
+  CASE WHEN b.n > 1 THEN sha256(b.l || p.fold || b.r) ELSE p.fold END AS fold)
+  FROM {path}{k} p JOIN {name}b{k} b ON p.g = b.g AND p.pos = b.pos)""" for k in range(depth)]
+
+    text = _LOWER.format("text")
+    parts = [
+        # crc32 by its table of 256 remainders
+        """t AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+  lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t)""",
+        f"""d AS (SELECT *, row_number() OVER () AS rid, {leaf("text")} AS leaf, {leaf(text)} AS changed,
+  xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+    lambda x: CAST(ascii(x) AS BIGINT))), lambda c, x: xor(t[CAST(xor(c, x) % 256 AS INTEGER) + 1], c // 256)), 4294967295) AS crc
+  FROM (SELECT doc_id, source, lang, n_chars, text FROM documents), t)""",
+        """a AS (SELECT rid, doc_id, leaf, CASE WHEN crc % 3 = 0 THEN changed ELSE leaf END AS fold, coalesce('+' || lang, '*') AS g,
+  row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM d)""",
+        "x0 AS (SELECT g, pos, n, leaf AS digest FROM a)", *tree("x", levels),
+        f"s AS (SELECT g AS name, digest, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM x{levels})",
+        "y0 AS (SELECT '' AS g, pos, n, digest FROM s)", *tree("y", top_levels),
+        "p0 AS (SELECT rid, doc_id, leaf, g, pos, fold, '' AS sibs FROM a)", *climb("p", "x", levels),
+        f"""q0 AS (SELECT p.rid, p.doc_id, p.leaf, s.digest AS subroot, '' AS g, s.pos, p.fold, p.sibs FROM p{levels} p
+  JOIN s ON p.g = s.name)""", *climb("q", "y", top_levels)]
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT doc_id, leaf, subroot, r.digest AS root, sha256(sibs) AS proof_sha256, fold AS folded_root, fold = r.digest AS verified
+FROM q{top_levels} q JOIN y{top_levels} r ON q.g = r.g"""
+
+
+_OP12 = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  {_LOWER.format("coalesce(text, '')")} AS text FROM documents),
+tok AS (SELECT rid, lang, source, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term FROM tok GROUP BY ALL HAVING count(DISTINCT rid) >= 3),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY 1),
+c AS (SELECT lang, source, term, count(*) AS c FROM tok JOIN kept USING (lang, term) GROUP BY ALL),
+g AS (SELECT g.lang, g.source, coalesce(sum(c), 0) AS n FROM (SELECT DISTINCT lang, source FROM d) g
+  LEFT JOIN c ON g.lang = c.lang AND g.source = c.source GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c,
+  1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.c, 0) + 1) // CAST(g.n + v.v AS HUGEINT) AS p
+  FROM g JOIN kept k USING (lang) JOIN v USING (lang)
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+l AS (SELECT lang, term, sum(c) AS c FROM c GROUP BY ALL), ln AS (SELECT lang, sum(c) AS n FROM l GROUP BY 1),
+q AS (SELECT lang, term, 1 + CAST(1000000000 AS HUGEINT) * CAST(l.c + 1 AS HUGEINT) // CAST(ln.n + v.v AS HUGEINT) AS q
+  FROM l JOIN ln USING (lang) JOIN v USING (lang)),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(sum((x.p - y.p) * (x.p - y.p) // y.p), 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source
+  LEFT JOIN p y ON y.lang = a.lang AND y.source = b.source AND y.term = x.term WHERE x.term IS NULL OR y.term IS NOT NULL
+  GROUP BY ALL),
+term AS (SELECT p.lang, p.source, 'term' AS part, p.term AS item, (p.p - q.q) * (p.p - q.q) // q.q AS value
+  FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE p.c > 0 AND p.p > q.q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+  FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r
+WHERE part = 'pair' OR rank <= 200
+"""
+
+_WORDS = _LOWER.format("coalesce(text, '')")
+_OP13 = f"""
+WITH i AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_WORDS}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM benchmark),
+win AS (SELECT DISTINCT item, least(10, len(w)) AS n, unnest(list_transform(range(1, len(w) - least(10, len(w)) + 2),
+  lambda j: array_to_string(w[j:j + least(10, len(w)) - 1], ' '))) AS s FROM i WHERE len(w) > 0),
+d AS (SELECT row_number() OVER () AS rid, doc_id,
+  regexp_extract_all({_WORDS}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+dw AS (SELECT rid, n, unnest(range(1, len(w) - n + 2)) AS b, w FROM d, (SELECT DISTINCT n FROM win)),
+hit AS (SELECT dw.rid, dw.b, dw.n, win.item FROM (SELECT rid, n, b, array_to_string(w[b:b + n - 1], ' ') AS s FROM dw) dw
+  JOIN win ON dw.n = win.n AND dw.s = win.s),
+words AS (SELECT rid, count(DISTINCT pos) AS n FROM (SELECT rid, unnest(range(b, b + n)) AS pos FROM hit) GROUP BY 1),
+items AS (SELECT rid, count(*) AS n, string_agg(item, ',' ORDER BY item) AS s
+  FROM (SELECT DISTINCT rid, item FROM hit WHERE item IS NOT NULL) GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(words.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items,
+  sha256(coalesce(items.s, '')) AS items_sha256, coalesce(words.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
+"""
+
+ORACLE_SQL = {
+    "op1_ngram_jaccard": _OP1, "op3_exact_topk": _OP3, "op5_pstable_dedup": _OP5, "op10_warc": _OP10,
+    "op11_merkle_manifest": _op11(), "op12_source_divergence": _OP12, "op13_decontaminate": _OP13}
