@@ -116,3 +116,15 @@ def test_text_numbers_round_once(spark):
     df = spark.createDataFrame([("1.4999999",), ("2.5",), ("9300000000000000000",), ("CMT",), (None,)], "x string")
     out = [r[0] for r in df.select(casts.to_number("x", df.schema["x"].dataType)).collect()]
     assert out == [1, 3, None, None, None]
+
+
+def test_numbers_of_38_digits_survive(spark):
+    from decimal import Decimal
+
+    from tripmart.functions import casts
+    texts = ["9300000000000000000", "123456789012345678901234567890", "1.4999999", "2.5", "-0.5", "9" * 38, "9" * 39, "CMT", "", None]
+    df = spark.createDataFrame([(t, None if t in (None, "", "CMT") else float(t)) for t in texts], "t string, d double")
+    got = [r[0] for r in df.select(casts.to_number38("t", df.schema["t"].dataType)).collect()]
+    assert got == [Decimal(9300000000000000000), Decimal(123456789012345678901234567890), 1, 3, -1, Decimal("9" * 38), None, None,
+                   None, None]
+    assert df.select(casts.to_number38("d", df.schema["d"].dataType)).first()[0] == Decimal(9300000000000000000)

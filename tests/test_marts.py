@@ -114,8 +114,8 @@ def test_zone_bound_disables_broadcast(spark):
 
 def test_stored_code_tables_are_checked(spark):
     from tripmart import session
-    paths = dims.write_code_tables(spark, session.scratch_dir(spark, "t-codes"))
-    codes = dims.read_code_tables(spark, paths)
+    names = dims.write_code_tables(spark, "default", session.scratch_dir(spark, "t-codes"))
+    codes = dims.read_code_tables(spark, names)
     d = dims.build_dims(spark, zones(spark, [(1, "B", "Z", "S")]), codes=codes)
     assert d.codes_small and d.codes_unique
     t = trips(spark, [dict(pickup_datetime=ts("2020-01-05 10:00:00"),

@@ -1,5 +1,7 @@
 """Plan shape: broadcast dims, pruned scans, one shuffle per aggregate."""
 
+import pytest
+
 from tripmart.plans.queries import QUERIES
 from tests.conftest import SF_SMALL
 
@@ -23,9 +25,11 @@ def _physical(df):
     return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
 
 
-def test_count_by_partition_columns_reads_no_data_columns(spark):
-    p = _physical(QUERIES["trips_by_service_year"](spark, SF_SMALL))
-    assert "ReadSchema: struct<>" in p
+@pytest.mark.parametrize("name", ["trips_by_service_year", "row_counts"])
+def test_counts_are_pushed_to_the_footers(spark, name):
+    p = _physical(QUERIES[name](spark, SF_SMALL))
+    assert "PushedAggregation: [COUNT(*)]" in p
+    assert "pickup_datetime" not in p
 
 
 def test_strict_rule_reaches_the_parquet_scan(spark):
@@ -61,9 +65,6 @@ def test_full_enrichment_has_five_broadcast_joins(spark):
     assert "ReusedExchange" in p
 
 
-import pytest  # noqa: E402
-
-
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_sort_merge_or_cross_join_in_any_query(spark, name):
     from tools.plan_report import final_plan, summarise

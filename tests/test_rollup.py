@@ -1,0 +1,77 @@
+"""Roll-up: equal reports from both paths, refresh of touched months only."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from tests.conftest import SF_MID, SF_SMALL
+from tests.helpers import trips, ts, zones
+from tripmart import session
+from tripmart.operators import dims, marts, reports, rollup
+from tripmart.plans.mart import Mart
+from tripmart.plans.queries import QUERIES
+from tripmart.sinks.monthly import MonthlyTable
+
+
+@pytest.mark.parametrize("name", sorted(rollup.REPORTS))
+def test_reports_are_equal_from_both_paths(spark, name):
+    assert QUERIES[f"rollup_{name}"](spark, SF_MID).collect() == QUERIES[name](spark, SF_MID).collect()
+
+
+@pytest.mark.parametrize("name", sorted(rollup.REPORTS))
+def test_plan_reads_the_rollup_only(spark, name):
+    df = QUERIES[f"rollup_{name}"](spark, SF_SMALL)
+    text = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    assert f"trips_all_{rollup.REPORTS[name][0]}" in text
+    assert "pickup_datetime" not in text and "SortMergeJoin" not in text and "Cartesian" not in text
+
+
+def _month(spark, month, n, **more):
+    row = {"month": month, "pickup_datetime": ts("2020-01-05 10:00:00"), "dropoff_datetime": ts("2020-01-05 10:30:00"),
+           "total_amount": 0.1, "payment_type": "1"} | more
+    return trips(spark, [row] * n)
+
+
+def test_refresh_makes_only_touched_months(spark):
+    table = MonthlyTable(spark, session.scratch_dir(spark, "t-rollup"))
+    table.land(_month(spark, 1, 3).union(_month(spark, 2, 4)))
+    roll = rollup.Rollup(table)
+    both = [("yellow", 2020, 1), ("yellow", 2020, 2)]
+    assert roll.refresh() == {"profile": both, "places": both, "fares": both}
+    assert roll.refresh() == {"profile": [], "places": [], "fares": []}
+    old = {r["month"]: r["load"] for r in roll.tables["places"].current().collect()}
+    table.land(_month(spark, 2, 7, tip_amount=float("nan")))
+    assert set(map(tuple, roll.refresh().values())) == {(("yellow", 2020, 2),)}
+    new = {r["month"]: r["load"] for r in roll.tables["places"].current().collect()}
+    assert new[1] == old[1] and new[2] != old[2]
+    assert {r["month"]: r["n"] for r in roll.read("places").groupBy("month").agg(F.sum("n").alias("n")).collect()} == {1: 3, 2: 7}
+    table.empty([("yellow", 2020, 1)])
+    roll.refresh()
+    assert [r["month"] for r in roll.read("fares").select("month").distinct().collect()] == [2]
+
+
+def test_odd_values_and_empty_tables(spark):
+    """NULL, NaN, infinite and huge values, unmatched zones; nothing at all."""
+    d = dims.build_dims(spark, zones(spark, [(1, "B", "Z", "S")]))
+    rows = [dict(tip_amount=None), dict(tip_amount=1e300, fare_amount=1e-5), dict(pu_location_id=None), dict(pu_location_id=99),
+            dict(tip_amount=0.1), dict(tip_amount=0.2), dict(tip_amount=-3.0), dict(fare_amount=0.0), dict(total_amount=1e8)]
+    t = trips(spark, [{"pickup_datetime": ts("2020-01-05 10:00:00"), "dropoff_datetime": ts("2020-01-05 10:30:00")} | r for r in rows])
+    table = MonthlyTable(spark, session.scratch_dir(spark, "t-rollup-odd"))
+    roll = rollup.Rollup(table)
+    for expect in (t.where("false"), t):
+        table.land(expect)
+        roll.refresh()
+        clean, strict = marts.clean(marts.obt(expect)), marts.enrich(marts.strict(expect), d)
+        base = {"stats_by_service": reports.stats_by_service(clean), "stats_by_dow": reports.stats_by_dow(clean),
+                "top_pickup_zones": reports.top_zones(strict, "pu"), "speed_by_borough": reports.speed_by_borough(strict),
+                "revenue_by_borough_month": reports.revenue_by_borough_month(strict),
+                "tip_by_payment": reports.tip_by_payment(strict), "stats_by_hour": reports.stats_by_hour(strict)}
+        for name, want in base.items():
+            kind, report = rollup.REPORTS[name]
+            assert report(roll.read(kind), d).collect() == want.collect(), name
+
+
+def test_mart_refreshes_the_rollup_once(spark, monkeypatch):
+    m = Mart(spark, SF_SMALL)
+    m.rollup  # noqa: B018 - made if it isn't there
+    monkeypatch.setattr(MonthlyTable, "stage", lambda *a, **k: pytest.fail("nothing is to be made again"))
+    assert Mart(spark, SF_SMALL).rollup.read("fares").count() > 0

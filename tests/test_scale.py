@@ -48,7 +48,7 @@ def test_hot_month_is_split_across_tasks_on_write(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
     root = session.local_path(target)
-    hot = glob.glob(f"{root}/service_type=yellow/year=2020/month=1/*.parquet")
+    hot = glob.glob(f"{root}/loads/load=*/service_type=yellow/year=2020/month=1/*.parquet")
     assert len(hot) > 1, "the hot month went to a single task"
     back = sinks.read_trips(spark, target)
     per_file = (back.where("year = 2020 AND month = 1")

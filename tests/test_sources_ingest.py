@@ -141,19 +141,7 @@ def test_landing_a_month_twice_replaces_it(spark):
     assert [(r["month"], r["n_files"]) for r in inv] == [(1, 1)]
 
 
-def test_manifest_count_is_partition_pruned(spark):
-    from tripmart.operators.ingest import month_filter
-    target = session.scratch_dir(spark, "t-prune")
-    t = _green_month(spark, 3)
-    h = harmonize.harmonize(t, "green", 2019, 1).unionByName(harmonize.harmonize(t, "green", 2019, 2))
-    sinks.write_trips(h, target)
-    df = sinks.read_trips(spark, target).where(month_filter([("green", 2019, 2)]))
-    plan = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
-    assert "PartitionFilters: [" in plan and "month" in plan.split("PartitionFilters: [")[1][:300]
-    assert df.count() == 3
-
-
-def test_table_months_from_folder_names(spark):
+def test_table_months_from_the_catalog(spark):
     target = session.scratch_dir(spark, "t-months")
     t = _green_month(spark, 2)
     h = (harmonize.harmonize(t, "green", 2019, 1)
@@ -228,12 +216,157 @@ def test_a_month_of_drifting_parts_keeps_every_value(spark, tmp_path):
     assert got.count(2.75) == 4 and got.count(None) == 4
 
 
-def test_a_month_whose_parts_dont_merge_is_an_error(spark, tmp_path):
+def test_a_month_whose_parts_dont_merge_is_read_file_by_file(spark, tmp_path):
     root = tmp_path / "raw"
     unit = f"{root}/green/2019/green_tripdata_2019-01.parquet"
     month = _green_month(spark, 4)
     month.write.mode("append").parquet(unit)
-    month.withColumn("fare_amount", F.lit("free")).write.mode("append").parquet(unit)
+    month.withColumn("fare_amount", F.when(F.col("vendor_id") == "1", F.lit("free")).otherwise(F.lit("3.5"))) \
+        .write.mode("append").parquet(unit)
     plan = spark.createDataFrame([("green", 2019, 1)], "service_type string, year int, month int")
-    row = ingest.run(spark, plan, str(root), str(tmp_path / "trips")).first()
-    assert (row["rows_loaded"], row["status"]) == (0, "error") and "fare_amount" in row["error"]
+    target = str(tmp_path / "trips")
+    row = ingest.run(spark, plan, str(root), target).first()
+    assert (row["rows_loaded"], row["status"]) == (8, "loaded")
+    fares = sorted((r["fare_amount"] for r in sinks.read_trips(spark, target).collect()), key=str)
+    assert fares == [10.0, 11.0, 12.0, 13.0, 3.5, 3.5, 3.5, None]
+
+
+def test_one_bad_month_among_many_costs_few_jobs(spark, tmp_path, monkeypatch):
+    from tripmart.sinks.monthly import MonthlyTable
+    months = [{"unit": f"u{i}", "service_type": "green", "year": 2010 + i // 12, "month": i % 12 + 1, "fingerprint": "f"}
+              for i in range(64)]
+    staged = []
+
+    def stage(self, batch, rebalance=False):
+        staged.append(batch)
+        if ("u37", "green") in batch:
+            raise OSError("u37 is bad")
+        return ",".join(u for u, _ in batch)
+
+    monkeypatch.setattr(ingest.files, "read_units", lambda spark, units, scans: units)
+    monkeypatch.setattr(MonthlyTable, "stage", stage)
+    monkeypatch.setattr(MonthlyTable, "switch", lambda self, load, units: {m: 1 for m in units})
+    rows, errors = ingest._land(spark, MonthlyTable(spark, str(tmp_path)), months, {m["unit"]: [] for m in months})
+    assert len(staged) == 13 and len(rows) == 63
+    assert errors == [("green", 2013, 2, "OSError: u37 is bad")]
+
+
+def test_only_new_and_changed_units_are_opened(spark, monkeypatch):
+    root, target = session.scratch_dir(spark, "t-current"), session.scratch_dir(spark, "t-current-trips")
+    _write_raw(spark, root, {("green", 2020, m): _green_month(spark, m) for m in (1, 2, 3)})
+    assert [tuple(r)[2:5] for r in ingest.load_current(spark, root, target).collect()] == \
+        [(1, 1, "loaded"), (2, 2, "loaded"), (3, 3, "loaded")]
+    assert ingest.load_current(spark, root, target).collect() == []
+    opened = []
+    scans = files.unit_scans
+    monkeypatch.setattr(files, "unit_scans", lambda spark, units, **k: opened.extend(units) or scans(spark, units, **k))
+    _write_raw(spark, root, {("green", 2020, 2): _green_month(spark, 5), ("green", 2020, 4): _green_month(spark, 1)})
+    assert [tuple(r)[2:5] for r in ingest.load_current(spark, root, target).collect()] == [(2, 5, "loaded"), (4, 1, "loaded")]
+    assert sorted(u[-15:] for u in opened) == ["2020-02.parquet", "2020-04.parquet"]
+    counts = {r["month"]: r["count"] for r in sinks.read_trips(spark, target).groupBy("month").count().collect()}
+    assert counts == {1: 1, 2: 5, 3: 3, 4: 1}
+    # a month that fails isn't in the ledger, and is tried again
+    os.remove(next(os.path.join(d, f) for d, _, fs in os.walk(session.local_path(files.month_path(root, "green", 2020, 3)))
+                   for f in fs if f.endswith(".parquet")))
+    with open(os.path.join(session.local_path(files.month_path(root, "green", 2020, 3)), "bad.parquet"), "wb") as f:
+        f.write(b"no")
+    for _ in range(2):
+        assert [tuple(r)[2:5] for r in ingest.load_current(spark, root, target).collect()] == [(3, 0, "error")]
+    assert sinks.read_trips(spark, target).where("month = 3").count() == 3
+
+
+def test_sample_does_not_depend_on_the_layout(spark):
+    root = session.scratch_dir(spark, "t-layout")
+    rows = _green_month(spark, 40)
+    _write_raw(spark, root, {("green", 2017, 4): rows.coalesce(1), ("green", 2017, 5): rows.repartition(7)})
+    a, b = (sorted(map(str, files.load_month(spark, root, "green", 2017, m, sample=9).collect())) for m in (4, 5))
+    assert a == b and len(a) == 9
+
+
+def test_raw_months_and_samples_in_the_catalog(spark):
+    from tests.conftest import SF_SMALL
+    from tripmart.plans.mart import Mart
+    m = Mart(spark, SF_SMALL)
+    names = {r["table_name"] for r in catalog.catalog_tables(spark, m.raw_database).collect()}
+    assert {"trips_all", "trips_yellow_1998_07"} < names and any(n.endswith("_tiny") for n in names)
+    parsed = {r["table_name"] for r in catalog.inventory_months(spark, m.raw_database).collect()}
+    assert parsed == {n for n in names if not n.endswith("_tiny") and n != "trips_all"}
+    month = spark.table(f"{m.raw_database}.trips_yellow_1998_07")
+    assert month.count() == files.load_month(spark, m.raw_files_root, "yellow", 1998, 7).count()
+
+
+def test_trips_table_is_current_without_a_rewrite_in_another_application(spark, monkeypatch):
+    from tests.conftest import SF_SMALL
+    from tripmart.plans import mart
+    from tripmart.sinks import monthly
+    n = mart.Mart(spark, SF_SMALL).trips_all.count()
+    # as another application with another catalog: nothing in memory, no table
+    monkeypatch.setattr(mart, "_CURRENT", {})
+    monkeypatch.setattr(monthly, "_APPLIED", {})
+    spark.sql(f"DROP TABLE {mart.Mart(spark, SF_SMALL).table.name}")
+    monkeypatch.setattr(mart, "_CURRENT", {})
+    landed = []
+    stage = monthly.MonthlyTable.stage
+    monkeypatch.setattr(monthly.MonthlyTable, "stage", lambda self, *a, **k: landed.append(self.name) or stage(self, *a, **k))
+    assert mart.Mart(spark, SF_SMALL).trips_all.count() == n and landed == []
+    # a source that changed is landed again, the other service isn't
+    monkeypatch.setattr(mart, "_CURRENT", {})
+    stamp = mart._stamp
+    monkeypatch.setattr(mart, "_stamp", lambda spark, p: "changed" if "events" in p else stamp(spark, p))
+    m = mart.Mart(spark, SF_SMALL)
+    assert m.trips_all.count() == n and len(landed) == 1
+    loads = {r["service_type"]: r["load"] for r in m.table.current().select("service_type", "load").distinct().collect()}
+    assert len(set(loads.values())) == 2
+
+
+def test_query_and_dbtable_reach_an_in_process_source(spark):
+    """S3: a Python data source stands for a connector; its options and filters are recorded by its rows."""
+    from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
+
+    class Reader(DataSourceReader):
+        def __init__(self, options):
+            self.options, self.day = options, None
+
+        def pushFilters(self, filters):
+            for f in filters:
+                if isinstance(f, EqualTo) and f.attribute == ("day",):
+                    self.day = f.value
+                else:
+                    yield f
+
+        def partitions(self):
+            return [InputPartition(d) for d in ("mon", "tue") if self.day in (None, d)]
+
+        def read(self, partition):
+            yield self.options.get("query") or self.options["dbtable"], partition.value, len(partition.value)
+
+    class Source(DataSource):
+        @classmethod
+        def name(cls):
+            return "in_process"
+
+        def schema(self):
+            return "asked string, day string, n int"
+
+        def reader(self, schema):
+            return Reader(self.options)
+
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(Source)
+    got = catalog.read_query(spark, "SELECT 1", fmt="in_process", url="x")
+    assert sorted(tuple(r) for r in got.collect()) == [("SELECT 1", "mon", 3), ("SELECT 1", "tue", 3)]
+    one = got.where("day = 'tue'")
+    assert one.rdd.getNumPartitions() == 1 and [r["day"] for r in one.collect()] == ["tue"]
+    table = catalog.read_source_table(spark, "TRIPS_GREEN_2019_01", "in_process", url="x").where("n > 2")
+    assert {r["asked"] for r in table.collect()} == {"TRIPS_GREEN_2019_01"}
+
+
+def test_replace_table_switches_to_the_new_version(spark):
+    root = session.scratch_dir(spark, "t-table")
+    assert sinks.replace_table(spark.range(3), "t_replace", root).count() == 3
+    old = spark.table("t_replace").inputFiles()
+    assert sinks.replace_table(spark.range(5), "t_replace", root).count() == 5
+    assert spark.table("t_replace").count() == 5 and not set(old) & set(spark.table("t_replace").inputFiles())
+    assert spark.read.parquet(*old).count() == 3    # the old version was not touched
+    assert sinks.replace_table(spark.range(2).selectExpr("id AS k", "'x' AS v"), "t_replace", root).columns == ["k", "v"]
+    assert sinks.create_table_as(spark, "t_replace", "SELECT 7 AS x", root).first()[0] == 7

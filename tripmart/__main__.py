@@ -24,42 +24,44 @@ def _month(s: str) -> tuple[int, int]:
     return int(y), int(m)
 
 
+def _zones_of(spark: SparkSession, zones_csv: str | None):
+    """Dimensions; only reports that name zones need the lookup."""
+    if zones_csv is not None:
+        return dims.build_dims(spark, dims.read_zones_csv(spark, zones_csv))
+    return dims.build_dims(spark, dims.clean_zones(spark.createDataFrame([], dims.ZONE_CSV_SCHEMA)))
+
+
+#: Report -> the dimension roles it joins, and its function over the enriched trips.
+ENRICHED = {
+    "top_pickup_zones": (("pu",), lambda e: reports.top_zones(e, "pu")),
+    "top_dropoff_zones": (("do",), lambda e: reports.top_zones(e, "do")),
+    "revenue_by_borough_month": (("pu",), reports.revenue_by_borough_month),
+    "speed_by_borough": (("pu",), reports.speed_by_borough),
+    "tip_by_payment": (("payment",), reports.tip_by_payment),
+    "top_corridors_tip": (("pu", "do"), reports.top_corridors_tip),
+    "stats_by_hour": ((), reports.stats_by_hour),
+}
+CLEAN = {"stats_by_service": reports.stats_by_service, "stats_by_hour_service": reports.stats_by_hour_service,
+         "stats_by_dow": reports.stats_by_dow}
+REPORTS = ["trips_by_service_year", "quality_counts", "clean_pct", "row_counts", *CLEAN, *ENRICHED]
+
+
 def _report(name: str, spark: SparkSession, table: str, zones_csv: str | None) -> DataFrame:
     trips = sinks.read_trips(spark, table)
-    obt = marts.obt(trips)
-    on_clean = {"stats_by_service": reports.stats_by_service,
-                "stats_by_hour_service": reports.stats_by_hour_service,
-                "stats_by_dow": reports.stats_by_dow}
     if name == "trips_by_service_year":
         return reports.trips_by_service_year(trips)
+    if name == "row_counts":
+        return quality.row_counts(trips, marts.obt(trips))
     if name == "quality_counts":
-        return quality.quality_counts(obt)
+        return quality.quality_counts(marts.obt(trips))
     if name == "clean_pct":
-        return quality.clean_pct(obt)
-    if name in on_clean:
-        return on_clean[name](marts.clean(obt))
-    if zones_csv is None:
+        return quality.clean_pct(marts.obt(trips))
+    if name in CLEAN:
+        return CLEAN[name](marts.clean(marts.obt(trips)))
+    roles, report = ENRICHED[name]
+    if zones_csv is None and {"pu", "do"} & set(roles):
         raise SystemExit(f"report {name} needs --zones")
-    d = dims.build_dims(spark, dims.read_zones_csv(spark, zones_csv))
-    enriched = marts.enrich(marts.strict(trips), d)
-    on_enriched = {
-        "top_pickup_zones": lambda e: reports.top_zones(e, "pu"),
-        "top_dropoff_zones": lambda e: reports.top_zones(e, "do"),
-        "revenue_by_borough_month": reports.revenue_by_borough_month,
-        "speed_by_borough": reports.speed_by_borough,
-        "tip_by_payment": reports.tip_by_payment,
-        "top_corridors_tip": reports.top_corridors_tip,
-        "stats_by_hour": reports.stats_by_hour,
-    }
-    if name not in on_enriched:
-        raise SystemExit(f"unknown report {name}")
-    return on_enriched[name](enriched)
-
-
-REPORTS = ["trips_by_service_year", "quality_counts", "clean_pct", "stats_by_service",
-           "stats_by_hour_service", "stats_by_dow", "top_pickup_zones", "top_dropoff_zones",
-           "revenue_by_borough_month", "speed_by_borough", "tip_by_payment",
-           "top_corridors_tip", "stats_by_hour"]
+    return report(marts.enrich(marts.strict(trips), _zones_of(spark, zones_csv), roles))
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> DataFrame:

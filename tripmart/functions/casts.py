@@ -1,7 +1,9 @@
 """Warehouse-style casts (F11, F14) used by the schema pick.
 
 ``number`` is NUMBER(38,0): fractions round half away from zero, so doubles go
-through ``round`` before the integral cast.  ``varchar`` of a float prints an
+through ``round`` before the integral cast.  The canonical columns hold it as long;
+values beyond that are NULL there and go to the rejects of the load (``ingest.rejects``).
+``to_number38`` keeps all 38 digits.  ``varchar`` of a float prints an
 integral value without a fraction (1.0 -> '1').  Code columns stored as text
 are matched to integer dimension keys through a tolerant numeric parse.
 """
@@ -30,6 +32,17 @@ def to_number(c, dtype: T.DataType) -> Column:
     return F.round(c.try_cast("decimal(38,18)")).try_cast("long")
 
 
+def to_number38(c, dtype: T.DataType) -> Column:
+    """``x::number`` with all its 38 digits -> decimal(38,0), halves rounded away from zero."""
+    c = col_of(c)
+    if isinstance(dtype, _INTEGRAL):
+        return c.cast("decimal(38,0)")
+    if isinstance(dtype, T.BooleanType):
+        return c.cast("int").cast("decimal(38,0)")
+    # beyond 20 digits before the point, the plain cast rounds the same way
+    return F.coalesce(F.round(c.try_cast("decimal(38,18)")).try_cast("decimal(38,0)"), c.try_cast("decimal(38,0)"))
+
+
 def to_float(c, dtype: T.DataType) -> Column:
     """``x::float`` -> double."""
     c = col_of(c)

@@ -49,6 +49,13 @@ def expected_months(spark: SparkSession, start: tuple[int, int], end: tuple[int,
     return _expand(span, services)
 
 
+def expected_by_year(spark: SparkSession, months: dict[int, list[int]], services=SERVICES) -> DataFrame:
+    """L2: a plan that names the months of each year, e.g. ``{2024: range(1, 13), 2025: [1, 2]}``;
+    years without months plan nothing."""
+    rows = [(s, int(y), int(m)) for s in services for y, ms in sorted(months.items()) for m in sorted(set(ms))]
+    return spark.createDataFrame(rows, "service_type string, year int, month int")
+
+
 def expected_full_years(loaded: DataFrame, services=SERVICES) -> DataFrame:
     """Expected months = whole calendar years spanned by the loaded months."""
     span = loaded.agg((F.min("year") * 12).alias("lo"), (F.max("year") * 12 + 11).alias("hi"))

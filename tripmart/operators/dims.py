@@ -38,9 +38,10 @@ ZONE_CSV_SCHEMA = T.StructType([
 ])
 
 # A zone lookup has a few hundred rows and a code table a handful; anything
-# beyond these bounds is not broadcast.
+# beyond these bounds, in rows or in bytes, is not broadcast.
 ZONE_BROADCAST_MAX_ROWS = 100_000
 CODE_BROADCAST_MAX_ROWS = 10_000
+BROADCAST_MAX_BYTES = 32 << 20
 
 
 def _sql_str(s: str) -> str:
@@ -87,12 +88,14 @@ class Dims:
 
 
 def check_bound(df: DataFrame, key: str, max_rows: int) -> tuple[bool, bool]:
-    """(rows <= max_rows, key unique) from one small job over <= max_rows+1 rows."""
+    """(at most ``max_rows`` rows of BROADCAST_MAX_BYTES, key unique) from one small job over
+    <= max_rows+1 rows."""
+    size = F.octet_length(F.to_json(F.struct("*")))
     r = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"),
                                    F.count_distinct(key).alias("k"),
-                                   F.count(key).alias("nn")).first()
-    small = r["n"] <= max_rows
-    return small, small and r["k"] == r["n"] == r["nn"]
+                                   F.count(key).alias("nn"), F.sum(size).alias("bytes")).first()
+    whole = r["n"] <= max_rows
+    return whole and (r["bytes"] or 0) <= BROADCAST_MAX_BYTES, whole and r["k"] == r["n"] == r["nn"]
 
 
 def build_dims(spark: SparkSession, zones: DataFrame,
@@ -116,16 +119,16 @@ def code_usage(trips: DataFrame, codes: dict[str, DataFrame]) -> DataFrame:
     """Each distinct code per code dimension with its trip count, parsed key
     and description (Q3: text codes such as 'CMT' get no key, no description).
 
-    One scan: the three code columns are unpivoted with ``explode`` and
-    counted in one partial aggregate; the result (a few rows per dimension)
-    is joined to the inline code tables.
+    One scan: trips are counted by the three codes together, and only those
+    few rows are unpivoted with ``explode`` and summed per code; the result
+    is joined to the code tables.
     """
     from ..functions import code_key
     pairs = F.explode(F.array(*[
         F.struct(F.lit(role).alias("dim"), F.col(key).alias("code"))
         for role, (key, _desc, _rows) in CODE_DIMS.items()]))
-    used = (trips.select(pairs.alias("p")).select("p.dim", "p.code")
-            .groupBy("dim", "code").agg(F.count(F.lit(1)).alias("n"))
+    together = trips.groupBy(*[key for key, _desc, _rows in CODE_DIMS.values()]).agg(F.count(F.lit(1)).alias("n"))
+    used = (together.select(pairs.alias("p"), "n").groupBy("p.dim", "p.code").agg(F.sum("n").alias("n"))
             .withColumn("code_key", code_key(F.col("code"))))
     long_dims = None
     for role, (key, desc, _rows) in CODE_DIMS.items():
@@ -138,18 +141,18 @@ def code_usage(trips: DataFrame, codes: dict[str, DataFrame]) -> DataFrame:
             .orderBy("dim", F.col("code").asc_nulls_last()))
 
 
-def write_code_tables(spark: SparkSession, root: str, fmt: str = "parquet") -> dict[str, str]:
-    """K4: each code dimension stored as its own table (replaced if present);
-    returns {role: path}."""
+def write_code_tables(spark: SparkSession, database: str, root: str) -> dict[str, str]:
+    """K4: each code dimension made a catalog table by CREATE TABLE AS over its inline VALUES
+    (replaced if present); returns {role: name}."""
     from .. import sinks
-    paths = {}
-    for role, df in code_dims(spark).items():
-        paths[role] = f"{root.rstrip('/')}/{role}_dim"
-        sinks.write_table(df, paths[role], fmt)
-    return paths
+    names = {}
+    for role, (key, desc, rows) in CODE_DIMS.items():
+        body = ", ".join(f"({int(k)}, {_sql_str(v)})" for k, v in rows)
+        names[role] = f"{database}.{key}_dim"
+        sinks.create_table_as(spark, names[role], f"SELECT * FROM VALUES {body} AS T({key}, {desc})",
+                              f"{root.rstrip('/')}/{key}_dim")
+    return names
 
 
-def read_code_tables(spark: SparkSession, paths: dict[str, str],
-                     fmt: str = "parquet") -> dict[str, DataFrame]:
-    from .. import sinks
-    return {role: sinks.read_table(spark, p, fmt) for role, p in paths.items()}
+def read_code_tables(spark: SparkSession, names: dict[str, str]) -> dict[str, DataFrame]:
+    return {role: spark.table(name) for role, name in names.items()}

@@ -44,6 +44,34 @@ def pick(cols: dict[str, T.StructField], candidates: list[str], kind: str, alias
     raise ValueError(f"unknown pick mode {mode!r}")
 
 
+def lossy(schema: T.StructType) -> list[tuple[str, Column, Column]]:
+    """(canonical column, raw value, cast value) of the columns whose cast can lose a value of
+    ``schema``: text read as a number or a time, and fractions, decimals and floats as integers."""
+    cols, out = column_index(schema), []
+    for candidates, kind, alias in COLUMN_MAP:
+        f = next((cols[c.upper()] for c in candidates if c.upper() in cols), None)
+        if f is None or kind == "varchar":
+            continue
+        if isinstance(f.dataType, T.StringType) or (kind == "number" and isinstance(
+                f.dataType, (T.DoubleType, T.FloatType, T.DecimalType))):
+            raw = F.col(f"`{f.name}`")
+            out.append((alias, raw, CASTS[kind](raw, f.dataType)))
+    return out
+
+
+def is_lost(raw: Column, cast: Column) -> Column:
+    return raw.isNotNull() & cast.isNull()
+
+
+def lost_values(raw: DataFrame, service: str) -> DataFrame:
+    """(service_type, file, column, raw) for every value of ``raw`` that its cast loses."""
+    found = F.array_compact(F.array(*[
+        F.when(is_lost(value, cast), F.struct(F.lit(alias).alias("column"), value.cast("string").alias("raw")))
+        for alias, value, cast in lossy(raw.schema)]))
+    return (raw.select(F.lit(service).alias("service_type"), F.col("_metadata.file_path").alias("file"),
+                       F.explode(found).alias("lost")).select("service_type", "file", "lost.column", "lost.raw"))
+
+
 def normalize_timestamps(df: DataFrame) -> DataFrame:
     """Cast the raw pickup/dropoff columns that exist to plain timestamps."""
     cols = column_index(df.schema)

@@ -1,39 +1,28 @@
-"""Load job (L1, L2): plan -> harmonised, partitioned trips table -> manifest.
+"""Load job (L1-L3): plan -> harmonised months in a catalog table -> manifest.
 
 The plan is a DataFrame of (service_type, year, month).  All planned months
 found under the source root are harmonised and written in one job (one scan
-per schema signature), then a single grouped count over the written table is
-joined back to the plan to give one manifest row per month.  A month whose
-files cannot be read is isolated: its schema lookup fails on its own and it
-is reported with status ``error``; if the batch write itself fails, months
-are retried one by one so one bad month does not stop the others.
+per schema signature) to a folder of their own; the catalog's partitions are
+then switched to it.  Rows are counted from the footers of that folder.  A
+month whose files cannot be read is isolated: its schema lookup fails on its
+own and it is reported with status ``error``; if the job itself fails, its
+months are halved until the bad ones stand alone.
 """
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import sinks
+from .harmonize import lost_values
+from ..sinks.monthly import MonthlyTable, Unit
 from ..sources import files
 
 KEYS = ["service_type", "year", "month"]
 
 
-def month_filter(months) -> "F.Column":
-    """An exact predicate on the partition columns for (service, year, month)
-    triples; Spark turns it into partition filters, so only those months'
-    folders are listed and read."""
-    by_key: dict[tuple, set] = {}
-    for svc, y, m in months:
-        by_key.setdefault((svc, int(y)), set()).add(int(m))
-    cond = F.lit(False)
-    for (svc, y), ms in sorted(by_key.items()):
-        cond = cond | ((F.col("service_type") == svc) & (F.col("year") == y)
-                       & F.col("month").isin(sorted(ms)))
-    return cond
-
-
 def _split_repeated(rows) -> tuple[list, list]:
     """(units to load, errors).  A month that several units carry is an error that names
     them all: loading one would lose the rows of the others, loading all would repeat copies."""
@@ -46,82 +35,106 @@ def _split_repeated(rows) -> tuple[list, list]:
     return single, errors
 
 
-def _write_batch(spark, pairs, schemas, target) -> list[tuple]:
-    """Write the units; returns [(service, year, month, error)] for failures."""
-    errors = []
-    if not pairs:
-        return errors
-    try:
-        _write_units(spark, pairs, schemas, target)
-        return errors
-    except Exception:  # noqa: BLE001 - fall back to one month at a time
-        pass
-    for p in pairs:
+def _land(spark, table: MonthlyTable, units: list, scans: dict, workers: int = 4) -> tuple[dict, list]:
+    """Land the units; returns ({month: rows}, [(service, year, month, error)]).
+
+    All units are one job.  A job that fails is halved, and the halves run again side by side, so
+    one bad month among n costs about 2 log2(n) jobs and the good ones are still loaded.
+    """
+    rows, errors, todo = {}, [], [units] if units else []
+
+    def stage(batch):
+        watched = []
         try:
-            _write_units(spark, [p], schemas, target)
-        except Exception as e:  # noqa: BLE001
-            errors.append((p[1], p[2], p[3], f"{type(e).__name__}: {e}"))
-    return errors
+            load = table.stage(files.read_units(spark, [(u["unit"], u["service_type"]) for u in batch], scans, watched))
+            _write_rejects(table, load, watched)
+            return load
+        except Exception as e:  # noqa: BLE001 - the batch is halved, a single month reported
+            return e
+
+    while todo:
+        with ThreadPoolExecutor(max_workers=min(workers, len(todo))) as ex:
+            staged = list(ex.map(stage, todo))
+        halves = []
+        for batch, load in zip(todo, staged, strict=True):
+            if not isinstance(load, Exception):
+                rows |= table.switch(load, {_key(u): Unit(u["unit"], u["fingerprint"], files.scan_signature(scans[u["unit"]]))
+                                            for u in batch})
+            elif len(batch) == 1:
+                errors.append((*_key(batch[0]), f"{type(load).__name__}: {load}"))
+            else:
+                halves += [batch[:len(batch) // 2], batch[len(batch) // 2:]]
+        todo = halves
+    return rows, errors
+
+
+def _write_rejects(table: MonthlyTable, load: str, watched: list) -> None:
+    """the values that the load's casts lost go to a side table.  They were counted in the pass
+    that wrote the load; only scans that lost any are read again."""
+    for seen, raw, service in watched:
+        if any(seen.get.values()):
+            (lost_values(raw, service).select(F.lit(load).alias("load"), "*")
+             .write.mode("append").parquet(f"{table.root}/rejects"))
 
 
-def _write_units(spark, pairs, schemas, target) -> None:
-    """Replace the months of the units; a month whose unit has no rows is emptied."""
-    trips = files.read_units(spark, [(u, s) for u, s, _, _ in pairs], schemas)
-    sinks.write_trips(trips, target)
-    # dynamic overwrite leaves months alone that the data lacks; keys are bounded by the plan
-    full = {tuple(r) for r in trips.select(*KEYS).distinct().collect()}
-    for _, service, year, month in pairs:
-        if (service, year, month) not in full:
-            sinks.drop_month(spark, target, service, year, month)
+def rejects(spark: SparkSession, target: str | MonthlyTable) -> DataFrame:
+    """(load, service_type, file, column, raw): values of the current months that no cast could keep."""
+    table = trips_table(spark, target)
+    if not files.exists(spark, f"{table.root}/rejects"):
+        return spark.createDataFrame([], REJECTS)
+    current = table.current().where("location IS NOT NULL").select("load").distinct()
+    return spark.read.schema(REJECTS).parquet(f"{table.root}/rejects").join(current, "load", "left_semi")
 
 
-def run(spark: SparkSession, plan: DataFrame, source_root: str, target: str) -> DataFrame:
+def _key(r) -> tuple:
+    return r["service_type"], r["year"], r["month"]
+
+
+def trips_table(spark: SparkSession, target: str | MonthlyTable) -> MonthlyTable:
+    return target if isinstance(target, MonthlyTable) else MonthlyTable(spark, target)
+
+
+REJECTS = "load string, service_type string, file string, column string, raw string"
+MANIFEST = "service_type string, year int, month int, rows_loaded long, status string, error string"
+
+
+def run(spark: SparkSession, plan: DataFrame, source_root: str, target: str | MonthlyTable) -> DataFrame:
     """Load the planned months and return the manifest.
 
-    Manifest columns: service_type, year, month, rows_loaded, status
-    ('loaded' | 'missing' | 'error'), error.  A failed month counts 0 rows, whatever older
-    copy the target keeps; an empty one is loaded with 0.
+    ``target`` is a ``MonthlyTable`` or the root of one.  Manifest columns: service_type, year,
+    month, rows_loaded, status ('loaded' | 'missing' | 'error'), error.  A failed month counts 0
+    rows, whatever older copy the target keeps; an empty one is loaded with 0, and leaves the table.
+    Rows are counted from the footers of what was written.
     """
     # The plan's keys are bounded (services x months) and are read before the target
     # changes: the plan may have been made from it.
-    plan = spark.createDataFrame(plan.select(*KEYS).distinct().collect(),
-                                 "service_type string, year int, month int")
-    units = files.list_units(spark, source_root).where(F.col("unit").isNotNull())
+    keys = sorted({tuple(r) for r in plan.select(*KEYS).distinct().collect()})
+    plan = spark.createDataFrame(keys, "service_type string, year int, month int")
     # The planned units are metadata (one row per month file), bounded by the
     # plan, so they are brought to the driver to plan the scans.
-    todo, repeated = _split_repeated(units.join(plan, KEYS, "left_semi")
-                                     .select("unit", "service_type", "year", "month")
-                                     .distinct().collect())
-    schemas = files.unit_schemas(spark, [r["unit"] for r in todo])
-    bad = [(r["service_type"], r["year"], r["month"], f"{type(schemas[r['unit']]).__name__}: "
-            f"{schemas[r['unit']]}")
-           for r in todo if isinstance(schemas[r["unit"]], Exception)]
-    good = [(r["unit"], r["service_type"], r["year"], r["month"])
-            for r in todo if not isinstance(schemas[r["unit"]], Exception)]
-    bad += repeated + _write_batch(spark, good, schemas, target)
-
-    if good and files.exists(spark, target):
-        # counted on the months of this plan only (partition-pruned scan)
-        written = (sinks.read_trips(spark, target)
-                   .where(month_filter((g[1], g[2], g[3]) for g in good))
-                   .groupBy(*KEYS).agg(F.count(F.lit(1)).alias("rows_loaded")))
-    else:
-        written = spark.createDataFrame([], "service_type string, year int, month int, "
-                                            "rows_loaded long")
-    errs = spark.createDataFrame(bad, "service_type string, year int, month int, error string")
-    found = spark.createDataFrame([(g[1], g[2], g[3], True) for g in good],
-                                  "service_type string, year int, month int, found boolean")
-    m = plan.join(written, KEYS, "left").join(errs, KEYS, "left").join(found, KEYS, "left")
-    status = (F.when(F.col("error").isNotNull(), F.lit("error"))
-              .when(F.col("found"), F.lit("loaded"))
-              .otherwise(F.lit("missing")))
-    return (m.select(*KEYS, F.when(F.col("error").isNull(), F.coalesce("rows_loaded", F.lit(0)))
-                     .otherwise(F.lit(0)).cast("long").alias("rows_loaded"),
-                     status.alias("status"), "error")
-            .orderBy(*KEYS))
-
-
-def load_missing(spark: SparkSession, source_root: str, target: str,
+    todo, repeated = _split_repeated(files.month_units(spark, source_root).join(plan, KEYS, "left_semi").collect())
+    scans = files.unit_scans(spark, [r["unit"] for r in todo])
+    bad = [(*_key(r), f"{type(scans[r['unit']]).__name__}: {scans[r['unit']]}")
+           for r in todo if isinstance(scans[r["unit"]], Exception)]
+    good = [r for r in todo if not isinstance(scans[r["unit"]], Exception)]
+    rows, failed = _land(spark, trips_table(spark, target), good, scans)
+    errors = {e[:3]: e[3] for e in bad + repeated + failed}
+    return spark.createDataFrame(
+        [(*k, rows.get(k, 0), "error" if k in errors else "loaded" if k in rows else "missing", errors.get(k)) for k in keys],
+        MANIFEST)
+
+
+def load_current(spark: SparkSession, source_root: str, target: str | MonthlyTable) -> DataFrame:
+    """L3: load the units that are new or whose files changed since they were landed (by name, size
+    and time, as the ledger has them) and return their manifest.  Other units are not opened.  A
+    month whose unit is gone from ``source_root`` stays in the table; one that failed is tried again.
+    """
+    landed = trips_table(spark, target).current().select(*KEYS, F.col("fingerprint").alias("_landed"))
+    units = files.month_units(spark, source_root).join(landed, KEYS, "left")
+    return run(spark, units.where(~F.col("fingerprint").eqNullSafe(F.col("_landed"))), source_root, target)
+
+
+def load_missing(spark: SparkSession, source_root: str, target: str | MonthlyTable,
                  start: tuple[int, int], end: tuple[int, int],
                  services=("yellow", "green")) -> DataFrame:
     """L3 end to end: expected months minus the months already in ``target``
@@ -129,8 +142,6 @@ def load_missing(spark: SparkSession, source_root: str, target: str,
     run (empty when nothing is missing)."""
     from . import coverage
     expected = coverage.expected_months(spark, start, end, services)
-    if files.exists(spark, target):
-        plan = coverage.load_plan(expected, sinks.table_months(spark, target))
-    else:
-        plan = expected
-    return run(spark, plan, source_root, target)
+    table = trips_table(spark, target)
+    plan = coverage.load_plan(expected, table.months()) if table.has_ledger() else expected
+    return run(spark, plan, source_root, table)

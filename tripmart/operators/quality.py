@@ -50,6 +50,13 @@ def row_counts(trips: DataFrame, obt_df: DataFrame) -> DataFrame:
     return agg.withColumn("counts_match", F.col("trips_all_rows") == F.col("obt_rows"))
 
 
-def count_rows(df: DataFrame) -> DataFrame:
-    """A1: ``SELECT COUNT(*) AS cnt`` as a one-row DataFrame."""
-    return df.agg(F.count(F.lit(1)).alias("cnt"))
+def reconcile(source: DataFrame, loaded: DataFrame) -> DataFrame:
+    """L4 from counts: both inputs have a column ``rows`` (of a source table, of a month); the OBT
+    has one row for each loaded trip."""
+    tagged = (source.select(F.lit(0).alias("_src"), "rows")
+              .unionByName(loaded.select(F.lit(1).alias("_src"), "rows")))
+
+    def total(i):
+        return F.coalesce(F.sum(F.when(F.col("_src") == i, F.col("rows"))), F.lit(0))
+    agg = tagged.agg(total(0).alias("trips_all_rows"), total(1).alias("obt_rows"))
+    return agg.withColumn("counts_match", F.col("trips_all_rows") == F.col("obt_rows"))

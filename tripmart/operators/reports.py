@@ -55,6 +55,13 @@ def trips_by_service_year(trips: DataFrame) -> DataFrame:
             .orderBy(*_asc("service_type", "year")))
 
 
+def trips_by_service_year_of(counts: DataFrame) -> DataFrame:
+    """R1 from the rows of each month (``MonthlyTable.counts``): footers are read, no trip is."""
+    return (counts.groupBy("service_type", "year")
+            .agg(F.sum("rows").alias("total_viajes"))
+            .orderBy(*_asc("service_type", "year")))
+
+
 def stats_by_service(clean_df: DataFrame) -> DataFrame:
     """Average minutes, distance, tip share and count per service."""
     return _profile(clean_df, ["service_type"], first_n=False)

@@ -277,6 +277,10 @@ SELECT pickup_hour, ROUND(AVG(trip_duration_min), 2) AS avg_duration_min,
        COUNT(*) AS n
 FROM enriched GROUP BY pickup_hour"""
     q.update(_more())
+    # the reports from the monthly roll-up have the same rows
+    q |= {f"rollup_{k}": q[k] for k in (
+        "stats_by_service", "stats_by_hour_service", "stats_by_dow", "top_pickup_zones", "top_dropoff_zones",
+        "revenue_by_borough_month", "speed_by_borough", "tip_by_payment", "top_corridors_tip", "stats_by_hour")}
     return {k: with_views(v) for k, v in q.items()}
 
 
@@ -292,6 +296,16 @@ def _re_int(s: str, g: int) -> str:
     return f"TRY_CAST(nullif(regexp_extract({s}, '{TABLE_RE}', {g}), '') AS INTEGER)"
 
 
+# Columns of a later yellow month: in the files' order; times, doubles, others.
+_MONTH_COLUMNS = ["VendorID", "tpep_pickup_datetime", "tpep_dropoff_datetime", "passenger_count", "trip_distance",
+                  "RatecodeID", "store_and_fwd_flag", "PULocationID", "DOLocationID", "payment_type", "fare_amount",
+                  "extra", "mta_tax", "tip_amount", "tolls_amount", "improvement_surcharge", "total_amount",
+                  "congestion_surcharge"]
+_MONTH_TEXT = (["tpep_pickup_datetime", "tpep_dropoff_datetime"],
+               ["trip_distance", "RatecodeID", "payment_type", "fare_amount", "extra", "mta_tax", "tip_amount",
+                "tolls_amount", "improvement_surcharge", "total_amount", "congestion_surcharge"],
+               ["VendorID", "passenger_count", "store_and_fwd_flag", "PULocationID", "DOLocationID"])
+
 _LOADED = "SELECT DISTINCT service_type, year, month FROM trips_all"
 
 
@@ -345,10 +359,14 @@ SELECT service_type, year, month,
   lower(trim('  ' || {tname} || ' ')) AS table_lower,
   lpad(CAST(month AS VARCHAR), 2, '0') AS month2
 FROM ({_LOADED}) m"""
+    miles = "CAST(abs(CAST(floor(trip_distance) AS BIGINT)) AS VARCHAR)"
+    _number_19 = f"CAST(CAST('93' || lpad({miles}, 17, '0') AS DECIMAL(38,0)) + 1 AS VARCHAR)"
+    _number_30 = f"'-123456789012345678901234' || lpad({miles}, 6, '0')"
     q["scalars_cast"] = f"""
 SELECT 'yellow' AS service_type, trip_distance,
   CAST(round(trip_distance) AS BIGINT) AS distance_number,
   CAST(round(fare_amount) AS BIGINT) AS fare_number,
+  {_number_19} AS number_19, {_number_30} AS number_30,
   {float_varchar('payment_type')} AS payment_code,
   CAST(VendorID AS VARCHAR) AS vendor_code,
   {code_key('CAST(VendorID AS VARCHAR)')} AS vendor_key,
@@ -357,6 +375,7 @@ FROM yellow_raw
 UNION ALL
 SELECT 'green', trip_distance,
   CAST(round(trip_distance) AS BIGINT), CAST(round(fare_amount) AS BIGINT),
+  {_number_19}, {_number_30},
   CAST(payment_type AS VARCHAR), vendor_id, {code_key('vendor_id')},
   CAST(passenger_count AS DOUBLE)
 FROM green_raw"""
@@ -371,7 +390,28 @@ FROM green_raw"""
 SELECT u.dim, u.code, {code_key('u.code')} AS code_key, d.description, u.n
 FROM ({usage}) u
 LEFT JOIN ({long_dims}) d ON d.dim = u.dim AND d.code_key = {code_key('u.code')}"""
-    q["read_query"] = _profile_sql("obt_clean", ["service_type"], False)
+    q["read_query"] = """
+SELECT pickup_dow, service_type, COUNT(DISTINCT pickup_hour) AS hours, COUNT(*) AS trips, MAX(trip_minutes) AS longest,
+       CAST(COUNT(*) FILTER (WHERE is_weekend) AS BIGINT) AS weekend_trips
+FROM obt_clean GROUP BY pickup_dow, service_type HAVING COUNT(*) > 1"""
+    q["load_plan_years"] = f"""
+SELECT p.service_type, CAST(p.year AS INTEGER) AS year, CAST(p.month AS INTEGER) AS month
+FROM (SELECT s.service_type, y.year, m.month, min(y.year) OVER () AS lo, max(y.year) OVER () AS hi
+      FROM (VALUES ('yellow'), ('green')) s(service_type), (SELECT DISTINCT year FROM trips_all) y,
+           (SELECT unnest(generate_series(1, 12)) AS month) m) p
+WHERE CASE WHEN p.year = p.lo THEN p.month <= 6 WHEN p.year = p.hi THEN p.month IN (1, 8, 12) ELSE true END
+  AND NOT EXISTS (SELECT 1 FROM ({_LOADED}) l WHERE l.service_type = p.service_type
+                  AND l.year = p.year AND l.month = p.month)"""
+    month = """SELECT * EXCLUDE (FILE_YEAR, FILE_MONTH) FROM yellow_raw WHERE FILE_YEAR = 1998 AND FILE_MONTH = 7"""
+    times, floats, others = _MONTH_TEXT
+    text = {c: f"strftime({c}, '%Y-%m-%d %H:%M:%S.%f')" for c in times}
+    text |= {c: f"CAST(CAST(round({c} * 1000000) AS DECIMAL(38,0)) AS VARCHAR)" for c in floats}
+    text |= {c: f"CAST({c} AS VARCHAR)" for c in others}
+    digest = "md5(" + " || '|' || ".join(f"coalesce({text[c]}, '')" for c in _MONTH_COLUMNS) + ")"
+    q["sample_month"] = f"""
+SELECT * EXCLUDE (rn), 25::INTEGER AS sample FROM (
+  SELECT *, row_number() OVER (ORDER BY {digest}) AS rn FROM ({month}) m) s WHERE rn <= 25
+UNION ALL BY NAME SELECT *, NULL::INTEGER AS sample FROM ({month}) m"""
     names = f"""
 SELECT {tname} AS table_name FROM ({_LOADED}) m
 UNION ALL SELECT {tname} || '_TINY' FROM ({_LOADED}) m WHERE service_type = 'green'
@@ -408,6 +448,13 @@ SELECT e.service_type, e.year, e.month, CAST(coalesce(c.n, 0) AS BIGINT) AS rows
 FROM ({_expected_full_years(_LOADED)}) e
 LEFT JOIN ({counts}) c USING (service_type, year, month)"""
     q["load_trips"] = "SELECT * FROM trips_all"
+    q["load_rejects"] = """
+SELECT 'green' AS service_type, 'fare_amount' AS column_name, 'n/a' AS raw, COUNT(*) AS n FROM green_raw WHERE fare_amount = 0
+UNION ALL SELECT 'green', 'passenger_count', '9300000000000000000', COUNT(*) FROM green_raw WHERE passenger_count = 4"""
+    q["load_changed"] = """
+SELECT service_type, year, month, COUNT(*) AS rows_loaded, 'loaded' AS status,
+       CAST(SUM(CAST(fare_amount + 1 AS DECIMAL(18,6))) AS DOUBLE) AS fares
+FROM trips_all WHERE service_type = 'yellow' AND year = 1998 GROUP BY ALL"""
     q["load_missing"] = f"""
 SELECT e.service_type, e.year, e.month, CAST(coalesce(c.n, 0) AS BIGINT) AS rows_loaded,
        CASE WHEN c.n IS NULL THEN 'missing' ELSE 'loaded' END AS status

@@ -9,11 +9,14 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import functions as fn
 from .. import session, sinks
 from ..functions import casts
-from ..operators import coverage, dims, harmonize, ingest, quality, reports
+from ..operators import coverage, dims, harmonize, ingest, quality, reports, rollup
+from ..schema import TRIPS_ALL_COLUMNS
+from ..sinks.monthly import MonthlyTable, Unit
 from ..sources import catalog, files, testdata
 from . import views
 from .mart import Mart
@@ -54,7 +57,7 @@ def q_obt_enriched(spark, sf_dir):
 
 def q_trips_by_service_year(spark, sf_dir):
     """Trips per service and year."""
-    return reports.trips_by_service_year(_m(spark, sf_dir).trips_all)
+    return reports.trips_by_service_year_of(_m(spark, sf_dir).table.counts())
 
 
 def q_quality_counts(spark, sf_dir):
@@ -68,10 +71,9 @@ def q_clean_pct(spark, sf_dir):
 
 
 def q_row_counts(spark, sf_dir):
-    """L4: rows of the raw union against rows of the OBT built on the loaded
-    table; a load that lost or duplicated rows shows as a mismatch."""
-    m = _m(spark, sf_dir)
-    return quality.row_counts(m.trips_union, m.obt)
+    """L4: rows of the raw tables against rows of the loaded table, which the OBT has one row for
+    each of; a load that lost or duplicated rows shows as a mismatch.  Only footers are read."""
+    return quality.reconcile(testdata.source_rows(spark, sf_dir), _m(spark, sf_dir).table.counts())
 
 
 def q_stats_by_service(spark, sf_dir):
@@ -222,6 +224,11 @@ def q_scalars_cast(spark, sf_dir):
                  .alias("distance_number"),
             casts.to_number(F.col("fare_amount"), s["fare_amount"].dataType)
                  .alias("fare_number"),
+            # nineteen and thirty digits, beyond a long
+            casts.to_number38(F.concat(F.lit("93"), F.lpad(F.abs(F.floor("trip_distance")).cast("string"), 17, "0"),
+                                       F.lit(".5")), T.StringType()).cast("string").alias("number_19"),
+            casts.to_number38(F.concat(F.lit("-123456789012345678901234"), F.lpad(F.abs(F.floor(
+                "trip_distance")).cast("string"), 6, "0")), T.StringType()).cast("string").alias("number_30"),
             casts.to_varchar(F.col("payment_type"), s["payment_type"].dataType)
                  .alias("payment_code"),
             vendor.alias("vendor_code"),
@@ -236,61 +243,53 @@ def q_scalars_cast(spark, sf_dir):
 
 def q_dim_zones(spark, sf_dir):
     """S2 + P6 + K2: zone lookup written as a CSV with padded cells, read back
-    with a header and no inference, cleaned, and stored as a table."""
-    session.configure(spark)
+    with a header and no inference, cleaned, and stored as a catalog table, read by name."""
+    m = _m(spark, sf_dir)
     csv_dir = session.scratch_dir(spark, "zones-csv")
     (testdata.zone_lookup(spark, sf_dir, pad=True).write
      .option("header", True).option("ignoreLeadingWhiteSpace", False)
      .option("ignoreTrailingWhiteSpace", False).mode("overwrite").csv(csv_dir))
-    table_dir = session.scratch_dir(spark, "taxi-zones")
-    sinks.write_table(dims.read_zones_csv(spark, csv_dir), table_dir)
-    return sinks.read_table(spark, table_dir)
+    name = f"{m.database}.TAXI_ZONES"
+    sinks.replace_table(dims.read_zones_csv(spark, csv_dir), name, session.scratch_dir(spark, "taxi-zones"))
+    return spark.table(name)
 
 
 def q_dim_codes(spark, sf_dir):
-    """S4/T6/K4 + Q3: the code tables created from inline VALUES and stored as
+    """S4/T6/K4 + Q3: the code tables created from inline VALUES as catalog
     tables; each code seen in the trips, its integer key and the description
-    from the stored tables (NULL when no row matches)."""
+    from the tables, read by name (NULL when no row matches)."""
     m = _m(spark, sf_dir)
-    paths = dims.write_code_tables(spark, session.scratch_dir(spark, "code-dims"))
-    return dims.code_usage(m.trips_all, dims.read_code_tables(spark, paths))
+    names = dims.write_code_tables(spark, m.database, session.scratch_dir(spark, "code-dims"))
+    return dims.code_usage(m.trips_all, dims.read_code_tables(spark, names))
 
 
 # ---- SQL over views ---------------------------------------------------------
 
 def q_read_query(spark, sf_dir):
     """The view chain registered by SQL and a report in SQL text
-    (ordinal GROUP BY / ORDER BY), as the source sends it to its warehouse."""
+    (ordinal GROUP BY / ORDER BY) over it: busiest weekdays and hours of a service."""
     m = _m(spark, sf_dir)
     views.register_views(spark, m.trips_all, m.dims)
     return views.read_query(spark, """
-        SELECT service_type,
-               ROUND(AVG(trip_minutes), 1) AS avg_min,
-               ROUND(AVG(trip_distance), 2) AS avg_dist,
-               ROUND(AVG(tip_pct), 3) AS avg_tip,
-               COUNT(*) AS n
-        FROM obt_trips_clean_v
-        GROUP BY 1
-        ORDER BY 1""")
+        SELECT pickup_dow, service_type, COUNT(DISTINCT pickup_hour) AS hours, COUNT(*) AS trips,
+               MAX(trip_minutes) AS longest, SUM(CASE WHEN is_weekend THEN 1 ELSE 0 END) AS weekend_trips
+        FROM obt_trips_clean_v GROUP BY 1, 2 HAVING COUNT(*) > 1 ORDER BY 4 DESC, 1, 2""")
 
 
 # ---- inventories, coverage, load -------------------------------------------
 
 def loaded_months(spark, sf_dir):
-    return coverage.loaded_months(_m(spark, sf_dir).trips_all)
+    """The months of the trips table, from the catalog."""
+    return _m(spark, sf_dir).table.months()
 
 
 def q_inventory_months(spark, sf_dir):
-    """Raw table names (one per loaded month, plus a ``_TINY`` sample per
-    green month and the unified ``TRIPS_ALL``) parsed into (service, year,
-    month); names that do not parse are dropped."""
-    months = loaded_months(spark, sf_dir)
-    tname = fn.table_name("service_type", "year", "month")
-    tiny = F.when(F.col("service_type") == "green", F.concat(tname, F.lit("_TINY")))
-    names = (months.select(F.explode(F.array(tname, tiny)).alias("table_name"))
-             .where(F.col("table_name").isNotNull()))
-    unified = months.agg(F.lit("TRIPS_ALL").alias("table_name"))
-    return catalog.parse_table_names(names.unionByName(unified))
+    """The catalog database that holds every raw month as a table (with a ``_TINY`` sample
+    beside each green month, and TRIPS_ALL), its names parsed into (service, year, month); names
+    that do not parse are dropped."""
+    found = catalog.inventory_months(spark, _m(spark, sf_dir).raw_database)
+    # the session catalog folds names to lower case
+    return found.withColumn("table_name", F.upper("table_name"))
 
 
 def q_missing_months(spark, sf_dir):
@@ -313,22 +312,37 @@ def q_inventory_files(spark, sf_dir):
     return files.inventory_files(files.list_units(spark, m.raw_files_root))
 
 
+def q_sample_month(spark, sf_dir):
+    """V4: samples of one month (yellow 1998-07) of 25 rows, of none and of all."""
+    m = _m(spark, sf_dir)
+    parts = [files.load_month(spark, m.raw_files_root, "yellow", 1998, 7, sample=n)
+             .withColumn("sample", F.lit(n).cast("int")) for n in (25, 0, None)]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def q_overwrite_month(spark, sf_dir):
-    """K1: write the trips table, re-load one month with changed fares and one that has
-    become empty, read the whole table back."""
+    """K1: land the trips in a catalog table, land one month again with changed fares and one that
+    has become empty, read the whole table by name."""
     m = _m(spark, sf_dir)
-    target = session.scratch_dir(spark, "trips")
-    sinks.write_trips(m.trips_all, target)
-    month = ((F.col("service_type") == "yellow") & (F.col("year") == 1998)
-             & (F.col("month") == 7))
-    sinks.overwrite_month(m.trips_all.where(month).withColumn("fare_amount", F.col("fare_amount") + 1), target)
-    sinks.drop_month(spark, target, "yellow", 1998, 6)
-    return sinks.read_trips(spark, target)
+    target = MonthlyTable(spark, session.scratch_dir(spark, "trips"))
+    target.land(m.trips_all)
+    months = F.col("service_type").eqNullSafe("yellow") & (F.col("year") == 1998)
+    again = m.trips_all.where(months & (F.col("month") == 7)).withColumn("fare_amount", F.col("fare_amount") + 1)
+    target.land(again, {("yellow", 1998, 7): Unit(), ("yellow", 1998, 6): Unit()})
+    return spark.table(target.name).select(*TRIPS_ALL_COLUMNS)
+
+
+def q_load_plan_years(spark, sf_dir):
+    """L2: a plan with months named per year (the first half of the first year, single months of
+    the last, all of the others), less what is loaded."""
+    loaded = loaded_months(spark, sf_dir)
+    years = [r["year"] for r in loaded.select("year").distinct().orderBy("year").collect()]
+    months = {y: range(1, 13) for y in years} | {years[-1]: (1, 8, 12)} | {years[0]: range(1, 7)}
+    return coverage.load_plan(coverage.expected_by_year(spark, months), loaded)
 
 
 def _file_months(m: Mart) -> DataFrame:
-    return (files.list_units(m.spark, m.raw_files_root).where("unit IS NOT NULL")
-            .select("service_type", "year", "month"))
+    return files.month_units(m.spark, m.raw_files_root).select("service_type", "year", "month")
 
 
 def q_load_manifest(spark, sf_dir):
@@ -336,8 +350,7 @@ def q_load_manifest(spark, sf_dir):
     load the months found (schema drift harmonised per file signature) and
     report rows and status per planned month."""
     m = _m(spark, sf_dir)
-    units = files.list_units(spark, m.raw_files_root).where(F.col("unit").isNotNull())
-    plan = coverage.expected_full_years(units.select("service_type", "year", "month"))
+    plan = coverage.expected_full_years(_file_months(m))
     target = session.scratch_dir(spark, "trips-load")
     return ingest.run(spark, plan, m.raw_files_root, target).drop("error")
 
@@ -362,7 +375,49 @@ def q_load_missing(spark, sf_dir):
                                (span["lo"], 1), (span["hi"], LAST_MONTH)).drop("error")
 
 
-QUERIES: dict[str, Query] = {
+def q_load_changed(spark, sf_dir):
+    """L3: every month is loaded, the yellow months of 1998 are published again with other fares,
+    and the next load opens only those: its manifest, and the fares then in the table."""
+    m = _m(spark, sf_dir)
+    root, target = session.scratch_dir(spark, "raw-changed"), session.scratch_dir(spark, "trips-changed")
+    for r in m.raw_services:
+        for era in testdata.file_eras(r):
+            files.write_months(era, root, r.service, testdata.FILE_YEAR, testdata.FILE_MONTH)
+    ingest.load_current(spark, root, target)
+    changed = m.raw("yellow").df.where(F.col(testdata.FILE_YEAR) == 1998).withColumn("fare_amount", F.col("fare_amount") + 1)
+    files.write_months(changed, root, "yellow", testdata.FILE_YEAR, testdata.FILE_MONTH)
+    manifest = ingest.load_current(spark, root, target).drop("error")
+    fares = (sinks.read_trips(spark, target).groupBy("service_type", "year", "month")
+             .agg(F.sum(F.col("fare_amount").cast(reports.MONEY)).cast("double").alias("fares")))
+    return manifest.join(fares, ["service_type", "year", "month"], "left")
+
+
+def q_load_rejects(spark, sf_dir):
+    """Green months are published with text fares, 'n/a' where there is none, and text
+    passenger counts; values that no cast can keep, by column."""
+    m = _m(spark, sf_dir)
+    root, target = session.scratch_dir(spark, "raw-rejects"), session.scratch_dir(spark, "trips-rejects")
+    fare, passengers = F.col("fare_amount"), F.col("passenger_count")
+    text = m.raw("green").df.withColumns({
+        "fare_amount": F.when(fare == 0, F.lit("n/a")).otherwise(fare.cast("string")),
+        "passenger_count": F.when(passengers == 4, F.lit("9300000000000000000")).otherwise(passengers.cast("string"))})
+    files.write_months(text, root, "green", testdata.FILE_YEAR, testdata.FILE_MONTH)
+    ingest.load_current(spark, root, target)
+    return (ingest.rejects(spark, target).groupBy("service_type", "column", "raw")
+            .agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("column", "column_name"))
+
+
+def _from_rollup(name: str) -> Query:
+    kind, report = rollup.REPORTS[name]
+
+    def query(spark, sf_dir):
+        m = _m(spark, sf_dir)
+        return report(m.rollup.read(kind), m.dims)
+    query.__doc__ = f"The report {name} from the monthly roll-up; no trip is read."
+    return query
+
+
+QUERIES: dict[str, Query] = {f"rollup_{name}": _from_rollup(name) for name in sorted(rollup.REPORTS)} | {
     name[2:]: fn_ for name, fn_ in sorted(globals().items())
     if name.startswith("q_") and callable(fn_)
 }

@@ -22,7 +22,6 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
@@ -66,9 +65,9 @@ def build_session(master: str | None = None, app_name: str = "tripmart",
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings tripmart relies on to an existing session."""
+    """Set the one runtime setting tripmart relies on: the zone in which the driver's zone-less
+    event times are made zoned raw times."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     return spark
 
 

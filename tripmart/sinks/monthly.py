@@ -19,11 +19,11 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,6 +47,17 @@ class Unit:
     signature: str | None = None
 
 
+def month_filter(months: Iterable[Month]) -> Column:
+    """An exact predicate on the partition columns; Spark prunes partitions by it."""
+    by_key: dict[tuple, set] = {}
+    for service, year, month in months:
+        by_key.setdefault((service, int(year)), set()).add(int(month))
+    cond = F.lit(False)
+    for (service, year), ms in sorted(by_key.items()):
+        cond = cond | ((F.col("service_type") == service) & (F.col("year") == year) & F.col("month").isin(sorted(ms)))
+    return cond
+
+
 def quote(value) -> str:
     return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
 
@@ -85,6 +96,11 @@ class MonthlyTable:
         p, fs = fs_path(self.spark, path)
         return bool(fs.exists(p))
 
+    def has_plain_months(self) -> bool:
+        """Whether ``root`` is a folder partitioned by service, as a plain write leaves it."""
+        p, fs = fs_path(self.spark, self.root)
+        return bool(fs.exists(p)) and any(st.getPath().getName().startswith("service_type=") for st in fs.listStatus(p))
+
     def has_ledger(self) -> bool:
         return self._exists(self.ledger_path)
 
@@ -188,6 +204,8 @@ class MonthlyTable:
         ``rebalance`` is for input that is not one month per task: rows are shuffled by month, and
         AQE splits a month that holds a large share of all rows over several tasks.
         """
+        if not self.has_ledger() and self.has_plain_months():
+            raise ValueError(f"{self.root} holds a plain partitioned table; land its rows under a new root")
         load = uuid.uuid4().hex
         out = df.select(*[f.name for f in self.schema.fields])
         if rebalance:
@@ -196,14 +214,15 @@ class MonthlyTable:
          .partitionBy(*KEYS).parquet(f"{self.root}/loads/load={load}"))
         return load
 
-    def switch(self, load: str, months: dict[Month, Unit] | None = None) -> dict[Month, int]:
+    def switch(self, load: str, months: dict[Month, Unit] | None = None,
+               unit_of: Callable[[Month], Unit] = lambda month: Unit()) -> dict[Month, int]:
         """Make a staged load the current one of its months and return their rows.
 
         ``months`` names what the load was to bring: a month in it without rows is emptied, and its
-        unit goes to the ledger."""
+        unit goes to the ledger; ``unit_of`` names the unit of any other month with rows."""
         folder = f"{self.root}/loads/load={load}"
         rows = {(r[0], r[1], r[2]): r[3] for r in self._footer_counts([folder]).select(*KEYS, "rows").collect()}
-        units = dict.fromkeys(rows, Unit()) | (months or {})
+        units = {m: unit_of(m) for m in rows} | (months or {})
         seq = (self.ledger().agg(F.max("seq")).first()[0] or 0) + 1
         self._commit([(seq, load, *m, u.name, u.fingerprint, u.signature, rows.get(m, 0),
                        f"{folder}/service_type={_escaped(m[0])}/year={m[1]}/month={m[2]}" if m in rows else None)
@@ -211,9 +230,10 @@ class MonthlyTable:
         self.open()
         return {m: rows.get(m, 0) for m in units}
 
-    def land(self, df: DataFrame, months: dict[Month, Unit] | None = None, rebalance: bool = False) -> dict[Month, int]:
+    def land(self, df: DataFrame, months: dict[Month, Unit] | None = None, rebalance: bool = False,
+             unit_of: Callable[[Month], Unit] = lambda month: Unit()) -> dict[Month, int]:
         """K1: stage and switch.  Months that neither ``df`` nor ``months`` names stay as they are."""
-        return self.switch(self.stage(df, rebalance), months)
+        return self.switch(self.stage(df, rebalance), months, unit_of)
 
     def empty(self, months: Iterable[Month]) -> None:
         """Take months out of the table."""

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import TABLE_PATTERN, extract_int, extract_str
+from ..sinks.monthly import quote
 
 
 def catalog_tables(spark: SparkSession, database: str | None = None) -> DataFrame:
@@ -32,6 +33,20 @@ def parse_table_names(names: DataFrame, column: str = "table_name") -> DataFrame
             .orderBy("service_type", "yr", "mo"))
 
 
+def register_months(spark: SparkSession, database: str, units, scans: dict) -> list[str]:
+    """Every month unit as an external table ``TRIPS_<SERVICE>_<YYYY>_<MM>`` of ``database``;
+    nothing is copied.  ``units`` are rows of ``files.month_units``, ``scans`` their schemas."""
+    names = []
+    for u in units:
+        (path, schema), = scans[u["unit"]]
+        name = f"{database}.TRIPS_{u['service_type'].upper()}_{u['year']}_{u['month']:02d}"
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet LOCATION {quote(path)}")
+        names.append(name)
+    return names
+
+
 def inventory_months(spark: SparkSession, database: str | None = None) -> DataFrame:
     """The raw months registered in a catalog database."""
     return parse_table_names(catalog_tables(spark, database))
@@ -45,3 +60,8 @@ def read_query(spark: SparkSession, sql: str, fmt: str | None = None,
     if fmt is None:
         return spark.sql(sql)
     return spark.read.format(fmt).options(**options).option("query", sql).load()
+
+
+def read_source_table(spark: SparkSession, table: str, fmt: str, **options) -> DataFrame:
+    """S3: a whole table of a connector, named by its ``dbtable`` option."""
+    return spark.read.format(fmt).options(**options).option("dbtable", table).load()

@@ -24,6 +24,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sinks.monthly import footer_session
+
 FILE_YEAR, FILE_MONTH = "FILE_YEAR", "FILE_MONTH"
 YELLOW_ERA2_START = "1998-01-01"
 
@@ -33,6 +35,7 @@ class RawMonths:
     """Raw rows of one service; the filed month is in FILE_YEAR/FILE_MONTH."""
     service: str
     df: DataFrame
+    table: str
 
     def raw(self) -> DataFrame:
         return self.df.drop(FILE_YEAR, FILE_MONTH)
@@ -82,7 +85,7 @@ def yellow(spark: SparkSession, sf_dir: str) -> RawMonths:
         F.year("l_shipdate").alias(FILE_YEAR),
         F.month("l_shipdate").alias(FILE_MONTH),
     )
-    return RawMonths("yellow", df)
+    return RawMonths("yellow", df, "lineitem")
 
 
 def green(spark: SparkSession, sf_dir: str) -> RawMonths:
@@ -114,7 +117,7 @@ def green(spark: SparkSession, sf_dir: str) -> RawMonths:
         F.year("ts").alias(FILE_YEAR),
         F.month("ts").alias(FILE_MONTH),
     )
-    return RawMonths("green", df)
+    return RawMonths("green", df, "events")
 
 
 def file_eras(raw: RawMonths) -> list[DataFrame]:
@@ -136,6 +139,13 @@ def services(spark: SparkSession, sf_dir: str) -> list[RawMonths]:
     return [yellow(spark, sf_dir), green(spark, sf_dir)]
 
 
+def source_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each service's raw table, from its Parquet footers."""
+    footers = footer_session(spark)
+    parts = [table(footers, sf_dir, name).agg(F.count(F.lit(1)).alias("rows")) for name in ("lineitem", "events")]
+    return parts[0].unionByName(parts[1])
+
+
 def zone_lookup(spark: SparkSession, sf_dir: str, pad: bool = False) -> DataFrame:
     """Zone lookup rows as the CSV holds them (all strings).
 
