@@ -251,16 +251,88 @@ def test_substring(spark, edge_docs):
     assert passage.upper() not in cut[22] and cut[20] == texts[0][1] and len(re.findall(r"\w+", cut[22])) == 80
 
 
-def test_windows_of_a_signature_meet_the_firsts_of_their_sides_at_any_size(spark):
+def test_windows_of_a_large_signature_meet_the_firsts_of_their_sides(spark):
     r = random.Random(12)
-    # one signature; the sides of all windows differ but for two that share their left one
-    rows = [(7, i, 0, 0, 100, 200, r.randrange(1 << 30), i) for i in range(30_000)]
-    rows[9_000] = (7, 9_000, 0, 0, 100, 200, 1, -5)
-    rows[21_000] = (7, 21_000, 0, 0, 100, 200, (1 << 30) + 1, -5)
-    got = substring._window_pairs(spark.createDataFrame(rows, substring.WINDOW), 46)
+    # one signature; the sketches of all windows differ but for two that share their left side
+    left = ((1 << (substring.SIDE + 1)) - 1) << (32 - substring.SIDE)
+
+    def word():
+        return r.getrandbits(64) - (1 << 63)
+    place = int(substring._pack(np.array([100]), np.array([80]), np.array([80]), 0)[0])
+    rows = [(7, i, place, word(), word()) for i in range(30_000)]
+    same = (r.getrandbits(64) & left, r.getrandbits(64) & left)
+    for i in (9_000, 21_000):
+        rows[i] = (7, i, place, *((x & ~left | y) for x, y in zip((rows[i][3], rows[i][4]), same, strict=True)))
+    windows = spark.createDataFrame(rows, substring.WINDOW)
+    matched = windows.coalesce(1).sortWithinPartitions("key", "doc_id").mapInPandas(
+        substring._match(46), f"{substring.CANDIDATE}, {substring.WINDOW}")
+    assert matched.where("f = -1").count() == 30_000 == matched.count()
+    got = substring._hot_pairs(matched.select("key", "doc_id", "place", "s0", "s1"), 46)
     assert got.where("a = 21000 AND b = 9000").count() == 1
 
 
+@pytest.mark.parametrize("batch", [7, 50, 1000])
+def test_signatures_are_matched_whole_over_batches(batch, monkeypatch):
+    """Small and large signatures, cut anywhere by Arrow batches, give the same rows."""
+    import pandas as pd
+    monkeypatch.setattr(substring, "GROUP", 20)
+    r = random.Random(5)
+    rows = []
+    for key, n in enumerate((1, 2, 20, 21, 300, 1, 5, 45, 3)):
+        base = r.getrandbits(64)
+        for doc in sorted(r.sample(range(1000), n)):
+            near = base ^ (1 << r.randrange(64))
+            rows.append((key, doc, int(substring._pack(np.array([90]), np.array([40]), np.array([40]), 1)[0]),
+                         near - (1 << 63), base - (1 << 63)))
+    table = pd.DataFrame(rows, columns=["key", "doc_id", "place", "s0", "s1"])
+    got = pd.concat(list(substring._match(46)(table[i:i + batch] for i in range(0, len(table), batch))))
+    large = got[got["f"] < 0]
+    assert list(large["key"].value_counts().sort_index().items()) == [(3, 21), (4, 300), (7, 45)]
+    later = {(k, d) for k, g in table.groupby("key") if 1 < len(g) <= 20 for d in sorted(g["doc_id"])[1:]}
+    assert set(got[got["f"] == 1]["a"]) == {d for _, d in later} and len(later) == 26
+
+
+def test_identical_passages_are_found_among_edited_copies(spark):
+    """Groups of 20 copies, each with two other words of 60 changed, and at larger ids two documents
+    with the same unedited passage: brute force over whole texts says who repeats what."""
+    texts, twins = [], []
+    for g in range(12):
+        passage = prose(60, 500 + g).split()
+        for k in range(20):
+            r = random.Random(1000 * g + k)
+            copy = list(passage)
+            for at in r.sample(range(60), 2):
+                copy[at] = f"e{g}x{k}x{at}"
+            texts.append((1000 * g + k, f"{prose(40, 7 * k + 900 * g)} {' '.join(copy)} {prose(40, 11 * k + 800 * g + 1)}"))
+        for k in (50, 51):
+            texts.append((1000 * g + k, f"{prose(35 + k, 70_000 + 100 * g + k)} {' '.join(passage)} {prose(50, 80_000 + 100 * g + k)}"))
+        twins.append((1000 * g + 51, 1000 * g + 50))
+    got = substring.find(docs_of(spark, texts)).collect()
+    pairs = {(r.doc_id, r.of_doc_id) for r in got}
+    assert set(twins) <= pairs
+    assert all(r.similarity >= 0.8 and r.end_word - r.start_word >= 50 for r in got)
+    assert {a // 1000 for a, _ in pairs} == set(range(12)) and all(a // 1000 == b // 1000 for a, b in pairs)
+
+
+def test_substring_recall_on_planted_pairs(spark):
+    """Pairs at and above the threshold, one changed word in 50 to 120: share of the later documents found."""
+    texts, r = [], random.Random(77)
+    for g in range(300):
+        words = prose(50 + g % 71, 3000 + g).split()
+        other = list(words)
+        other[r.randrange(len(words))] = f"other{g}"
+        texts += [(2 * g, f"{prose(30, 5000 + g)} {' '.join(words)} {prose(20, 6000 + g)}"),
+                  (2 * g + 1, f"{prose(25, 7000 + g)} {' '.join(other)} {prose(45, 8000 + g)}")]
+    tokens = {i: substring.shingle_hashes(w, 5) for (i, _), w in zip(texts, substring.word_hashes([t for _, t in texts]), strict=True)}
+    want = set()
+    for g in range(300):
+        a, b = tokens[2 * g + 1], tokens[2 * g]
+        if substring.passages(a, b, np.array(sorted({i - j for i in range(len(a)) for j in range(len(b)) if a[i] == b[j]})), 50, 0.8):
+            want.add((2 * g + 1, 2 * g))
+    got = {(x.doc_id, x.of_doc_id) for x in substring.find(docs_of(spark, texts)).collect()}
+    assert len(want) > 250 and len(want & got) >= 0.99 * len(want)
+
+
 def brute_stretches(a, b, shortest, threshold):
     """Spans of ``a`` of the longest stretches: all pairs of subsequences that begin and end alike."""
     ends = [(i, j) for i in range(len(a)) for j in range(len(b)) if a[i] == b[j]]
