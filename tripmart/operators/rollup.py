@@ -7,7 +7,8 @@ Three catalog tables of mergeable partial aggregates, one row per month and key:
 * ``fares`` of strict trips: payment code, pickup hour (R11, R13).
 
 Each is a ``MonthlyTable`` beside the trips, whose ledger says of which load a month was made.
-``refresh`` makes again only the months that a load has touched since.  Zone names and code
+``refresh`` makes again only the months that a load has touched since (all of them, beside the old
+ones, once the code that makes them is another).  Zone names and code
 descriptions are joined after the aggregate, so a new lookup needs no refresh.
 
 Sums are mergeable in any order: values below 10^15 are summed as decimals with 12 places, so a
@@ -17,13 +18,16 @@ summed aside as doubles.  A NULL is left out of a sum and of its count.
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import code_key, seconds_between, speed_mph
+from .. import schema
+from ..functions import code_key, ratio, seconds_between, speed_mph, time
 from ..schema import PARTITION_COLUMNS, TRIPS_ALL_SCHEMA
-from ..sinks.monthly import MonthlyTable, Unit, month_filter
+from ..sinks.monthly import MonthlyTable, Unit, code_digest, month_filter
 from . import marts, reports
 from .dims import CODE_DIMS, Dims
 
@@ -38,10 +42,14 @@ def _total(name: str, value: Column) -> list[Column]:
             F.sum(F.when(~small, value)).alias(f"{name}_rest"), F.count(value).alias(f"{name}_n")]
 
 
-def _mean(name: str) -> Column:
-    """AVG over merged rows; NULL where nothing was counted."""
-    total = F.sum(f"{name}_sum").cast("double") + F.coalesce(F.sum(f"{name}_rest"), F.lit(0.0))
-    return total / F.nullif(F.sum(f"{name}_n"), F.lit(0))
+def _mean(name: str, digits: int) -> Column:
+    """ROUND(AVG, digits) over merged rows, by decimal division, so halves are true halves; NULL where
+    nothing was counted."""
+    n = F.nullif(F.sum(f"{name}_n"), F.lit(0))
+    total, rest = F.sum(f"{name}_sum"), F.sum(f"{name}_rest")
+    exact = F.round(total.try_cast("decimal(28,12)") / n.try_cast("decimal(12,0)"), digits).cast("double")
+    return F.coalesce(F.when(rest.isNull(), exact),
+                      F.round((total.cast("double") + F.coalesce(rest, F.lit(0.0))) / n, digits))
 
 
 def _count() -> Column:
@@ -78,7 +86,8 @@ class Rollup:
 
     def __init__(self, trips: MonthlyTable):
         self.trips = trips
-        self.tables = {kind: MonthlyTable(trips.spark, f"{trips.root}/rollup/{kind}", f"{trips.name}_{kind}",
+        rules = code_digest(sys.modules[__name__], marts, time, ratio, schema)
+        self.tables = {kind: MonthlyTable(trips.spark, f"{trips.root}/rollup/{rules}/{kind}", f"{trips.name}_{kind}_{rules}",
                                           _schema(trips.spark, make)) for kind, make in KINDS.items()}
 
     def refresh(self) -> dict[str, list]:
@@ -95,8 +104,10 @@ class Rollup:
             done[kind] = sorted(stale)
         return done
 
-    def read(self, kind: str) -> DataFrame:
-        return self.tables[kind].read()
+    def read(self, kind: str, current: bool = False) -> DataFrame:
+        """One of the tables by name; ``current`` says that it was refreshed or opened before."""
+        table = self.tables[kind]
+        return self.trips.spark.table(table.name) if current else table.read()
 
 
 def _schema(spark: SparkSession, make) -> T.StructType:
@@ -112,8 +123,8 @@ def _asc(*cols):
 
 def _profile_report(df: DataFrame, keys: list[str], first_n: bool) -> DataFrame:
     n = F.sum("n").alias("n")
-    means = [F.round(F.sum("minutes") / F.sum("n"), 1).alias("avg_min"), F.round(_mean("distance"), 2).alias("avg_dist"),
-             F.round(_mean("tip"), 3).alias("avg_tip")]
+    means = [F.round(F.sum("minutes") / F.sum("n"), 1).alias("avg_min"), _mean("distance", 2).alias("avg_dist"),
+             _mean("tip", 3).alias("avg_tip")]
     return df.groupBy(*keys).agg(*([n, *means] if first_n else [*means, n])).orderBy(*_asc(*keys))
 
 
@@ -155,14 +166,14 @@ def revenue_by_borough_month(places_df: DataFrame, dims: Dims) -> DataFrame:
     """R9."""
     return (_named(places_df, dims, "pu").groupBy("year", "month", "pu_borough")
             .agg(F.round(F.sum("money"), 2).cast("double").alias("total_amount_sum"),
-                 F.round(_mean("tip"), 3).alias("tip_pct_avg"), F.sum("n").alias("n"))
+                 _mean("tip", 3).alias("tip_pct_avg"), F.sum("n").alias("n"))
             .orderBy(*_asc("year", "month", "pu_borough")))
 
 
 def speed_by_borough(places_df: DataFrame, dims: Dims) -> DataFrame:
     """R10."""
     return (_named(places_df.where("speed_n > 0"), dims, "pu").groupBy("pu_borough")
-            .agg(F.round(_mean("speed"), 2).alias("avg_speed"), F.round(F.min("speed_min"), 2).alias("min_speed"),
+            .agg(_mean("speed", 2).alias("avg_speed"), F.round(F.min("speed_min"), 2).alias("min_speed"),
                  F.round(F.max("speed_max"), 2).alias("max_speed"))
             .orderBy(F.col("avg_speed").desc_nulls_first(), *_asc("pu_borough")))
 
@@ -172,7 +183,7 @@ def top_corridors_tip(places_df: DataFrame, dims: Dims, min_trips: int = reports
     """R12."""
     keys = ["pu_borough", "pu_zone", "do_borough", "do_zone"]
     return (_named(places_df.where("tip_n > 0"), dims, "pu", "do").groupBy(*keys)
-            .agg(F.round(_mean("tip"), 3).alias("avg_tip_pct"), F.sum("tip_n").alias("n"))
+            .agg(_mean("tip", 3).alias("avg_tip_pct"), F.sum("tip_n").alias("n"))
             .where(F.col("n") > min_trips).orderBy(F.col("avg_tip_pct").desc_nulls_first(), *_asc(*keys)).limit(k))
 
 
@@ -182,7 +193,7 @@ def tip_by_payment(fares_df: DataFrame, dims: Dims) -> DataFrame:
     d = dims.codes["payment"].select(F.col(key).alias("_key"), desc)
     named = fares_df.where("tip_n > 0").join(F.broadcast(d) if dims.codes_small else d,
                                              code_key(F.col(key)) == F.col("_key"), "left")
-    return (named.groupBy(desc).agg(F.round(_mean("tip"), 3).alias("avg_tip_pct"), F.sum("tip_n").alias("n"))
+    return (named.groupBy(desc).agg(_mean("tip", 3).alias("avg_tip_pct"), F.sum("tip_n").alias("n"))
             .orderBy(F.col("avg_tip_pct").desc_nulls_first(), *_asc(desc)))
 
 
@@ -190,7 +201,7 @@ def stats_by_hour(fares_df: DataFrame) -> DataFrame:
     """R13."""
     return (fares_df.groupBy("pickup_hour")
             .agg(F.round(F.sum("minutes") / F.sum("n"), 2).alias("avg_duration_min"),
-                 F.round(_mean("distance"), 2).alias("avg_distance_mi"), F.round(_mean("tip"), 3).alias("avg_tip_pct"),
+                 _mean("distance", 2).alias("avg_distance_mi"), _mean("tip", 3).alias("avg_tip_pct"),
                  F.sum("n").alias("n")).orderBy(*_asc("pickup_hour")))
 
 

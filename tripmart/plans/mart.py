@@ -17,12 +17,13 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .. import session, sinks
+from .. import schema, session, sinks
+from ..functions import casts
 from ..operators import dims as dims_mod
 from ..operators import harmonize, marts
 from ..operators.rollup import Rollup
 from ..schema import TRIPS_ALL_COLUMNS
-from ..sinks.monthly import MonthlyTable, Unit
+from ..sinks.monthly import MonthlyTable, Unit, code_digest
 from ..sources import catalog, files, testdata
 
 
@@ -34,8 +35,9 @@ _CURRENT: dict[tuple, dict] = {}
 _LOCK = threading.RLock()
 
 
-#: Part of the fingerprint of landed services: changed when the harmonised rows would differ.
-RULES_VERSION = "1"
+#: Signature of landed services: another once the code that makes the harmonised rows is changed, so
+#: tables kept by an earlier version of the package are landed again.
+RULES = code_digest(testdata, harmonize, casts, schema)
 
 
 def _stamp(spark: SparkSession, path: str) -> str:
@@ -113,7 +115,7 @@ class Mart:
             return MonthlyTable(self.spark, self.trips_table)
         table = MonthlyTable(self.spark, f"{self._home}/trips_all", f"{self.database}.TRIPS_ALL")
         paths = {r.service: f"{self.sf_dir}/{r.table}.parquet" for r in self.raw_services}
-        source = {s: Unit(p, _stamp(self.spark, p), RULES_VERSION) for s, p in paths.items()}
+        source = {s: Unit(p, _stamp(self.spark, p), RULES) for s, p in paths.items()}
         with _LOCK:
             if _CURRENT.get((self.spark.sparkContext.applicationId, table.name)) == source:
                 return table                    # this application has seen to it
@@ -148,6 +150,8 @@ class Mart:
         with _LOCK:
             if source is None or _CURRENT.get(key) != source:
                 roll.refresh()
+                for made in roll.tables.values():
+                    made.open()
                 _CURRENT[key] = source
         return roll
 

@@ -9,6 +9,8 @@ DuckDB way: ``date_diff`` counts boundaries, ``dayofweek`` is 0 for Sunday,
 
 from __future__ import annotations
 
+import re
+
 # Fixed values, written out here again so that the statements share nothing with what they
 # check: role -> (key, description, rows of the code table).
 CODE_DIMS = {
@@ -212,6 +214,13 @@ def _profile_sql(src: str, keys: list[str], first_n: bool) -> str:
     return f"SELECT {k}, {n + ', ' + m if first_n else m + ', ' + n} FROM {src} GROUP BY {k}"
 
 
+def _exact_mean(found: re.Match) -> str:
+    """Mean of values taken to twelve places, in whole numbers, halves rounded away from zero."""
+    total = f"SUM(CAST(round({found[1]} * 1e12) AS HUGEINT))"
+    n = f"(COUNT({found[1]}) * CAST({10 ** (12 - int(found[2]))} AS HUGEINT))"
+    return f"CAST(sign({total}) * ((2 * abs({total}) + {n}) // (2 * {n})) AS DOUBLE) / {10 ** int(found[2])}"
+
+
 def _top_zones_sql(side: str) -> str:
     b, z = f"{side}_borough", f"{side}_zone"
     return f"""
@@ -277,8 +286,8 @@ SELECT pickup_hour, ROUND(AVG(trip_duration_min), 2) AS avg_duration_min,
        COUNT(*) AS n
 FROM enriched GROUP BY pickup_hour"""
     q.update(_more())
-    # the reports from the monthly roll-up have the same rows
-    q |= {f"rollup_{k}": q[k] for k in (
+    # the reports from the monthly roll-up: the same, but averages of doubles are of exact sums
+    q |= {f"rollup_{k}": re.sub(r"ROUND\(AVG\((trip_distance|tip_pct|avg_speed_mph)\), (\d)\)", _exact_mean, q[k]) for k in (
         "stats_by_service", "stats_by_hour_service", "stats_by_dow", "top_pickup_zones", "top_dropoff_zones",
         "revenue_by_borough_month", "speed_by_borough", "tip_by_payment", "top_corridors_tip", "stats_by_hour")}
     return {k: with_views(v) for k, v in q.items()}

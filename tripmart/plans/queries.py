@@ -412,7 +412,7 @@ def _from_rollup(name: str) -> Query:
 
     def query(spark, sf_dir):
         m = _m(spark, sf_dir)
-        return report(m.rollup.read(kind), m.dims)
+        return report(m.rollup.read(kind, current=True), m.dims)
     query.__doc__ = f"The report {name} from the monthly roll-up; no trip is read."
     return query
 

@@ -18,6 +18,7 @@ from it.  Row counts come from the Parquet footers of the new folder, without a
 from __future__ import annotations
 
 import hashlib
+import inspect
 import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
@@ -58,6 +59,11 @@ def month_filter(months: Iterable[Month]) -> Column:
     return cond
 
 
+def code_digest(*modules) -> str:
+    """Digest of the source text of modules: what was made by other code isn't taken for current."""
+    return hashlib.md5("".join(inspect.getsource(m) for m in modules).encode()).hexdigest()[:16]
+
+
 def quote(value) -> str:
     return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
 
