@@ -514,6 +514,18 @@ def test_distrust_reaches_the_end_of_a_chain_of_hosts(spark):
         url_filter.propagate(df, seeds, steps=4)
 
 
+def test_long_blanks_in_links_take_no_time(spark):
+    import time
+
+    from tripmart.llm import url_filter
+    blanks = " " * 1_000_000
+    pages = spark.createDataFrame([("a.org", f'<a href={blanks}> <a href = " http://b.org/x"> <a src=//c.org>')], "host string, html string")
+    url_filter.host_links(pages.limit(0)).collect()
+    t = time.time()
+    assert {(r.src, r.dst) for r in url_filter.host_links(pages).collect()} == {("a.org", "b.org"), ("a.org", "c.org")}
+    assert time.time() - t < 10
+
+
 # ---- op9
 
 def test_langid(spark, edge_docs):

@@ -47,7 +47,7 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 
 def host_links(pages: DataFrame) -> DataFrame:
     """(src, dst, n): links between different hosts, from (host, html)."""
-    href = F.regexp_extract_all("html", F.lit(r"""(?i)\b(?:href|src)\s*=\s*["']?\s*((?:https?:)?//[^"'\s>]+)"""), F.lit(1))
+    href = F.regexp_extract_all("html", F.lit(r"""(?i)\b(?:href|src)\s*+=\s*+["']?+\s*+((?:https?:)?//[^"'\s>]+)"""), F.lit(1))
     link = F.when(F.col("link").startswith("//"), F.concat(F.lit("http:"), F.col("link"))).otherwise(F.col("link"))
     return (pages.where("host <> ''").select(F.col("host").alias("src"), F.explode(href).alias("link"))
             .select("src", host_of(link).alias("dst")).where("dst <> '' AND dst <> src")
