@@ -28,6 +28,8 @@ REPORTS = [
 ]
 FULL_OUTPUTS = ["obt_enriched", "trips_all"]
 FILE_JOBS = ["load_manifest"]
+ROLLUP = ["rollup_stats_by_hour_service", "rollup_top_pickup_zones", "rollup_revenue_by_borough_month",
+          "rollup_top_corridors_tip", "rollup_stats_by_hour"]
 
 
 def _run(spark, name, sf_dir):
@@ -44,7 +46,7 @@ def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     scratch = tempfile.mkdtemp(prefix="tripmart-bench-")
-    extra = {"spark.driver.memory": "16g"}
+    extra = {"spark.driver.memory": "8g"}
     if os.environ.get("BENCH_EVENT_LOG") == "1":
         # stage/task times for later reading, in this run's own scratch folder
         os.makedirs(f"{scratch}/events")
@@ -57,18 +59,25 @@ def main():
         spark.sparkContext.setCheckpointDir(scratch)
     # JVM warm-up (class loading, JIT) on a raw scan, not timed
     spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").count().collect()
-    # The load job: harmonise the raw services once into the canonical,
-    # partitioned trips table every report reads (timed on its own).
+    # The load job: harmonise the raw services into a monthly catalog table of this run's own
+    # (timed); the tables that the reports read are kept by the mart, and made if they aren't there.
     from tripmart.plans.mart import Mart
+    from tripmart.session import scratch_dir
+    from tripmart.sinks.monthly import MonthlyTable
+    mart = Mart(spark, sf_dir)
     t0 = time.perf_counter()
-    Mart(spark, sf_dir).trips_path
+    MonthlyTable(spark, scratch_dir(spark, "bench-trips")).land(mart.trips_union, rebalance=True)
     times = {"load_trips": round(time.perf_counter() - t0, 3)}
+    t0 = time.perf_counter()
+    mart.table.open()
+    mart.rollup
+    times["keep_current"] = round(time.perf_counter() - t0, 3)
     # The raw services as monthly files (input of the file-based jobs).
     t0 = time.perf_counter()
     Mart(spark, sf_dir).raw_files_root
     times["write_raw_months"] = round(time.perf_counter() - t0, 3)
     _run(spark, "trips_by_service_year", sf_dir)      # warm-up (JIT, file footers)
-    for name in REPORTS + FULL_OUTPUTS + FILE_JOBS:
+    for name in REPORTS + ROLLUP + FULL_OUTPUTS + FILE_JOBS:
         times[name] = round(min(_run(spark, name, sf_dir) for _ in range(2)), 3)
     sf = os.path.basename(sf_dir).replace("sf", "")
     print(json.dumps({"metric": "tripmart_total_query_time", "value": round(sum(times.values()), 3),
