@@ -243,7 +243,7 @@ def test_one_bad_month_among_many_costs_few_jobs(spark, tmp_path, monkeypatch):
             raise OSError("u37 is bad")
         return ",".join(u for u, _ in batch)
 
-    monkeypatch.setattr(ingest.files, "read_units", lambda spark, units, scans: units)
+    monkeypatch.setattr(ingest.files, "read_units", lambda spark, units, scans, watched: units)
     monkeypatch.setattr(MonthlyTable, "stage", stage)
     monkeypatch.setattr(MonthlyTable, "switch", lambda self, load, units: {m: 1 for m in units})
     rows, errors = ingest._land(spark, MonthlyTable(spark, str(tmp_path)), months, {m["unit"]: [] for m in months})

@@ -16,8 +16,9 @@ from ..sinks.monthly import quote
 
 
 def catalog_tables(spark: SparkSession, database: str | None = None) -> DataFrame:
-    q = f"SHOW TABLES IN {database}" if database else "SHOW TABLES"
-    return spark.sql(q).select(F.col("tableName").alias("table_name"))
+    """Names of a database's tables and views; without one, also of the session's temporary views."""
+    found = spark.sql(f"SHOW TABLES IN {database}").where("NOT isTemporary") if database else spark.sql("SHOW TABLES")
+    return found.select(F.col("tableName").alias("table_name"))
 
 
 def parse_table_names(names: DataFrame, column: str = "table_name") -> DataFrame:
