@@ -454,6 +454,44 @@ def test_bootstrapped_patterns(spark, edge_docs):
     assert out.columns == edge_docs.columns and out.count() == len(EDGES)
 
 
+def test_identifiers_and_contexts_of_any_length(spark):
+    long_id, context = "AB" + "c7" * 111, "Σς" + "k" * 300 + ":"
+    rows = [(i, f"{prose(5, i)} contact: user{i}@mail.example.org end {context} u{i}@mail.example.org") for i in range(5)]
+    rows += [(10, f"my contact: {long_id} end"), (11, f"{context} AB1234567 end"), (12, f"x{context} AB1234567 end"),
+             (13, "contact: " + "a" * 1000 + "12"), (14, f"{context}AB7654321 end")]
+    got = {r.doc_id: r.spans for r in pii.digest(pii.find(docs_of(spark, rows))).collect()}
+    at = len("my contact: ")
+    assert got[10] == f"id:{at}:{at + len(long_id)}"
+    assert got[11] == f"id:{len(context) + 1}:{len(context) + 10}" and got[12] == ""
+    assert got[13] == f"id:9:{9 + 1002}" and got[14] == f"id:{len(context)}:{len(context) + 9}"
+
+
+def test_contexts_equal_the_tokens_before(monkeypatch):
+    r = random.Random(8)
+    for n in range(400):
+        text = "".join(r.choice("ab1=: (\t\n") for _ in range(r.randint(1, 60)))
+        contexts = pii.Contexts(text)
+        for start in range(len(text) + 1):
+            before = text[:start]
+            if before.endswith(("=", ":")):
+                want = before.split()[-1]
+            else:
+                # a free '=' or ':' belongs to the run before it
+                m = re.search(r"(?:\S+[ \t]+[=:]|\S+)\s*\Z", before)
+                found = pii.TOKEN.findall(m[0] + " ") if m else []
+                want = found[-1].replace("\t", " ") if found else None
+            assert contexts.before(start) == want, (text, start)
+
+
+def test_runs_without_blanks_are_read_once():
+    import time
+    t = time.time()
+    assert len(pii.candidates("x1y2z3=" * 60_000, [])) == 59_999
+    assert len(pii.candidates("(1234567" * 60_000, [])) == 60_000
+    assert pii.candidates("k" * 2_000_000 + ": 1234567", [])[0][1] == 2_000_009
+    assert time.time() - t < 30
+
+
 def test_bootstrapping_goes_on_until_no_pattern_is_new(spark):
     uses = [("k1", f"seed{j}", 1, True) for j in range(3)]
     for i in range(1, 8):

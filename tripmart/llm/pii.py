@@ -15,8 +15,11 @@ accepts no new pattern.  At the end
 whatever identifier follows an accepted pattern is a span of kind ``id``, unless a
 fixed pattern already covers part of it.
 
+Identifiers and tokens have any length; those over ``PLAIN_CHARS`` stand in the graph by a 128-bit hash.
+
 Defined results: null text is empty.  Positions are code points, the end exclusive.
-Rows that repeat are scanned each by itself.
+Rows that repeat are scanned each by itself.  Very long texts are scanned whole, in time in
+proportion to their length.  An empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +46,9 @@ DIGIT = re.compile(r"[0-9]")
 INSTANCE = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9](?:[A-Za-z0-9._@+/-]*[A-Za-z0-9])?")
 # a context token: up to an inner '=' or ':', or a word with a free '=' or ':' after it
 TOKEN = re.compile(r"\S*[=:](?=\S)|\S+(?:[ \t]+[=:](?=\s))?")
-CONTEXT_CHARS = 80
+BLANK, INNER = re.compile(r"\s"), re.compile(r"[\s=:]")
+#: Characters of a token or an identifier that is kept as it is.
+PLAIN_CHARS = 80
 #: Texts whose spans leave a task at one time; characters whose tokens are held as
 #: strings; tokens counted before their counts leave.
 OUT_TEXTS, TOKEN_CHARS, TOKENS = 1000, 1 << 19, 1 << 18
@@ -88,25 +94,88 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def context_of(text: str, start: int) -> str | None:
-    """The token just before ``start``, in lower case, as the corpus counts see it."""
-    before = text[max(0, start - CONTEXT_CHARS):start]
-    if before.endswith(("=", ":")):
-        return before.split()[-1].lower()
-    found = TOKEN.findall(before + " ")      # the blank stands for what follows
-    return found[-1].replace("\t", " ").lower() if found else None
+class _Name:
+    """A lower-cased string built of parts: itself, or the hash of a long one."""
+
+    def __init__(self):
+        self.plain, self.size, self.state = "", 0, xxhash.xxh3_128()
+
+    def add(self, part: str) -> _Name:
+        # lower() writes a sigma by what follows it, so parts and wholes could differ
+        part = part.lower().replace("\u03c2", "\u03c3")
+        self.size += len(part)
+        self.state.update(part.encode("utf-8", "surrogatepass"))
+        if self.size <= PLAIN_CHARS:
+            self.plain += part
+        return self
+
+    def key(self) -> str:
+        return self.plain if self.size <= PLAIN_CHARS else "\0" + self.state.hexdigest()
+
+
+def name_key(text: str) -> str:
+    """How a token or an identifier stands in the graph."""
+    return _Name().add(text).key() if len(text) > PLAIN_CHARS // 4 else text.lower().replace("\u03c2", "\u03c3")
+
+
+class Contexts:
+    """The token just before each of rising places of a text, as the corpus counts see it."""
+
+    def __init__(self, text: str):
+        self.text = text
+        # what ends at a place: the run without blanks, and what it has after its last inner '=' or ':'
+        self.ends = {BLANK: (0, _Name()), INNER: (0, _Name())}
+
+    def _ending(self, start: int, limit: re.Pattern) -> str:
+        """The text from the last ``limit`` to ``start``; what an earlier call read of it isn't read again."""
+        upto, name = self.ends[limit]
+        part = self.text[upto:start]
+        found = max((m.end() for m in limit.finditer(part)), default=-1)
+        if found >= 0:
+            name, part = _Name(), part[found:]
+        self.ends[limit] = start, name.add(part)
+        return name.key()
+
+    def before(self, start: int) -> str | None:
+        text = self.text
+        if start and text[start - 1] in "=:":
+            return self._ending(start, BLANK)
+        if start and not text[start - 1].isspace():
+            return self._ending(start, INNER)
+        end = start
+        while end and text[end - 1].isspace():
+            end -= 1
+        if not end:
+            return None
+        # back over the last run, and the one before it if the last is a free '=' or ':'
+        low = end - 1
+        while low and not text[low - 1].isspace():
+            low -= 1
+            if end - low > PLAIN_CHARS and text[low] in "=:":      # the token begins after an inner one
+                low += 1
+                break
+        if end - low == 1 and text[low] in "=:":
+            while low and text[low - 1] in " \t":
+                low -= 1
+            while low and not text[low - 1].isspace():
+                low -= 1
+                if end - low > PLAIN_CHARS and text[low] in "=:":
+                    low += 1
+                    break
+        found = TOKEN.findall(text[low:start] + " ")     # the blank stands for what follows
+        return name_key(found[-1].replace("\t", " ")) if found else None
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]):
     """(start, end, context, instance, known) of the seeds and of the other identifiers."""
-    out = [(s, e, context_of(text, s), text[s:e].lower(), True) for s, _, e in base]
+    out = [(s, e, True) for s, _, e in base]
     at = 0
     for d in DIGIT.finditer(text):
         if d.start() < at:
             continue
         # the whole run around this digit
         lo = d.start()
-        while lo > at and text[lo - 1] not in " \n\t\r=:" and lo > d.start() - 200:
+        while lo > at and text[lo - 1] not in " \n\t\r=:":
             lo -= 1
         for m in INSTANCE.finditer(text, lo):
             if m.start() > d.start():
@@ -114,13 +183,14 @@ def candidates(text: str, base: list[tuple[int, int, int]]):
             if m.end() > d.start():
                 s, e = m.start(), m.end()
                 at = e
-                word = m[0]
-                if 6 <= e - s <= 200 and len(DIGIT.findall(word)) >= 2 and not any(
+                if e - s >= 6 and len(DIGIT.findall(m[0])) >= 2 and not any(
                         bs < e and s < be for bs, _, be in base):
-                    out.append((s, e, context_of(text, s), word.lower(), False))
+                    out.append((s, e, False))
                 break
         at = max(at, d.end())
-    return [c for c in out if c[2]]
+    contexts = Contexts(text)
+    named = [(s, e, contexts.before(s), name_key(text[s:e]), known) for s, e, known in sorted(out)]
+    return [c for c in named if c[2]]
 
 
 def _token_counts(texts):
@@ -130,13 +200,13 @@ def _token_counts(texts):
     def flush():
         codes, names = pd.factorize(np.array(held, dtype=object))
         for name, n in zip(names, np.bincount(codes, minlength=len(names)).tolist(), strict=True):
-            if len(name) <= CONTEXT_CHARS:
-                name = name.replace("\t", " ")
-                counts[name] = counts.get(name, 0) + n
+            name = name.replace("\t", " ")
+            name = name if len(name) <= PLAIN_CHARS else name_key(name)
+            counts[name] = counts.get(name, 0) + n
 
     for text in texts:
         for piece in _pieces(text) if isinstance(text, str) else ():
-            held += TOKEN.findall(piece.lower())
+            held += TOKEN.findall(piece.lower().replace("\u03c2", "\u03c3"))
             chars += len(piece)
             if chars > TOKEN_CHARS:
                 flush()
