@@ -79,7 +79,7 @@ def fold(digest: str, path) -> str:
 
 # ---------------------------------------------------------------- positions
 
-def _numbered(rows: DataFrame, tree: str, order: list[str], name: str) -> DataFrame:
+def numbered(rows: DataFrame, tree: str, order: list[str], name: str) -> DataFrame:
     """``rows`` with ``pos`` (from 0, in ``order`` within ``tree``) and ``n``, the size of the tree."""
     # the last key spreads rows that are equal in all others over the partitions
     sorted_ = (rows.withColumn("_tie", F.monotonically_increasing_id())
@@ -173,11 +173,11 @@ def manifest(leaves: DataFrame) -> DataFrame:
     tree = F.coalesce(F.concat(F.lit("+"), F.col("tree")), F.lit("*"))
     # written first: range partitioning reads its input twice, and texts are to be hashed once
     rows = stash(leaves.select("doc_id", tree.alias("tree"), F.col("leaf").alias("digest"), "tampered"), "merkle-rows")
-    base = stash(_numbered(rows, "tree", ["doc_id", "digest"], "merkle-sorted"), "merkle-leaves")
+    base = stash(numbered(rows, "tree", ["doc_id", "digest"], "merkle-sorted"), "merkle-leaves")
     rounds = _rounds(base.select("tree", "pos", "n", "digest"))
     # the top tree: one node for each language, in their order
     subroots = rounds[-1].select(F.col("tree").alias("name"), F.col("digest"), F.lit("").alias("tree"))
-    top = stash(_numbered(subroots, "tree", ["name"], "merkle-tops"), "merkle-top")
+    top = stash(numbered(subroots, "tree", ["name"], "merkle-tops"), "merkle-top")
     tops = _rounds(top.select("tree", "pos", "n", "digest"))
     outer = tops[-1].select("tree", "pos", F.array().cast(_PATH).alias("path"), F.lit("").alias("subroot"),
                             F.col("digest").alias("root"))
