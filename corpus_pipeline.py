@@ -17,11 +17,11 @@ has an equivalent in plain SQL as a whole; tests hold them against brute force.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tripmart.llm import langid, mixing, ngram_jaccard, pieces, pii
 from tripmart.llm.common import stash, table
+from tripmart.llm.merkle import numbered
 from tripmart.llm.queries import MODEL
 
 MIN_LETTERS, MIN_SCORE = 200, 0.1
@@ -36,12 +36,41 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = (ngram_jaccard.join(docs).where("doc_id IS NOT NULL")
-            .groupBy(F.col("doc_id").alias("_dup_id")).agg(F.max("kept").alias("_dup_kept")))
-    # one shuffle of the texts: rows that share an id are numbered where the join left them
-    first = F.row_number().over(W.partitionBy("doc_id").orderBy("doc_id")) == 1
-    return (docs.join(kept, docs["doc_id"] == F.col("_dup_id"), "left").withColumn("_dup_first", first)
-            .where("doc_id IS NULL OR (_dup_kept AND _dup_first)").select(*docs.columns))
+    """Rows without an id take no part and stay.  Rows that share id and text are one document (the
+    first by the other columns stays); rows that share an id only are documents of their own."""
+    cols = docs.columns
+    given, unnamed = docs.where("doc_id IS NOT NULL"), docs.where("doc_id IS NULL")
+    repeated = stash(given.groupBy(F.col("doc_id").alias("_dup_id")).count().where("count > 1").select("_dup_id"),
+                     "pipeline-repeated")
+    if repeated.isEmpty():
+        kept = ngram_jaccard.join(given).where("kept").select(F.col("doc_id").alias("_dup_id"))
+        return given.join(kept, given["doc_id"] == kept["_dup_id"], "left_semi").union(unnamed)
+    of_repeated = given["doc_id"] == repeated["_dup_id"]
+    single = _own_ids(given, given.join(repeated, of_repeated, "left_semi")).union(
+        given.join(repeated, of_repeated, "left_anti").withColumn("_dup_own", F.col("doc_id").cast("long")))
+    ids = single.select(F.col("_dup_own").alias("_dup_id"), F.col("doc_id").cast("long").alias("_dup_doc"))
+    classes = ngram_jaccard.join(single, id_col="_dup_own").select("doc_id", "class_id")
+    kept = (classes.join(ids, classes["doc_id"] == ids["_dup_id"]).groupBy("class_id")
+            .agg(F.min(F.struct("_dup_doc", "_dup_id")).alias("_dup_first")).select("_dup_first._dup_id"))
+    return single.join(kept, single["_dup_own"] == kept["_dup_id"], "left_semi").select(*cols).union(unnamed)
+
+
+def _own_ids(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """One row for each id and text of ``rows``, with ``_dup_own``: numbers that are no id of ``docs``."""
+    cols = rows.columns
+    # grouped minima, so rows of one id and text are reduced before the shuffle
+    once = (rows.groupBy(F.col("doc_id").alias("_dup_id"), F.sha2(F.col("text").cast("binary"), 256).alias("_dup_text"))
+            .agg(F.min(F.struct(*cols)).alias("_dup_row")).select("_dup_row.*", "_dup_text"))
+    once = numbered(once.withColumn("_dup_tree", F.lit("")), "_dup_tree", ["doc_id", "_dup_text"], "pipeline-once")
+    low, high = docs.agg(F.min("doc_id").cast("long"), F.max("doc_id").cast("long")).first()
+    n = once.count()
+    if high + n < 1 << 63:
+        first = high + 1
+    elif low - n >= -(1 << 63):
+        first = low - n
+    else:
+        raise ValueError(f"no room for {n} numbers beside the ids {low} to {high}")
+    return once.select(*cols, (F.col("pos") + F.lit(first).cast("long")).alias("_dup_own"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
