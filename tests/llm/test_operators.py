@@ -650,3 +650,24 @@ def test_pipeline(spark, edge_docs):
     assert mixed.columns == names and {r.doc_id for r in mixed.collect()} <= {10, 11, 3, 6, 9, None}
     ids = p.piece_ids(spark, mixed, "")
     assert ids.count() == mixed.count() and [n for n, _ in p.STAGES][1] == "near_duplicates"
+
+
+def test_near_duplicates_keep_different_texts_of_one_id(spark):
+    import corpus_pipeline as p
+    a, b, c = (prose(80, 900 + i) for i in range(3))
+    near = a.replace(a.split()[40], "changed", 1)
+    rows = [(1, a), (1, b), (2, b), (0, c), (5, near), (1, a), (2, c), (None, a), (None, a), (1, None), ((1 << 63) - 1, near)]
+    docs = docs_of(spark, rows)
+    out = p.near_duplicates(spark, docs, "")
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert got == sorted([(1, a), (1, b), (0, c), (None, a), (None, a), (1, None)], key=str)
+    assert p.near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
+def test_near_duplicates_of_rows_that_repeat_are_defined(spark):
+    import corpus_pipeline as p
+    rows = [(3, BASE, "en", "z", 1, "", "", ""), (3, BASE, "de", "z", 2, "", "", ""), (3, BASE, "en", "a", 3, "", "", "")]
+    for some in (rows, rows[::-1]):
+        got = p.near_duplicates(spark, spark.createDataFrame(some, DOCS).repartition(3), "").collect()
+        assert [(r.lang, r.source) for r in got] == [("de", "z")]
