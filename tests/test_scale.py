@@ -79,3 +79,39 @@ def test_single_file_month_units(spark):
         [("yellow", 2019, 1, 1), ("yellow", 2019, 2, 1)]
     m = files.load_month(spark, root, "yellow", 2019, 1)
     assert m.count() == 2
+
+
+CONCURRENT = "spark.sql.maxConcurrentOutputFileWriters"
+
+
+def _insert_plan(spark, df):
+    """Plan of a partitioned write in this session."""
+    df.createOrReplaceTempView("side_by_side_rows")
+    spark.sql("CREATE TABLE IF NOT EXISTS side_by_side (id LONG, m INT) USING parquet PARTITIONED BY (m) "
+              f"LOCATION '{session.scratch_dir(spark, 't-side')}'")
+    return spark.sql("EXPLAIN INSERT INTO side_by_side SELECT id, m FROM side_by_side_rows").first()[0]
+
+
+def test_months_are_written_without_a_sort_of_all_rows(spark):
+    rows = spark.range(100).withColumn("m", (F.col("id") % 5).cast("int"))
+    writes = (lambda: sinks.write_trips(_skewed_trips(spark, 400), session.scratch_dir(spark, "t-unsorted")),
+              lambda: files.write_months(rows.withColumn("y", F.lit(2020)).withColumn("m", F.col("m") + 1),
+                                         session.scratch_dir(spark, "t-unsorted"), "green", "y", "m"))
+    for write in writes:
+        spark.conf.unset(CONCURRENT)
+        assert "Sort [" in _insert_plan(spark, rows)
+        write()
+        assert "Sort [" not in _insert_plan(spark, rows)
+    spark.sql("DROP TABLE side_by_side")
+
+
+def test_more_months_than_open_files_lose_no_row(spark):
+    spark.conf.set(CONCURRENT, "3")
+    try:
+        df, target = _skewed_trips(spark, 3_000).coalesce(1), session.scratch_dir(spark, "t-many")
+        sinks.write_trips(df, target)
+        assert spark.conf.get(CONCURRENT) == "3"            # the caller's setting stays
+        assert sorted(map(tuple, sinks.read_trips(spark, target).groupBy("year", "month").count().collect())) \
+            == sorted(map(tuple, df.groupBy("year", "month").count().collect()))
+    finally:
+        spark.conf.unset(CONCURRENT)

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import session
 from ..functions.names import FILE_PATTERN, FILE_UNIT_PATTERN, extract_int, extract_str
 from ..sinks.monthly import fs_path
 from ..operators.harmonize import (harmonize, is_lost, lossy, normalize_timestamps, schema_signature,
@@ -199,6 +200,7 @@ def write_months(df: DataFrame, root: str, service: str, year_col: str, month_co
     out = df.withColumn("_unit", unit).drop(year_col, month_col)
     if rebalance:
         out = out.hint("rebalance", "_unit")
+    session.write_side_by_side(spark)
     out.write.mode("overwrite").partitionBy("_unit").parquet(staging)
     jvm = spark.sparkContext._jvm
     rp, fs = fs_path(spark, root)
