@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import session
 from ..schema import PARTITION_COLUMNS, TRIPS_ALL_SCHEMA
 
 # Bound on rows per output file, so a huge month yields many files.
@@ -216,6 +217,7 @@ class MonthlyTable:
         out = df.select(*[f.name for f in self.schema.fields])
         if rebalance:
             out = out.hint("rebalance", *KEYS)
+        session.write_side_by_side(self.spark)
         (out.write.mode("errorifexists").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
          .partitionBy(*KEYS).parquet(f"{self.root}/loads/load={load}"))
         return load
