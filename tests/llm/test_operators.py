@@ -314,6 +314,22 @@ def test_identical_passages_are_found_among_edited_copies(spark):
     assert {a // 1000 for a, _ in pairs} == set(range(12)) and all(a // 1000 == b // 1000 for a, b in pairs)
 
 
+@pytest.mark.parametrize("group", [512, 3])
+def test_every_version_of_a_passage_is_paired_with_every_other(spark, group, monkeypatch):
+    """Eight versions of a passage, one other word each, pair with each other and not only with the best
+    partner, in signatures of any size; exact copies pair with a document that has theirs."""
+    monkeypatch.setattr(substring, "GROUP", group)
+    passage, texts = prose(90, 4242).split(), []
+    for k in range(8):
+        words = list(passage)
+        words[10 * k + 5] = f"version{k}"
+        texts.append((k, f"{prose(40, 9000 + k)} {' '.join(words)} {prose(40, 9100 + k)}"))
+    texts += [(20 + k, text) for k, text in texts]
+    got = {(r.doc_id, r.of_doc_id) for r in substring.find(docs_of(spark, texts)).collect()}
+    assert {(a, b) for a in range(8) for b in range(a)} <= got
+    assert {(20 + k, k) for k in range(8)} <= got
+
+
 def test_substring_recall_on_planted_pairs(spark):
     """Pairs at and above the threshold, one changed word in 50 to 120: share of the later documents found."""
     texts, r = [], random.Random(77)
