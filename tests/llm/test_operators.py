@@ -271,6 +271,52 @@ def test_windows_of_a_large_signature_meet_the_firsts_of_their_sides(spark):
     assert got.where("a = 21000 AND b = 9000").count() == 1
 
 
+@pytest.mark.parametrize("block", [4096, 40])
+def test_large_signatures_give_each_diagonal_once(spark, block, monkeypatch):
+    """A signature that documents repeat inside: the candidates of ``_partners``, each diagonal once, in blocks
+    of any size."""
+    monkeypatch.setattr(substring, "BLOCK", block)
+    monkeypatch.setattr(substring, "STRETCH", 9)
+    r, rows = random.Random(21), []
+    for key in (3, 8):
+        bases = [(r.getrandbits(64), r.getrandbits(64)) for _ in range(3)]
+        for doc in range(12):
+            base = bases[doc % 3]
+            for k in range(r.choice((1, 5, 60))):
+                flip = [r.getrandbits(64) & r.getrandbits(64) & r.getrandbits(64) if r.random() < 0.3 else 0 for _ in range(2)]
+                place = int(substring._pack(np.array([100 + 12 * k]), np.array([r.choice((10, 40, 90))]), np.array([r.choice((38, 60))]), 2)[0])
+                rows.append((key, doc, place, *((x ^ y) - (1 << 63) for x, y in zip(base, flip, strict=True))))
+    rows.sort(key=lambda x: x[:2])
+    doc, place, s0, s1 = (np.array([x[i] for x in rows], np.int64) for i in range(1, 5))
+    start = np.searchsorted([x[0] for x in rows], [x[0] for x in rows])
+    j, i, alone = substring._partners(doc, place, s0.view(np.uint64), s1.view(np.uint64), start, 46)
+    want = {}
+    for y, x, one in zip(j.tolist(), i.tolist(), alone.tolist(), strict=True):
+        if doc[y] < doc[x]:
+            x, y = y, x
+        at = (rows[y][0], int(doc[y]), int(doc[x]), int((place[y] >> 35) - (place[x] >> 35)))
+        want[at] = max(want.get(at, False), bool(one))
+    for key in (3, 8):
+        found = substring._hot_pairs(spark.createDataFrame([x for x in rows if x[0] == key], substring.WINDOW), 46).collect()
+        got = {}
+        for x in found:
+            at = (key, x.a, x.b, x["shift"])
+            got[at] = max(got.get(at, False), x.alone)
+            assert x.f == 2
+        assert got == {k: v for k, v in want.items() if k[0] == key}
+        assert block < 4096 or len(found) < 1.5 * len(got)     # copies' and others'; again in other blocks
+    assert len(j) > 3 * len(want)
+
+
+def test_matches_lie_on_the_first_diagonal():
+    r = random.Random(8)
+    for size, n, m in ((4, 60, 50), (500, 80, 90), (30, 1, 40)):
+        a, b = (np.array([r.randrange(size) for _ in range(k)]) for k in (n, m))
+        for shifts in ([], [0], sorted(r.sample(range(-100, 100), 40)), range(-m, n)):
+            want = [next((i - s for s in shifts if 0 <= i - s < m and a[i] == b[i - s]), -1) for i in range(n)]
+            assert substring._matches(a, b, np.array(shifts, np.int64), size).tolist() == want
+
+
 @pytest.mark.parametrize("batch", [7, 50, 1000])
 def test_signatures_are_matched_whole_over_batches(batch, monkeypatch):
     """Small and large signatures, cut anywhere by Arrow batches, give the same rows."""
