@@ -1,5 +1,8 @@
 """Roll-up: equal reports from both paths, refresh of touched months only."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,6 +80,35 @@ def test_odd_values_and_empty_tables(spark):
             assert str(report(roll.read(kind), d).collect()) == str(want.collect()), name       # NaN is not itself
 
 
+def test_sums_by_units_equal_sums_of_decimals(spark):
+    """Values of any size and sign, halves of the last place and their neighbours, NULL, NaN and infinite."""
+    r = random.Random(6)
+    values = [None, 0.0, -0.0, 1e8, 1e9, 99.9999999999995, 100.0, 1e14, 9e14, -9e14, 0.1, -0.1, 5e-13, 1.5e-12, 2.5e-12, -2.5e-12]
+    values += [r.choice((1, -1)) * r.random() * 10.0 ** r.randint(-13, 14) for _ in range(4000)]
+    values += [round(r.uniform(-200, 200), r.randint(0, 14)) for _ in range(4000)]
+    halves = [(r.randrange(10 ** 9) + 0.5) / 10.0 ** d for d in (6, 12) for _ in range(2000)]
+    values += [x for h in halves for x in (h, math.nextafter(h, 0), math.nextafter(h, 1e9))]
+    rows = [(i % 50, v) for i, v in enumerate(values)] + [(50, None), (51, float("nan")), (51, float("inf")), (51, -1e15), (51, 3e16)]
+    df = spark.createDataFrame(rows, "k int, v double")
+    small = F.abs("v") < rollup.EXACT_BELOW
+    money = F.when(F.abs("v") < 1e11, F.col("v"))           # what fits
+    want = (df.withColumn("m", money).groupBy("k").agg(
+        F.coalesce(F.sum(F.when(small, F.col("v")).cast(rollup.EXACT)), F.lit(0)).cast(rollup.EXACT).alias("x_sum"),
+        F.sum(F.when(~small, F.col("v"))).alias("x_rest"), F.count("v").alias("x_n"), F.sum(F.col("m").cast(reports.MONEY)).alias("m")))
+    got = df.withColumn("m", money).groupBy("k").agg(*rollup._total("x", "v"), rollup._exact_sum("m", reports.MONEY, 6).alias("m"))
+    assert str(sorted(map(tuple, got.collect()))) == str(sorted(map(tuple, want.collect())))
+    single = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "k int, v double").where(small)
+    bad = single.groupBy("k").agg(rollup._total("x", "v")[0], F.first("v").alias("v")).where(
+        "NOT x_sum <=> coalesce(CAST(v AS decimal(38,12)), 0)")
+    assert bad.collect() == []
+
+
+def test_sums_make_few_decimals_of_single_rows(spark):
+    """Only values close to a half of the last place, or large ones, are cast one by one."""
+    plan = spark.range(10).selectExpr("CAST(id AS double) AS v").groupBy().agg(*rollup._total("x", "v"))
+    assert plan._jdf.queryExecution().analyzed().toString().lower().count("filter (where") == 4
+
+
 def test_mart_refreshes_the_rollup_once(spark, monkeypatch):
     m = Mart(spark, SF_SMALL)
     m.rollup  # noqa: B018 - made if it isn't there
