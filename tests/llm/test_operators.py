@@ -384,6 +384,33 @@ def test_every_version_of_a_passage_is_paired_with_every_other(spark, group, mon
     assert {(20 + k, k) for k in range(8)} <= got
 
 
+@pytest.mark.parametrize("group", [512, 3])
+def test_runs_of_one_word_are_copies_of_the_first(spark, group, monkeypatch):
+    """Runs of one word, of any length, are paired with the first document that has one and no further, by
+    passages of both sides, whole; passages of more than the run are paired with each other as ever."""
+    monkeypatch.setattr(substring, "GROUP", group)
+    texts = [(k, f"{prose(19, 300 + k)} before{k} {'the ' * (60 + 9 * k)}after{k} {prose(20, 400 + k)}") for k in range(30)]
+    around = [f"{prose(30, 1)} here", f"here {prose(30, 2)}"]
+    texts += [(100 + k, f"{prose(20, 500 + k)} {around[0]} {'the ' * (50 + k)}{around[1]} {prose(20, 600 + k)}") for k in range(2)]
+    texts += [(200 + k, f"{prose(20, 700 + k)} {'left ' * 40}{'right ' * 40}after{k} {prose(20, 800 + k)}") for k in range(2)]
+    got = substring.find(docs_of(spark, texts)).collect()
+    assert {(r.doc_id, r.of_doc_id) for r in got} == {(k, 0) for k in (*range(1, 30), 100, 101)} | {(101, 100), (201, 200)}
+    assert all(r.end_word - r.start_word >= 50 <= r.of_end_word - r.of_start_word for r in got)
+    for k in range(1, 30):
+        told = {w for r in got if r.doc_id == k for w in range(r.start_word, r.end_word)}
+        assert told >= set(range(20, 80 + 9 * k))
+    whole = [r for r in got if r.doc_id in (101, 201) and r.of_doc_id in (100, 200)]
+    assert {r.doc_id: max(x.end_word - x.start_word for x in whole if x.doc_id == r.doc_id) for r in whole} == {101: 113, 201: 80}
+
+
+def test_windows_of_a_run_are_told_at_its_ends():
+    import pandas as pd
+    def count(n):
+        pdf = pd.DataFrame({"doc_id": [1], "text": [f"{prose(60, 5)} {'the ' * n}{prose(60, 6)}"]})
+        return len(pd.concat(list(substring._window_rows(50)(iter([pdf])))))
+    assert count(3000) < count(100) + 3000 / 46 + 1
+
+
 def test_substring_recall_on_planted_pairs(spark):
     """Pairs at and above the threshold, one changed word in 50 to 120: share of the later documents found."""
     texts, r = [], random.Random(77)
