@@ -403,6 +403,27 @@ def test_runs_of_one_word_are_copies_of_the_first(spark, group, monkeypatch):
     assert {r.doc_id: max(x.end_word - x.start_word for x in whole if x.doc_id == r.doc_id) for r in whole} == {101: 113, 201: 80}
 
 
+def test_pairs_are_verified_in_units_that_hold_a_text_once(spark, monkeypatch):
+    """Versions of one passage, each pair in one unit with its texts, which don't ride on every pair; all texts
+    of an id are looked at."""
+    monkeypatch.setattr(substring, "UNIT", 8)
+    docs = docs_of(spark, [(k, f"text {k}") for k in range(45)])
+    pairs = spark.createDataFrame([(a, b, [0]) for a in range(40) for b in range(a)] + [(44, 43, [8])], "a long, b long, hits array<long>")
+    units = {}
+    for r in substring._units(pairs, docs).collect():
+        units.setdefault((r.home, r.p, r.q), []).append(r)
+    told = [(r.a, r.b) for rows in units.values() for r in rows if r.text is None]
+    assert sorted(told) == sorted([(a, b) for a in range(40) for b in range(a)] + [(44, 43)])
+    for rows in units.values():
+        named = {x for r in rows if r.text is None for x in (r.a, r.b)}
+        assert sorted((r.a, r.text) for r in rows if r.text is not None) == sorted((x, f"text {x}") for x in named)
+    assert sum(len(rows) for rows in units.values()) - len(told) <= 2 * 5 * 40 + 2
+    passage = prose(70, 61)
+    texts = [(k, x) for k, both in ((5, (prose(90, 62), passage)), (6, (passage, prose(90, 63)))) for x in both]
+    got = substring.find(docs_of(spark, [*texts, (9, f"{prose(20, 64)} {passage}")])).collect()
+    assert {(r.doc_id, r.of_doc_id) for r in got} >= {(9, 5), (6, 5)}
+
+
 def test_windows_of_a_run_are_told_at_its_ends():
     import pandas as pd
     def count(n):
