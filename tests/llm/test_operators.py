@@ -424,6 +424,81 @@ def test_pairs_are_verified_in_units_that_hold_a_text_once(spark, monkeypatch):
     assert {(r.doc_id, r.of_doc_id) for r in got} >= {(9, 5), (6, 5)}
 
 
+def longest_stretches(a, b, shifts, shortest, threshold):
+    """``passages`` by its definition: from each run of matches to the furthest run with which the similarity is there."""
+    match = [next((i - s for s in shifts if 0 <= i - s < len(b) and a[i] == b[i - s]), -1) for i in range(len(a))]
+    runs = []
+    for i, j in enumerate(match):
+        if j >= 0 and runs and runs[-1][1] == i - 1 and runs[-1][3] == j - 1:
+            runs[-1][1], runs[-1][3] = i, j
+        elif j >= 0:
+            runs.append([i, i, j, j])
+    out, reach = [], -1
+    for i in range(len(runs)):
+        for j in range(len(runs) - 1, max(i - 1, reach), -1):
+            low, high = min(r[2] for r in runs[i:j + 1]), max(r[3] for r in runs[i:j + 1])
+            x, y = set(a[runs[i][0]:runs[j][1] + 1]), set(b[low:high + 1])
+            if runs[j][1] - runs[i][0] + 1 >= shortest and len(x & y) / len(x | y) >= threshold:
+                out.append((runs[i][0], runs[j][1], low, high, len(x & y) / len(x | y)))
+                reach = j
+                break
+    return out
+
+
+def test_pairs_of_a_unit_are_verified_many_at_a_time(monkeypatch):
+    """Copies and versions of a passage in other surroundings, in all pairs: the rows of each pair by itself, and
+    no work of its own for each pair."""
+    import pandas as pd
+    passage, texts, r = prose(70, 31).split(), [], random.Random(2)
+    for k in range(40):
+        words = list(passage)
+        for at in r.sample(range(70), k % 3):
+            words[at] = f"version{k}x{at}"
+        if k % 4 == 3:
+            words[35:35] = ["more"] * 3
+        texts.append((k, f"{prose(20 + k, 100 + k)} {' '.join(words)} {prose(30, 200 + k)} {prose(60, k % 5)}"))
+    texts += [(40, texts[3][1]), (40, prose(80, 9)), (41, "few words")]
+    tokens = [(i, substring.shingle_hashes(w, 5)) for (i, _), w in zip(texts, substring.word_hashes([t for _, t in texts]), strict=True)]
+    want, pairs = set(), []
+    for (a, x), (b, y) in itertools.product(tokens, tokens):
+        if a > b and (a < 40 or len(y) > 46):
+            shifts = sorted({i - int(j) for i, v in enumerate(x) for j in np.flatnonzero(y == v)})[:3]
+            near = [s for s in shifts if s - shifts[0] <= substring.GAP]
+            pairs.append((a, b, np.array([s * 8 + f for s in near for f in range(2)], np.int64)))
+    unit = [(0, 0, 0, a, b, h, None) for a, b, h in pairs if a < 40 and len(h)] + [(0, 0, 0, i, i, None, t) for i, t in texts]
+    unit += [(0, 0, 0, 40, 3, np.array([0, 1], np.int64), None)]
+    of = {i: [x for j, x in tokens if j == i] for i, _ in texts}
+    for _, _, _, a, b, h, text in unit:
+        if text is None:
+            for x, y in itertools.product(of[a], of[b]):
+                for s, e, bs, be, sim in substring.passages(x, y, np.unique(h >> 3), 50, 0.8):
+                    want.add((a, s, e + 5, b, bs, be + 5, sim, 2))
+    calls = []
+    for name in ("passages", "_stretches"):
+        monkeypatch.setattr(substring, name, lambda *x, f=getattr(substring, name): (calls.append(1), f(*x))[1])
+    rows = pd.DataFrame(unit, columns=["home", "p", "q", "a", "b", "hits", "text"])
+    got = pd.concat(list(substring._verify(50, 0.8)(rows[i:i + 300] for i in range(0, len(rows), 300))))
+    assert {tuple(x) for x in got.itertuples(index=False)} == want and len(want) > 500
+    assert len(calls) < len(unit) / 20
+
+
+@pytest.mark.parametrize("shifts", [(0,), (-7, 0, 3)])
+def test_texts_of_few_words_are_verified_by_word(shifts, monkeypatch):
+    """Long texts of a few shingles over and over: the stretches of the definition, without a pass over the texts for
+    each run."""
+    monkeypatch.setattr(substring, "_similarities", None)
+    monkeypatch.setattr(substring, "PAIRS", 1000)
+    told = 0
+    for seed in range(12):
+        r = random.Random(seed)
+        a = [r.randrange(seed % 6, 12) if r.random() < 0.9 else r.randrange(20) for _ in range(260)]
+        b = [x if r.random() < 0.5 else r.randrange(14 + seed % 3) for x in a]
+        got = substring.passages(np.array(a), np.array(b), np.array(shifts), 14, 0.8)
+        assert got == longest_stretches(a, b, shifts, 10, 0.8)
+        told += len(got)
+    assert told > 5
+
+
 def test_windows_of_a_run_are_told_at_its_ends():
     import pandas as pd
     def count(n):
