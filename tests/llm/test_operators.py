@@ -316,6 +316,31 @@ def test_large_signatures_give_each_diagonal_once(spark, block, monkeypatch):
     assert len(j) > 3 * len(want)
 
 
+def test_sides_of_one_word_are_told_by_the_first_document():
+    """Blocks of kinds in which some documents have several rows: the candidates of ``_partners``, also where a side is one
+    shingle over and over in one of the two documents only."""
+    import pandas as pd
+    r, rows = random.Random(4), []
+    for doc in range(60):
+        for k in range(r.choice((1, 1, 2, 3))):
+            left, right = (r.choice((0, (1 << 32) - 1, ((1 << 32) - 1) ^ (1 << r.randrange(31)))) for _ in range(2))
+            place = int(substring._pack(np.array([100 + 40 * k]), np.array([r.choice((3, 50))]), np.array([r.choice((3, 50))]), 2)[0])
+            rows.append((doc, place, right << 32 | left, r.choice((0, (1 << 64) - 1))))
+    doc, place = (np.array([x[i] for x in rows], np.int64) for i in (0, 1))
+    s0, s1 = (np.array([x[i] for x in rows], np.uint64) for i in (2, 3))
+    told, want = set(), set()
+    for x in range(len(rows)):
+        for y in range(x):
+            ends = [np.array([min(a, b)]) for a, b in zip(*(np.array(substring._unpack(place[z]))[1:3] for z in (x, y)), strict=True)]
+            same = ~((s0[[x]] ^ s0[[y]]) | (s1[[x]] ^ s1[[y]]))
+            if doc[x] != doc[y] and substring._fit(*ends, same, s0[[y]], s1[[y]], 46)[0][0]:
+                want.add((doc[x], doc[y], (place[x] >> 35) - (place[y] >> 35)))
+    group = pd.DataFrame({"key": 5, "lo": 0, "hi": 0, "p": 0, "doc_id": doc, "place": place, "s0": s0.view(np.int64), "s1": s1.view(np.int64)})
+    for got in substring._block_pairs(46)(iter([group])):
+        told |= set(zip(got["a"], got["b"], got["shift"], strict=True))
+    assert told == want and len(want) > 200
+
+
 def test_matches_lie_on_the_first_diagonal():
     r = random.Random(8)
     for size, n, m in ((4, 60, 50), (500, 80, 90), (30, 1, 40)):
